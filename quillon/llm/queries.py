@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from . import decontam
+from . import decontam, linededup
 from .common import table
 
 
+def op1_line_dedup(spark, sf_dir):
+    """Every document without the lines that occur before."""
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text")
+
+
 def op10_benchmark_decontamination(spark, sf_dir):
     """Every (document, benchmark item) with the item contained in the document."""
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLE = {
+    "op1_line_dedup": linededup.SQL,
     "op10_benchmark_decontamination": decontam.SQL,
 }

@@ -146,3 +146,29 @@ def unique_per_doc(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if len(key):
         key = key[np.concatenate(([True], key[1:] != key[:-1]))]
     return key & np.uint64((1 << 56) - 1), (key >> np.uint64(56)).astype(np.int64)
+
+
+def lines(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, document, number in its document) of every line that isn't blank.
+
+    Lines are what lies between line feeds, byte for byte; a blank one holds only spaces, tabs
+    and carriage returns.
+    """
+    n = len(raw)
+    feed = np.flatnonzero(raw == 10)
+    docs = len(off) - 1
+    start = np.sort(np.concatenate((off[:-1], feed + 1)), kind="stable")
+    owner = np.searchsorted(feed, off[:-1])  # feeds before each document
+    doc = np.repeat(np.arange(docs), np.diff(np.append(owner, len(feed))) + 1)
+    end = np.append(start[1:], n)
+    last = np.append(doc[1:] != doc[:-1], True) if docs else np.zeros(0, np.bool_)
+    end = np.where(last, off[1:][doc], end - 1)
+    number = np.arange(len(doc)) - np.repeat(np.flatnonzero(np.append(True, last[:-1])), np.diff(np.append(np.flatnonzero(np.append(True, last[:-1])), len(doc)))) if docs else np.zeros(0, np.int64)
+    solid = np.zeros(n + 1, np.int64)
+    np.cumsum((raw != 32) & (raw != 9) & (raw != 13) & (raw != 10), out=solid[1:])
+    full = solid[end] > solid[start]
+    start, end, doc, number = start[full], end[full], doc[full], number[full]
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(n), out=total[1:])
+    h = (total[end] - total[start]) * powers(max(n, 1), True)[start] if len(start) else np.zeros(0, np.uint64)
+    return mix(h ^ (end - start).astype(np.uint64)), start, end, doc, number
