@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, linededup
+from . import decontam, langid, linededup, packing, quality
 from .common import table
 
 
@@ -11,6 +11,21 @@ def op1_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text")
 
 
+def op3_language_id(spark, sf_dir):
+    """Every document's language, its posterior, and whether it is accepted."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark, sf_dir):
+    """The documents within the thresholds of their language and source."""
+    return quality.kept(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark, sf_dir):
+    """The pieces of every packed sequence."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark, sf_dir):
     """Every (document, benchmark item) with the item contained in the document."""
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -18,10 +33,14 @@ def op10_benchmark_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_packing": op5_packing,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLE = {
     "op1_line_dedup": linededup.SQL,
+    "op4_quality_rules": quality.SQL,
     "op10_benchmark_decontamination": decontam.SQL,
 }
