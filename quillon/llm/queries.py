@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, linededup, packing, quality
+from . import decontam, langid, linededup, packing, quality, tokencount, tokenids
 from .common import table
 
 
@@ -26,6 +26,16 @@ def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_token_ids(spark, sf_dir):
+    """Every sequence's slot and record, shard by shard."""
+    return tokenids.materialise(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark, sf_dir):
+    """Every document's tokens."""
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark, sf_dir):
     """Every (document, benchmark item) with the item contained in the document."""
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -36,6 +46,8 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op7_token_ids": op7_token_ids,
+    "op9_token_counts": op9_token_counts,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
