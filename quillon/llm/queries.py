@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, linededup, packing, quality, tokencount, tokenids
+from . import decontam, htmltext, langid, licenses, linededup, packing, quality, tokencount, tokenids
 from .common import table
 
 
@@ -26,11 +26,21 @@ def op5_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark, sf_dir):
+    """Every candidate block with the template that compresses it best, and how it differs."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_token_ids(spark, sf_dir):
     """Every sequence's slot and record, shard by shard."""
     return tokenids.materialise(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark, sf_dir):
+    """Every page's text without its site's repeated branches."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark, sf_dir):
     """Every document's tokens."""
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
@@ -46,7 +56,9 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op6_license_scan": op6_license_scan,
     "op7_token_ids": op7_token_ids,
+    "op8_html_extraction": op8_html_extraction,
     "op9_token_counts": op9_token_counts,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
