@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, htmltext, langid, licenses, linededup, packing, quality, tokencount, tokenids
+from . import decontam, htmltext, langid, licenses, linededup, ngramjoin, packing, quality, tokencount, tokenids
 from .common import table
 
 
@@ -11,6 +11,11 @@ def op1_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text")
 
 
+def op2_ngram_jaccard_join(spark, sf_dir):
+    """Every pair of documents whose word 3-grams have a Jaccard similarity of 0.5 or more."""
+    return ngramjoin.pairs(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark, sf_dir):
     """Every document's language, its posterior, and whether it is accepted."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -53,6 +58,7 @@ def op10_benchmark_decontamination(spark, sf_dir):
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
@@ -65,6 +71,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_line_dedup": linededup.SQL,
+    "op2_ngram_jaccard_join": ngramjoin.SQL,
     "op4_quality_rules": quality.SQL,
     "op10_benchmark_decontamination": decontam.SQL,
 }
