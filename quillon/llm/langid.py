@@ -34,7 +34,7 @@ from .common import strings
 BUCKETS, ORDERS, ALPHA = 1 << 16, 3, 0.1
 #: The bound on the labelled rows that train the model (the sample is near it, not exactly it).
 TRAIN_ROWS = 20_000
-MIN_POSTERIOR = 0.6
+MIN_POSTERIOR = 0.5
 
 _MULT = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
