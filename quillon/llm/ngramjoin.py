@@ -4,7 +4,7 @@ Documents are sets of word ``N``-grams, hashed; the global order of n-grams is t
 equal ranges of it hold equal shares of the corpus, and no sampling or frequency table is needed to cut it.
 
 1. Documents with the same set are collapsed to one (their pairs have similarity 1).
-2. Candidates.  Each set's first ``PREFIX`` n-grams in the global order go to the fragment they fall in, with
+2. Candidates.  Each set's first ``PREFIX`` n-grams in the global order are dealt to tasks by a second hash, with
    the first ``SKETCH`` n-grams as a sketch.  Two sets that share one of them are a candidate if their sizes allow the threshold
    and their sketches agree on no fewer of the first ``SKETCH`` n-grams of the union than three standard deviations below the threshold;
    the pair belongs to its first common n-gram, so each is found once.
@@ -144,7 +144,7 @@ def candidate_cells(sets: DataFrame, n_sets: int, threshold: float) -> DataFrame
             token = np.zeros(len(row), np.uint64)
             for j in range(5):
                 token |= full[off[row] + 5 * at + j].astype(np.uint64) << np.uint64(8 * j)
-            frag = (token * np.uint64(fragments)) >> np.uint64(40) if fragments < 1 << 24 else token % np.uint64(fragments)
+            frag = tk.mix(token) % np.uint64(fragments)  # first n-grams crowd at the order's beginning
             yield pa.RecordBatch.from_arrays([pa.array(frag.astype(np.int32)), pa.array(token.astype(np.int64)), pa.array(sig[row]), pa.array(size[row]), blobs.take(pa.array(row))], ["frag", "token", "sig", "size", "sketch"])
 
     def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
