@@ -95,7 +95,7 @@ def _suspected(h: np.ndarray, bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, lines)``: the numbers, from 0, of the lines that occur before, for documents that have any."""
+    """``(doc_id, print, lines)``: the numbers, from 0, of the lines that occur before, for documents that have any; print is the text's hash."""
     twice, size = _filter(docs)
     id_type = docs.schema["doc_id"].dataType
 
@@ -108,23 +108,24 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
                 at = _suspected(h, bits, size)
                 data = raw.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[at].view(np.int64)), pa.array([data[s:e] for s, e in zip(start[at].tolist(), end[at].tolist())], pa.binary()), b.column("doc_id").take(pa.array(doc[at] + i)), pa.array(number[at].astype(np.int32))],
-                    ["h", "line", "doc_id", "number"],
+                    [pa.array(h[at].view(np.int64)), pa.array([data[s:e] for s, e in zip(start[at].tolist(), end[at].tolist())], pa.binary()), *(b.column(c).take(pa.array(doc[at] + i)) for c in ("doc_id", "print")), pa.array(number[at].astype(np.int32))],
+                    ["h", "line", "doc_id", "print", "number"],
                 )
 
-    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("line", T.BinaryType()), T.StructField("doc_id", id_type), T.StructField("number", T.IntegerType())])
-    found = docs.select("doc_id", "text").mapInArrow(suspects, schema)
+    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("line", T.BinaryType()), T.StructField("doc_id", id_type), T.StructField("print", T.LongType()), T.StructField("number", T.IntegerType())])
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(suspects, schema)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")
     first = found.groupBy("h", "line").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = found.join(first.select("h", "line", "first"), ["h", "line"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id").agg(F.collect_set("number").alias("lines"))
+    return later.groupBy("doc_id", "print").agg(F.collect_set("number").alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with every line that occurs before taken out of ``text``."""
-    gone, key = free_name(docs, "gone"), free_name(docs, "gone_id")
-    drop = repeated_lines(docs).withColumnsRenamed({"lines": gone, "doc_id": key})
-    both = docs.join(drop.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(drop[key]), "left").drop(key)
+    gone, key, mark = free_name(docs, "gone"), free_name(docs, "gone_id"), free_name(docs, "gone_print")
+    drop = repeated_lines(docs).withColumnsRenamed({"lines": gone, "doc_id": key, "print": mark})
+    same = docs["doc_id"].eqNullSafe(drop[key]) & (F.xxhash64(docs["text"]) == drop[mark])  # rows of one id may differ in text
+    both = docs.join(drop.hint("shuffle_hash"), same, "left").drop(key, mark)
     names = docs.columns
     at = names.index("text")
 
