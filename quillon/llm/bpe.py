@@ -42,13 +42,8 @@ def encoder(data: bytes):
 
 def _class_table() -> np.ndarray:
     if not _classes:
-        table = np.full(0x110000, _OTHER, np.uint8)
-        for i in range(0x110000):
-            c = unicodedata.category(chr(i))[0]
-            if c == "L":
-                table[i] = _LETTER
-            elif c == "N":
-                table[i] = _DIGIT
+        kinds = {"L": _LETTER, "N": _DIGIT}
+        table = np.fromiter((kinds.get(unicodedata.category(chr(i))[0], _OTHER) for i in range(0x110000)), np.uint8, 0x110000)
         table[[*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = _SPACE
         _classes.append(table)
     return _classes[0]

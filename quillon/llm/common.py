@@ -5,12 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +44,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+#: Rows in an Arrow batch of texts: a batch is held several times over, by the JVM and by the worker.
+ROWS_PER_BATCH = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Have texts sent to Python in batches of ROWS_PER_BATCH, unless the session has a setting of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(ROWS_PER_BATCH))
 
 
 def strings(batch: pa.RecordBatch, name: str) -> pa.Array:

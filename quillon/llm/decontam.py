@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import strings
+from .common import small_batches, strings
 
 N, THRESHOLD = 5, 0.8
 #: Characters of benchmark text that are broadcast at once; a larger benchmark takes several passes.
@@ -179,6 +179,7 @@ def _index(docs: DataFrame, items: Items, n: int, threshold: float):
 
 def contained(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, item_id, containment)`` of every document and item contained in it to at least ``threshold``."""
+    small_batches(docs)
     schema = docs.select("doc_id").schema.add("item_id", benchmark.schema["item_id"].dataType).add("containment", "double")
     out = None
     for items in _slices(benchmark, n):
@@ -203,6 +204,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: floa
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item is contained to ``threshold``."""
+    small_batches(docs)
     for items in _slices(benchmark, n):
         index = _index(docs, items, n, threshold)
 

@@ -29,20 +29,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .common import strings
+from .common import small_batches, strings
 
 BUCKETS, ORDERS, ALPHA = 1 << 16, 3, 0.1
 #: The bound on the labelled rows that train the model (the sample is near it, not exactly it).
 TRAIN_ROWS = 20_000
 MIN_POSTERIOR = 0.5
+#: Bytes of text scored at once: each takes about 200 bytes of a worker's memory while it is.
+BLOCK = 1 << 17
 
 _MULT = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
 def _letters() -> np.ndarray:
-    table = np.zeros(0x110000, np.bool_)
-    table[[i for i in range(0x110000) if chr(i).isalpha()]] = True
-    return table
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), np.bool_, 0x110000)
 
 
 _table: list[np.ndarray] = []
@@ -84,6 +84,7 @@ def columns(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities [column, language]) from the labels in ``lang``."""
+    small_batches(docs)
     labelled = docs.select("lang", "text").where("lang is not null and text is not null")
     n = labelled.count()
     if n > rows:
@@ -92,7 +93,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarra
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for b in batches:
-            for i, t in tk.blocks(b.column("text")):
+            for i, t in tk.blocks(b.column("text"), BLOCK):
                 langs = b.column("lang").slice(i, len(t)).to_pylist()
                 col, doc = columns(t.to_pylist())
                 ends = np.searchsorted(doc, np.arange(len(t) + 1))
@@ -134,7 +135,7 @@ def score(texts: list[str], model: tuple[list[str], np.ndarray]) -> tuple[np.nda
 
 def _scored(batches, model, build):
     for b in batches:
-        for i, t in tk.blocks(strings(b, "text")):
+        for i, t in tk.blocks(strings(b, "text"), BLOCK):
             yield build(b.slice(i, len(t)), *score(t.to_pylist(), model))
 
 

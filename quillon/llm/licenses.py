@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import small_batches, strings
 
 TRIGGERS = ("licen", "copyright", "rights reserved", "public domain", "permission", "redistribut", "warrant", "spdx")
 MISSING, LEVEL = 0.25, 19
@@ -130,6 +130,7 @@ def judge(block: str) -> tuple[str, float, list[str], list[str], str]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """``(doc_id, first_line, last_line, license, saved, missing, extra, verdict)`` of every candidate block."""
+    small_batches(docs)
     low = F.lower(F.col("text"))
     some = low.contains(TRIGGERS[0])
     for t in TRIGGERS[1:]:

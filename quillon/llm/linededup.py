@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .common import free_name, strings
+from .common import free_name, small_batches, strings
 
 BITS_PER_LINE, MAX_BITS, HASHES = 16, 1 << 30, 2
 _SEGMENT = 20
@@ -96,6 +96,7 @@ def _suspected(h: np.ndarray, bits: np.ndarray, size: int) -> np.ndarray:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, print, lines)``: the numbers, from 0, of the lines that occur before, for documents that have any; print is the text's hash."""
+    small_batches(docs)
     twice, size = _filter(docs)
     id_type = docs.schema["doc_id"].dataType
 

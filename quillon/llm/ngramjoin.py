@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import free_name, strings, written
+from .common import free_name, small_batches, strings, written
 
 N, THRESHOLD, PREFIX, SKETCH = 3, 0.5, 8, 32
 V, TILE, MAX_BITS = 4, 4096, 1 << 30
 ENTRIES_PER_FRAGMENT, TOKENS_PER_BUCKET = 40_000, 1_000_000
 _TOP = 56  # bits of a hash
-_CHUNK = 1 << 16
+_CHUNK = 1 << 15
 
 
 def _sets(texts: pa.Array, n: int):
@@ -231,6 +231,7 @@ def _bloom(cells: DataFrame, n: int):
 
 def counted(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """The different sets, and ``(cell, members, pairs, parts)``: each cell's partial counts, one array for each fragment that has any."""
+    small_batches(docs)
     sets = written(distinct_sets(docs, n), "sets")
     cells = written(candidate_cells(sets, sets.count(), threshold), "cells")
     n_sigs, tokens, largest = cells.agg(F.sum(F.size("sigs")), F.sum("tokens"), F.max("tokens")).first()
@@ -246,7 +247,7 @@ def counted(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[
                 p = (sig & np.uint64(size - 1)).astype(np.int64)
                 hit = np.flatnonzero(((on[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).astype(np.bool_) & (np.diff(ends) > 0))
                 hit = [r for r in hit.tolist() if not (int(sig[r]) in seen or seen.add(int(sig[r])))]
-                if len(seen) > 1_000_000:  # only saves sending a copy twice
+                if len(seen) > 100_000:  # only saves sending a copy twice
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(sig[hit].view(np.int64)), pa.array([_pack(g[ends[r] : ends[r + 1]], 7) for r in hit], pa.binary())], ["sig", "grams"])
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import free_name, strings, written
+from .common import free_name, small_batches, strings, written
 
 BUCKETS, DIMS, CELL_BITS, CAPACITY = 4096, 3, 10, 2048
 _SCALE = 1024
@@ -76,6 +76,7 @@ def cells(h: np.ndarray, per: np.ndarray) -> np.ndarray:
 
 def keyed(docs: DataFrame, tokens: str | None = None) -> DataFrame:
     """``(curve_key, doc_id, n_tokens, tie)`` of every document."""
+    small_batches(docs)
     given = tokens is not None
     length = free_name(docs, "length_")
     source = docs.select("doc_id", "text", F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)).alias(length)) if given else docs.select("doc_id", "text")

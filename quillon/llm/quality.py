@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import strings, written
+from .common import small_batches, strings, written
 
 MEASURES = ("symbols", "capitals", "repeats", "word_bytes")
 BINS = {"symbols": 512, "capitals": 512, "repeats": 512, "word_bytes": 16}
@@ -121,6 +121,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame) -> DataFrame:
     """``(doc_id, lang, source)`` of the documents within their group's thresholds."""
+    small_batches(docs)
     m = written(measured(docs), "quality")
     t = thresholds(sketches(m)).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     x = m.join(t, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")))

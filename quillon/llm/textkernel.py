@@ -61,14 +61,14 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, o - o[0]
 
 
-def blocks(texts: pa.Array):
-    """Slices of at most BLOCK bytes and 256 rows (a longer document is a slice of its own): (first row, slice)."""
+def blocks(texts: pa.Array, limit: int = BLOCK):
+    """Slices of at most ``limit`` bytes and 256 rows (a longer document is a slice of its own): (first row, slice)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     _, off = buffers(texts)
     i, n = 0, len(texts)
     while i < n:
-        j = int(np.searchsorted(off, off[i] + BLOCK, "right")) - 1
+        j = int(np.searchsorted(off, off[i] + limit, "right")) - 1
         j = min(n, i + 256, max(i + 1, j))
         yield i, texts.slice(i, j - i)
         i = j

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import textkernel as tk
-from .common import strings
+from .common import small_batches, strings
 
 TABLE, REPORT, CACHE = 1 << 16, 1 << 13, 1 << 20
 _SLOTS = 1 << 18
@@ -109,6 +109,7 @@ def count(texts: list[str], table, ranks: bytes) -> np.ndarray:
 
 def token_counts(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, table_size: int = TABLE) -> DataFrame:
     """``(doc_id, n_tokens)`` of every document."""
+    small_batches(docs)
     sc = docs.sparkSession.sparkContext
     ranks = bpe.read_ranks(vocabulary)
     encode = bpe.encoder(ranks).encode_ordinary

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import strings, written
+from .common import small_batches, strings, written
 
 END, LENGTH, RECORDS, KEY, ROUNDS = 50256, 512, 16384, b"epoch-0", 6
 
@@ -57,6 +57,7 @@ def permute(x: np.ndarray, n: int, key: bytes = KEY) -> np.ndarray:
 
 def encoded(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
     """``(row, doc_id, tie, n_seq, ids)``: ids as compressed 16-bit numbers; written to the shared folder."""
+    small_batches(docs)
     ranks = docs.sparkSession.sparkContext.broadcast(bpe.read_ranks(vocabulary))
 
     def run(batches):
