@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from .functions.globs import match_regex, walk_regex
 from .operators import catalog, documents, findings, index, schema
+from .operators.rules import applies
 from .plans.analysis import analyse
 from .plans.interpreter import EvalError, evaluate, shown
 from .plans.rules import Pattern, Rule
-from .sources import config, corpus, frontmatter
-from .streaming.incremental import closure, in_scope
+from .sources import config, corpus, frontmatter, project
+from .streaming.incremental import closure, governance_edges, in_scope, indexes_of, rule_edges, shared_key_edges
 
 FOLDER = ".quillon"
 
@@ -96,7 +97,11 @@ class Engine:
         self.files = self.all_files.where(wanted)
 
     def indexes(self) -> dict[str, dict[str, object]]:
-        """Indexes from the declared sources, which are configuration: read on the driver, confined and bounded."""
+        """Indexes by name."""
+        return index.registry(self.sources(), self.keys)
+
+    def sources(self) -> dict[str, list[tuple[str, object]]]:
+        """(path, value) of each declared source, which is configuration: read on the driver, confined and bounded."""
         sources: dict[str, list[tuple[str, object]]] = {}
         for k in self.keys:
             paths = corpus.walk(self.root, k.source) if any(c in k.source for c in "*?[") else [corpus.confined(k.source)]
@@ -111,8 +116,27 @@ class Engine:
                     v = {"frontmatter": frontmatter.load_yaml(block) if block is not None else None}
                 else:
                     raise config.ConfigError(f"{p}: an index source is YAML, JSON or markdown")
-                sources.setdefault(k.source, []).append((p, frontmatter.rules_value(v)))
-        return index.registry(sources, self.keys)
+                if (p, k.source) not in {(q, k.source) for q, _ in sources.get(k.source, ())}:
+                    sources.setdefault(k.source, []).append((p, frontmatter.rules_value(v)))
+        return sources
+
+    def edges(self) -> DataFrame:
+        """``(a, b)``: files and their governing documents, files that give entries to one index key, files and the index sources their rules read."""
+        docs = frontmatter.documents(self.files.where("state = 'ok'")).select("path", "schema_class")
+        out = [self.spark.createDataFrame([], "a string, b string")]
+        for r in self.routes or ():
+            out.append(governance_edges(docs.where(F.col("path").rlike(match_regex(r.files))).select("path", F.lit(r.governed_by).alias("governed_by"))))
+        sources = self.sources()
+        shared = [(f"{k.name}\0{key}", p) for k in self.keys for p, v in sources.get(k.source, ()) for key, _ in index.entries(v, k)]
+        if shared:
+            out.append(shared_key_edges(self.spark.createDataFrame(shared, "k string, n string").distinct(), "k", "n"))
+        for p in self.patterns:
+            for r, names in ((r, indexes_of(p)[r.id]) for r in p.rules):
+                reads = sorted({path for k in self.keys if names is None or k.name in names for path, _ in sources.get(k.source, ())})
+                if reads:
+                    mine = docs.where(applies(r, F.col("schema_class"), F.col("path"))).select(F.lit(r.id).alias("rule"), "path")
+                    out.append(rule_edges(mine, self.spark.createDataFrame([(r.id, s) for s in reads], "rule string, source string")))
+        return rules_union(out)
 
     def static_findings(self) -> DataFrame | None:
         rows = [(i.code, i.rule, i.path, i.detail) for r in self.rules for i in analyse(r, self.schemas)]
@@ -126,8 +150,10 @@ class Engine:
         readable = self.files.where("state = 'ok'")
         everything = frontmatter.documents(readable)
         docs = everything.where("fm_error is null")
-        others = self.all_files.where("state = 'ok'").select("path", "text")
+        others = self.all_files.select("path", "text")  # a file that can't be read exists all the same
         out = [corpus.unreadable(self.files), corpus.dead_globs(self.files, self.globs), frontmatter.bad_frontmatter(everything), self.static_findings()]
+        if os.path.exists(os.path.join(self.root, self.folder, project.MANIFEST)):
+            out.append(project.drift(self.spark, self.root, self.folder))
         if self.required:
             out.append(frontmatter.missing_frontmatter(docs, self.required))
         if self.routes is not None:
@@ -139,7 +165,7 @@ class Engine:
                 documents.link_findings(linked, others, F.col("link_root")), documents.marker_findings(docs, others, self.routes), documents.section_findings(docs, self.routes),
             ]
         if self.pins is not None:
-            out.append(documents.pin_findings(frontmatter.documents(others), *self.pins))
+            out.append(documents.pin_findings(frontmatter.documents(others.where("text is not null")), *self.pins))
         if self.vocabulary is not None:
             inside = F.lit(self.vocabulary_globs is None)
             for g in self.vocabulary_globs or ():
@@ -169,10 +195,14 @@ class Engine:
             return findings.finding(lost, "W0047", "schema", "no schema folder", F.concat(F.col("n"), F.lit(" documents declare a class")), F.lit("schemas"))
         return findings.finding(lost, "W0045", "schema", "class without schema or rule", F.lit("nothing checks this class"), F.col("path"), quoted=[("class", F.col("schema_class"))])
 
-    def check_changed(self, changed: list[str], edges: DataFrame) -> DataFrame:
-        """Findings in what the changed files can reach; equal to the whole check filtered to that scope."""
+    def check_changed(self, changed: list[str], edges: DataFrame | None = None) -> DataFrame:
+        """Findings in what the changed files can reach; equal to the whole check filtered to that scope.  A path outside the root means everything."""
+        try:
+            changed = [corpus.confined(c) for c in changed]
+        except corpus.ConfinementError:
+            return self.check()
         start = self.spark.createDataFrame([(c,) for c in changed], "node string")
-        return findings.ordered(in_scope(self.check(), closure(edges, start)))
+        return findings.ordered(in_scope(self.check(), closure(self.edges() if edges is None else edges, start)))
 
     def report(self) -> str:
         f = self.check()

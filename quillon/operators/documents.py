@@ -190,13 +190,14 @@ def citation_findings(docs: DataFrame, files: DataFrame) -> DataFrame:
     c = _per_document(docs, markup.citations, "path string, line_no int, cited string, first int, last int", (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()))
     token = F.concat("cited", F.lit(":"), F.col("first"), F.coalesce(F.concat(F.lit("-"), F.col("last")), F.lit("")))
     c = c.withColumn("token", token).withColumn("problem", X.confinement(F.col("cited"))).withColumn("target", X.normal_path(F.col("cited")))
-    sized = files.select(F.col("path").alias("target"), X.line_count(F.col("text")).alias("n_lines"))
+    sized = files.select(F.col("path").alias("target"), X.line_count(F.col("text")).alias("n_lines"), F.lit(True).alias("there"))
     j = c.where("problem is null").join(sized, "target", "left")
     quoted = [("citation", F.col("token"))]
     last = F.coalesce("last", "first")
     bad = (F.col("first") == 0) | (last > F.col("n_lines")) | (F.col("first") > last)
     out = [finding(c.where(F.col("problem") == p), p, "citation", "path leaves the root", F.lit("a cited path isn't inside the root"), F.col("path"), F.col("line_no"), quoted) for p in ("E0010", "E0011")]
-    out.append(finding(j.where("n_lines is null"), "E0100", "citation", "cited file is absent", F.lit("the cited file doesn't exist"), F.col("path"), F.col("line_no"), quoted))
+    out.append(finding(j.where("there and n_lines is null"), "W0048", "citation", "cited file was not read", F.lit("only the file's existence was checked"), F.col("path"), F.col("line_no"), quoted))
+    out.append(finding(j.where("there is null"), "E0100", "citation", "cited file is absent", F.lit("the cited file doesn't exist"), F.col("path"), F.col("line_no"), quoted))
     out.append(finding(j.where(F.col("n_lines").isNotNull() & bad), "E0101", "citation", "cited lines are absent", F.concat(F.lit("the file has "), F.col("n_lines"), F.lit(" lines")), F.col("path"), F.col("line_no"), quoted))
     return reduce(DataFrame.unionByName, out)
 
@@ -216,7 +217,7 @@ def link_findings(docs: DataFrame, files: DataFrame, link_root: Column | bool =
     inside = l.where("problem is null")
     dead = inside.join(exists, "to", "left_anti")
     wanted = inside.where("frag is not null and frag <> '' and to like '%.md'")
-    pages = files.join(wanted.select(F.col("to").alias("path")).distinct(), "path", "left_semi")
+    pages = files.where("text is not null").join(wanted.select(F.col("to").alias("path")).distinct(), "path", "left_semi")
     from ..sources.frontmatter import documents
 
     slugs = _per_document(documents(pages), lambda t, n: [(s,) for s in markup.heading_slugs(t, n)], "to string, frag string", (pa.string(), pa.string()))

@@ -241,3 +241,36 @@ def test_schema_validator():
     kinds = lambda v: sorted((p, k) for p, k, _ in errors(v, s))
     assert kinds({"a": 0}) == [("", "required"), ("/a", "minimum")] and kinds({"l": ["x", 3, "x"]}) == [("/l", "uniqueItems"), ("/l/1", "oneOf")] and kinds({"zz": 1, "l": [2]}) == [("", "not"), ("/l", "contains")]
     assert unknown_keywords(s) == ["dependentRequired"]
+
+
+def test_edges_and_command_line(spark, tmp_path, capsys):
+    from quillon.__main__ import main
+
+    root = rule_project(tmp_path)
+    e = Engine(spark, root)
+    got = {frozenset(x) for x in e.edges().collect()}
+    assert frozenset(("docs/p1.md", "registry.yaml")) in got and frozenset(("docs/p1.md", "people/x.json")) in got and frozenset(("docs/q3.md", "people/x.json")) not in got
+    whole = [tuple(x)[:6] for x in e.check().collect()]
+    assert [tuple(x)[:6] for x in e.check_changed(["registry.yaml"]).collect()] == whole and [tuple(x)[:6] for x in e.check_changed(["/etc/x"]).collect()] == whole
+    assert main(["explain", "E0050"]) == 0 and main(["explain", "E9999"]) == 2 and "schema" in capsys.readouterr().out
+    assert main(["init", "--root", f"{tmp_path}/new"]) == 0 and "config.yaml" in capsys.readouterr().out
+    assert main(["init", "--root", f"{tmp_path}/new"]) == 0 and capsys.readouterr().out == ""
+
+
+def test_manifest_drift_and_pin_renewal(spark, tmp_path):
+    from quillon.operators.documents import pin_updates
+    from quillon.sources import project as P
+
+    root = str(tmp_path)
+    assert set(P.init(root, ".quillon")) == set(P.SKELETON) and P.init(root, ".quillon") == []
+    (tmp_path / ".quillon/config.yaml").write_text("file_globs: ['docs/*.md']\n")
+    assert P.init(root, ".quillon") == []
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/a.md").write_text("text\n")
+    (tmp_path / ".quillon/pins.yaml").write_text("pins:\n- {governing: g, file: docs/a.md, sha256: old}\n")
+    e = Engine(spark, root)
+    assert sorted((x.code, x.file) for x in e.check().collect()) == [("E0060", ".quillon/config.yaml"), ("E0061", "docs/a.md")]
+    docs = frontmatter.documents(e.files.where("state = 'ok'").select("path", "text"))
+    assert len(P.renew_pins(f"{root}/.quillon", pin_updates(docs, e.pins[0]), dry_run=True)) == 1 and Engine(spark, root).pins[0][0].sha256 == "old"
+    P.renew_pins(f"{root}/.quillon", pin_updates(docs, e.pins[0]))
+    assert [x.code for x in Engine(spark, root).check().collect()] == ["E0060"]
