@@ -171,7 +171,7 @@ def heading_slugs(text: str, body_from: int = 1) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-_EXT = r"\.[A-Za-z][A-Za-z0-9]{0,7}"
+_EXT = r"\.[a-zA-Z][0-9a-zA-Z]{0,7}"
 _TAIL = r"[\w/.-]*"
 CITATION = re.compile("|".join((rf"(?:\.\./)+{_TAIL}{_EXT}", rf"/\w{_TAIL}{_EXT}", rf"\b\w{_TAIL}{_EXT}")).join(("(", ")")) + r":(\d{1,6})(?:-(\d{1,6}))?", re.A)
 

@@ -19,7 +19,7 @@ def slug(title: Column) -> Column:
 
 def external(target: Column) -> Column:
     """Whether a link leaves the corpus: ``//host`` or ``scheme:``."""
-    return target.rlike("^(//|[A-Za-z][A-Za-z0-9+.-]*:)")
+    return target.rlike("^(//|[a-zA-Z][0-9a-zA-Z.+-]*:)")
 
 
 def without_fragment(target: Column) -> Column:
@@ -80,7 +80,7 @@ def claimed_number(line: Column, needle: Column) -> Column:
     return F.when(at > 0, F.try_element_at(found, F.lit(1)))
 
 
-LABEL = r"\b[A-Z]{1,7}(?:-[A-Z]{0,7})?[0-9]{1,4}\b"
+LABEL = r"\b[A-Z][A-Z]{0,6}(?:[-][A-Z]{0,7}|)\d{1,4}\b"
 
 
 def labels(text: Column) -> Column:

@@ -23,7 +23,7 @@ KNOWN = {
     "minProperties", "maxProperties", "items", "prefixItems", "minItems", "maxItems", "uniqueItems", "contains", "pattern", "minLength", "maxLength", "format", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf",
     "allOf", "anyOf", "oneOf", "not", "if", "then", "else", "definitions",
 }
-_FORMATS = {"date": r"^\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])$", "date-time": r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)$", "email": r"^[^@\s]+@[^@\s]+$", "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:\S*$", "uuid": r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"}
+_FORMATS = {"date": r"^\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])$", "date-time": r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)$", "email": r"^[^@\s]+@[^@\s]+$", "uri": r"^[a-zA-Z][0-9a-zA-Z.+-]*:\S*$", "uuid": r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"}
 
 
 def unknown_keywords(schema) -> list[str]:
@@ -62,6 +62,11 @@ def _type_is(v, t: str) -> bool:
     return isinstance(v, dict)
 
 
+def _plain(part: str) -> str:
+    """One step of a JSON pointer without its escapes."""
+    return re.sub("~[01]", lambda m: "~/"[int(m[0][1])], part)
+
+
 def errors(v, schema, root=None, at: str = "") -> Iterator[tuple[str, str, str]]:
     """(pointer, keyword, what is wrong) of every violation."""
     root = schema if root is None else root
@@ -73,7 +78,7 @@ def errors(v, schema, root=None, at: str = "") -> Iterator[tuple[str, str, str]]
     if "$ref" in schema:
         target = root
         for part in schema["$ref"].removeprefix("#").strip("/").split("/") if schema["$ref"] != "#" else ():
-            target = target[part.replace("~1", "/").replace("~0", "~")]
+            target = target[_plain(part)]
         yield from errors(v, target, root, at)
     ok = lambda s: next(errors(v, s, root, at), None) is None
     if (t := schema.get("type")) is not None and not any(_type_is(v, x) for x in ([t] if isinstance(t, str) else t)):
@@ -205,7 +210,7 @@ def _line_of(block: str, pointer: str, keyword: str, first: int) -> int:
     except yaml.YAMLError:
         return 1
     line = None
-    for part in [p.replace("~1", "/").replace("~0", "~") for p in pointer.split("/")[1:]]:
+    for part in map(_plain, pointer.split("/")[1:]):
         if isinstance(node, yaml.MappingNode):
             pair = next(((k, v) for k, v in node.value if k.value == part), None)
             if pair is None:

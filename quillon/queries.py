@@ -278,14 +278,14 @@ def _hrefs(spark, d) -> DataFrame:
     return _t(spark, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
 
 
-@query(f"select distinct page_id, href from {_HREF} h where not exists (select 1 from pages p where regexp_extract(p.url, '^[a-z]+://[^/]+(/[^?#]*)', 1) = split_part(h.href, '#', 1)) and not regexp_matches(href, '^(//|[A-Za-z][A-Za-z0-9+.-]*:)')")
+@query(f"select distinct page_id, href from {_HREF} h where not exists (select 1 from pages p where regexp_extract(p.url, '^[a-z]+://[^/]+(/[^?#]*)', 1) = split_part(h.href, '#', 1)) and not regexp_matches(href, '^(//|[a-zA-Z][0-9a-zA-Z.+-]*:)')")
 def q_dead_links(spark, d):
     there = _t(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1).alias("path")).distinct()
     links = _hrefs(spark, d).where(~X.external(F.col("href"))).select("page_id", "href", X.without_fragment(F.col("href")).alias("path")).distinct()
     return links.join(there, "path", "left_anti").select("page_id", "href")
 
 
-@query(f"select href as target, regexp_matches(href, '^(//|[A-Za-z][A-Za-z0-9+.-]*:)') as external from {_HREF} union all select url, true from pages")
+@query(f"select href as target, regexp_matches(href, '^(//|[a-zA-Z][0-9a-zA-Z.+-]*:)') as external from {_HREF} union all select url, true from pages")
 def q_external_links(spark, d):
     t = _hrefs(spark, d).select(F.col("href").alias("target")).unionByName(_t(spark, d, "pages").select(F.col("url").alias("target")))
     return t.select("target", X.external(F.col("target")).alias("external"))
@@ -340,7 +340,7 @@ def q_coinage(spark, d):
     return q_bold_spans(spark, d).join(known, "term", "left_anti").select("doc_id", "term")
 
 
-@query("""select p_partkey, label from (select p_partkey, unnest(regexp_extract_all('see AB-' || p_size || ', Q' || p_partkey || ' and ' || p_type || p_size || ' or X-' || p_size || 'y', '\\b[A-Z]{1,7}(?:-[A-Z]{0,7})?[0-9]{1,4}\\b')) as label from part)
+@query("""select p_partkey, label from (select p_partkey, unnest(regexp_extract_all('see AB-' || p_size || ', Q' || p_partkey || ' and ' || p_type || p_size || ' or X-' || p_size || 'y', '\\b[A-Z][A-Z]{0,6}(?:[-][A-Z]{0,7}|)\\d{1,4}\\b')) as label from part)
  where not regexp_matches(label, '^AB-[0-9]+$')""")
 def q_label_clusters(spark, d):
     t = F.concat(F.lit("see AB-"), "p_size", F.lit(", Q"), "p_partkey", F.lit(" and "), "p_type", "p_size", F.lit(" or X-"), "p_size", F.lit("y"))
@@ -452,7 +452,7 @@ def q_schema_bounds(spark, d):
 @query("""select p_partkey::varchar as file, '/p_brand' as pointer, 'pattern: doesn''t match ^Brand#[1-9]$' as message from part where not regexp_matches(p_brand, '^Brand#[1-9]$') union all
  select p_partkey::varchar, '/p_name', 'minLength: shorter than 10' from part where length(p_name) < 10""")
 def q_schema_pattern(spark, d):
-    return _schema(spark, d, "part", "p_partkey", {"properties": {"p_brand": {"type": "string", "pattern": "^Brand#[1-9]$"}, "p_name": {"minLength": 10, "maxLength": 100}}})
+    return _schema(spark, d, "part", "p_partkey", {"properties": {"p_brand": {"pattern": "^Brand#[1-9]$", "type": "string"}, "p_name": {"minLength": 10, "maxLength": 100}}})
 
 
 @query("select r_regionkey::varchar as file, '/r_name' as pointer, 'additionalProperties: r_name isn''t allowed' as message from region")

@@ -17,7 +17,7 @@ from .config import ConfigError, read_yaml
 MANIFEST = "manifest.yaml"
 SKELETON = {
     "config.yaml": "file_globs: ['docs/**/*.md']\nrequire_frontmatter: []\n",
-    "schemas/note.json": '{"type": "object", "required": ["schema_class"], "properties": {"schema_class": {"const": "note"}}}\n',
+    "schemas/note.json": '{"required": ["title"], "properties": {"title": {"minLength": 1}}}\n',
     "patterns/example.yaml": "version: 1\npattern:\n  id: example\n  rules: []\n",
 }
 

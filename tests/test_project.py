@@ -30,18 +30,18 @@ def found(spark, root):
 
 
 def test_clean_and_schema(spark, tmp_path):
-    blog = {"type": "object", "required": ["schema_class", "title", "kind"], "additionalProperties": False, "properties": {"schema_class": {"const": "blog"}, "title": {"type": "string", "minLength": 1}, "kind": {"enum": ["a", "b"]}, "on": {"format": "date"}}}
+    memo = {"additionalProperties": False, "required": ["title", "kind", "schema_class"], "properties": {"kind": {"enum": ["red", "blue"]}, "title": {"minLength": 1, "type": "string"}, "on": {"format": "date"}, "schema_class": {"const": "memo"}}, "type": "object"}
     files = {
-        "docs/ok.md": "---\nschema_class: blog\ntitle: T\nkind: a\non: 2024-01-05\n---\nbody\n",
-        "docs/bad.md": "---\nschema_class: blog\ntitle: ''\nkind: c\nextra: 1\non: soon\n---\n",
-        "docs/missing.md": "---\nschema_class: blog\ntitle: T\n---\n",
+        "docs/ok.md": "---\nschema_class: memo\ntitle: T\nkind: red\non: 2024-01-05\n---\nbody\n",
+        "docs/bad.md": "---\nschema_class: memo\ntitle: ''\nkind: c\nextra: 1\non: soon\n---\n",
+        "docs/missing.md": "---\nschema_class: memo\ntitle: T\n---\n",
         "docs/none.md": "no front-matter\n",
         "docs/broken.md": "---\na: [1\n---\n",
         "docs/twice.md": "---\na: 1\na: 2\n---\n",
         "docs/bytes.md": b"\xff\xfe\x00",
         "docs/lost.md": "---\nschema_class: other\n---\n",
     }
-    root = project(tmp_path, files, {"schemas/blog.json": json.dumps(blog), "config.yaml": "file_globs: ['docs/**/*.md', 'nothing/*.md']\nrequire_frontmatter: ['docs/n*.md']\nunknown: fine\n"})
+    root = project(tmp_path, files, {"schemas/memo.json": json.dumps(memo), "config.yaml": "file_globs: ['docs/**/*.md', 'nothing/*.md']\nrequire_frontmatter: ['docs/n*.md']\nunknown: fine\n"})
     got = found(spark, root)
     assert got == sorted(got[:1]) + got[1:]
     assert set(got) == {("E0050", "docs/bad.md", 3), ("E0050", "docs/bad.md", 4), ("E0050", "docs/bad.md", 5), ("E0050", "docs/bad.md", 6), ("E0050", "docs/missing.md", 1), ("W0040", "docs/none.md", 1), ("E0001", "docs/broken.md", 1), ("E0001", "docs/twice.md", 1), ("E0003", "docs/bytes.md", 1), ("W0045", "docs/lost.md", 1), ("W0046", "config.yaml", 1)}
