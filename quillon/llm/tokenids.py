@@ -62,7 +62,7 @@ def encoded(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
 
     def run(batches):
         encode = bpe.encoder(ranks.value).encode_ordinary
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=6).compress
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
