@@ -8,7 +8,6 @@ the space before them, runs of white space), done here for a whole batch at once
 from __future__ import annotations
 
 import base64
-import hashlib
 import unicodedata
 
 import numpy as np
@@ -19,7 +18,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The vocabulary file is a parameter of every operator that needs one; this is its default.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
-_encoders: dict[str, object] = {}
+_encoders: dict[bytes, object] = {}
 _classes: list[np.ndarray] = []
 _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 
@@ -33,11 +32,10 @@ def encoder(data: bytes):
     """The encoder for a rank file's content, built once in a process."""
     import tiktoken
 
-    key = hashlib.sha256(data).hexdigest()
-    if key not in _encoders:
+    if data not in _encoders:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
-        _encoders[key] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[key]
+        _encoders[data] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[data]
 
 
 def _class_table() -> np.ndarray:

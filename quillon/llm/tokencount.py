@@ -82,7 +82,7 @@ def lookup(table, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, found
 
 
-_caches: dict[bytes, dict[int, int]] = {}
+_caches: dict[bytes, dict[int, int]] = {}  # by vocabulary
 
 
 def count(texts: list[str], table, ranks: bytes) -> np.ndarray:
@@ -92,7 +92,7 @@ def count(texts: list[str], table, ranks: bytes) -> np.ndarray:
     n, found = lookup(table, h)
     missed = np.flatnonzero(~found)
     if len(missed):
-        cache = _caches.setdefault(ranks[:64], {})
+        cache = _caches.setdefault(ranks, {})
         encode = bpe.encoder(ranks).encode_ordinary
         keys, first, back = np.unique(h[missed], return_index=True, return_inverse=True)
         lengths = []

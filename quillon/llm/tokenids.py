@@ -58,7 +58,10 @@ def permute(x: np.ndarray, n: int, key: bytes = KEY) -> np.ndarray:
 def encoded(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
     """``(row, doc_id, tie, n_seq, ids)``: ids as compressed 16-bit numbers; written to the shared folder."""
     small_batches(docs)
-    ranks = docs.sparkSession.sparkContext.broadcast(bpe.read_ranks(vocabulary))
+    data = bpe.read_ranks(vocabulary)
+    if bpe.encoder(data).n_vocab > 1 << 16:
+        raise ValueError("records hold 16-bit ids; this vocabulary has more")
+    ranks = docs.sparkSession.sparkContext.broadcast(data)
 
     def run(batches):
         encode = bpe.encoder(ranks.value).encode_ordinary

@@ -316,3 +316,10 @@ def test_single_counts(text):
     ranks = bpe.read_ranks(bpe.VOCABULARY)
     table_ = tokencount.compact(["it", " a"], [1, 1])
     assert tokencount.count([text], table_, ranks).tolist() == [len(bpe.encoder(ranks).encode_ordinary(text))]
+
+
+def test_two_vocabularies_in_one_worker():
+    empty, text = tokencount.compact([], []), "Größe straße"
+    for name in (bpe.VOCABULARY, bpe.VOCABULARY.replace("byte_bpe_50k", "byte_bpe_multi_50k")):
+        ranks = bpe.read_ranks(name)
+        assert tokencount.count([text], empty, ranks).tolist() == [len(bpe.encoder(ranks).encode_ordinary(text))]
