@@ -276,6 +276,26 @@ def test_html_extraction(spark):
     assert htmltext.extract(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", [40, 150])
+def test_html_varying_boilerplate_goes_and_near_copies_stay(spark, n):
+    r = random.Random(n)
+    words = [f"w{i}" for i in range(4000)]
+    some = lambda k: " ".join(r.choice(words) for _ in range(k))
+    pages, kept = [], {}
+    for i in range(n):
+        links = "".join(f"<li><a href=/l{k}>Menu{k}</a>" for k in range(4 + i % 3))
+        if i % 10 == 1:  # a near copy of the page before
+            paras = [kept[i - 1][0], kept[i - 1][1] + " edited"]
+        else:
+            paras = [some(30), some(40)]
+        kept[i] = paras
+        pages.append((i, "https://v.example/", f"<body><nav><ul>{links}</ul></nav><div class=ad>Advert{i % 3} buy our best thing</div><article><p>{paras[0]}<p>{paras[1]}</article><footer>Example pages, rendered for you by server {some(1)}</footer></body>"))
+    got = {x.page_id: x.text for x in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len(got) == n
+    for i, paras in kept.items():
+        assert got[i] == "\n".join(paras), (i, got[i])
+
+
 def test_html_importance_by_hand():
     root = htmltext.ROOT_SIGNED
     nodes = [(root, 0.0, 1, 10, 0, False), (1, 0.05, 1, 10, 0, True), (2, 0.9, 10, 10, 10, True), (3, 0.1, 1, 10, 0, False), (4, 0.2, 1, 10, 0, True)]
