@@ -1,11 +1,13 @@
 """License scan by conditional compression.
 
-Candidate blocks are runs of lines that hold a trigger word (``TRIGGERS``), found before text leaves the JVM
-in documents that have none.  Each block, in lower case with white space collapsed, is compressed by zstandard with each
+Lines that hold a trigger word (``TRIGGERS``) or a licence's name (``NAMES``) are found before text leaves the JVM
+in documents that have none.  Around them, as far as the longest template reaches, each template is sought in ranges of
+whole lines, so that wrapped wording is found whatever its width and wherever blank lines stand in it; the confirmed range with the fewest
+differences is a candidate block, with the copyright lines beside it, longer templates first.  What trigger lines are left form blocks by runs.  Each block, in lower case with white space collapsed, is compressed by zstandard with each
 template as a raw-content dictionary, and without one; what the dictionary saves is the share
-``1 - with / without``.  The template that saves most (ties: the one named first) wins, and is confirmed by the exact wording: the
+``1 - with / without``.  The template that saves most (ties: the one named first) is confirmed by the exact wording: the
 template's words missing from the block and the block's words that aren't the template's, by longest common
-subsequence.  ``verdict`` is ``exact`` if neither is left but copyright lines, ``modified`` if at most ``MISSING``
+subsequence; if it isn't confirmed, the next in that order is tried, and of those confirmed the one with the fewest such words wins.  ``verdict`` is ``exact`` if neither is left but copyright lines, ``modified`` if at most ``MISSING``
 of the template's words are missing and all its naming words (``MARKS``) are there in order, else ``unconfirmed``.
 
 A mapped pass only; templates and their dictionaries are a few KB built in each worker.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -28,7 +31,11 @@ from pyspark.sql import functions as F
 from .common import small_batches, strings
 
 TRIGGERS = ("licen", "copyright", "rights reserved", "public domain", "permission", "redistribut", "warrant", "spdx")
+#: Names that make a candidate without a trigger word, in Python's and Java's regular expressions alike.
+NAMES = r"(?<![0-9a-z])(?:[al]?gpl(?:v?[0-9.]+)?|cc[ -]by(?:-[a-z]{2})*|cc0|mpl|bsd|creative commons)(?![0-9a-z])"
 MISSING, LEVEL = 0.25, 19
+#: Templates of fewer words than SHORT must stand in a block without a gap.
+SHORT = 5
 
 #: (name, wording, naming words)
 TEMPLATES = (
@@ -51,6 +58,7 @@ TEMPLATES = (
         "the Software.",
         "permission granted free of charge software",
     ),
+    ("MIT", "MIT License", "mit license"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2 0"),
     (
         "Apache-2.0",
@@ -59,22 +67,31 @@ TEMPLATES = (
     ),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", "gnu general public license 2"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu general public license 3"),
+    ("GPL-2.0", "Distributed under GPL version 2.", "gpl version 2"),
+    ("GPL-3.0", "Distributed under GPL version 3.", "gpl version 3"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", "gnu lesser general public license 3"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", "gnu affero general public license 3"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License.", "bsd 3"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License.", "bsd 2"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla public license 2 0"),
+    ("CC-BY-4.0", "CC BY 4.0", "cc by 4 0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0.", "cc by 4 0"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0", "cc by sa 4 0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "cc by sa 4 0"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0", "cc by nc 4 0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "cc by nc 4 0"),
+    ("CC-BY-ND-4.0", "CC BY-ND 4.0", "cc by nd 4 0"),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0.", "cc by nd 4 0"),
     ("CC0-1.0", "Released under CC0 1.0 Universal, dedicated to the public domain.", "cc0 1 0"),
+    ("CC0-1.0", "Released under CC0 1.0.", "cc0 1 0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered public domain"),
     ("Proprietary", "All rights reserved.", "all rights reserved"),
 )
 
 _WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
 _COPYRIGHT = re.compile(r"^\W*(copyright|\(c\)|©).*$")
+_NAMES = re.compile(NAMES)
+_WORDS = [(name, _WORD.findall(wording.lower()), marks.split()) for name, wording, marks in TEMPLATES]
 
 
 def normal(text: str) -> str:
@@ -82,19 +99,105 @@ def normal(text: str) -> str:
 
 
 def blocks(text: str, triggers: tuple[str, ...] = TRIGGERS):
-    """(first line, last line, block) of every run of lines with a trigger word; lines count from 0."""
-    run: list[str] = []
-    first = 0
+    """(first line, last line, block) of every candidate; lines count from 0."""
     lines = text.split("\n")
-    for i, line in enumerate([*lines, ""]):
-        low = line.lower()
-        if i < len(lines) and any(t in low for t in triggers):
-            if not run:
-                first = i
-            run.append(line)
-        elif run:
-            yield first, i - 1, "\n".join(run)
-            run = []
+    low = [x.lower() for x in lines]
+    hit = [i for i, x in enumerate(low) if any(t in x for t in triggers) or _NAMES.search(x)]
+    if not hit:
+        return
+    words = [() if _COPYRIGHT.match(x) else _WORD.findall(x) for x in low]
+    owner: dict[int, tuple[int, int]] = {}
+    todo = 0
+    while todo < len(hit):  # a stretch of lines that one template can't reach beyond
+        first = _reach(words, hit[todo], -1)
+        last = _reach(words, hit[todo], 1)
+        todo += 1
+        while todo < len(hit) and _reach(words, hit[todo], -1) <= last:
+            last = _reach(words, hit[todo], 1)
+            todo += 1
+        for at in _found(words, first, last, hit):
+            for i in range(at[0], at[1] + 1):
+                owner[i] = at
+    for step in (-1, 1):  # copyright lines go with the wording below them, else above
+        for i in hit if step > 0 else reversed(hit):
+            if i not in owner and _COPYRIGHT.match(low[i]):
+                k = i - step
+                while 0 <= k < len(lines) and not low[k].strip():
+                    k -= step
+                if k in owner:
+                    old = owner[k]
+                    new = (min(i, old[0]), max(i, old[1]))
+                    for j in range(new[0], new[1] + 1):
+                        owner[j] = new
+    left = [i for i in hit if i not in owner]
+    runs: list[list[int]] = []
+    for i in left:
+        if runs and runs[-1][1] == i - 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    for i, j in sorted({*owner.values(), *map(tuple, runs)}):
+        yield i, j, "\n".join(lines[i : j + 1])
+
+
+def _reach(words: list, at: int, step: int) -> int:
+    """The line as far from ``at`` as the longest template, changed as much as it may be, reaches."""
+    most = max(len(w) for _, w, _ in _WORDS) * (1 + MISSING)
+    gaps = 0
+    while 0 <= at + step < len(words) and most > 0 and gaps < 50:
+        at += step
+        most -= len(words[at])
+        gaps += not words[at]
+    return at
+
+
+def _found(words: list, first: int, last: int, hit: list[int]) -> list[tuple[int, int]]:
+    """Ranges of lines, first..last at most, each of which holds one template's wording and a line of ``hit``."""
+    taken: set[int] = set()
+    out = []
+    have = Counter(w for x in words[first : last + 1] for w in x)
+    near = {i for i in hit if first <= i <= last}
+    for _, wording, marks in sorted(_WORDS, key=lambda t: -len(t[1])):
+        need, n = Counter(wording), len(wording)
+        if sum((need & have).values()) < (1 - MISSING) * n:
+            continue
+        fits = []
+        for a in range(first, last + 1):
+            if a in taken or not words[a]:
+                continue
+            got: list[str] = []
+            for b in range(a, last + 1):
+                if b in taken or (b > a and len(got) >= (1 + MISSING) * n):
+                    break
+                if not words[b]:
+                    continue
+                got = [*got, *words[b]]
+                if near.isdisjoint(range(a, b + 1)) or sum((need & Counter(got)).values()) < (1 - MISSING) * n:
+                    continue
+                missing, extra = differences(wording, got)
+                if confirmed(wording, marks, got, missing):
+                    fits.append((len(missing) + len(extra), a, b))
+        for _, a, b in sorted(fits):
+            if taken.isdisjoint(range(a, b + 1)):
+                out.append((a, b))
+                taken.update(range(a, b + 1))
+    return out
+
+
+def differences(wording: list[str], words: list[str]) -> tuple[list[str], list[str]]:
+    """(words of the template that are missing, words that aren't the template's)."""
+    missing, extra = [], []
+    for op, a, b, c, d in difflib.SequenceMatcher(None, wording, words, autojunk=False).get_opcodes():
+        if op != "equal":
+            missing += wording[a:b]
+            extra += words[c:d]
+    return missing, extra
+
+
+def confirmed(wording: list[str], marks: list[str], words: list[str], missing: list[str]) -> bool:
+    if len(wording) < SHORT:
+        return any(words[i : i + len(wording)] == wording for i in range(len(words)))
+    return len(missing) <= MISSING * len(wording) and _in_order(marks, words)
 
 
 _tools: list = []
@@ -122,22 +225,21 @@ def judge(block: str) -> tuple[str, float, list[str], list[str], str]:
     data = normal(block).encode("utf-8", "surrogatepass")
     base = len(plain.compress(data))
     saved = [1 - len(c.compress(data)) / base for *_, c in made]
-    best = max(range(len(made)), key=lambda i: (saved[i], -i))
-    name, wording, marks, _ = made[best]
+    ranking = sorted(range(len(made)), key=lambda i: (-saved[i], i))
     body = "\n".join(x for x in block.lower().split("\n") if not _COPYRIGHT.match(x)) or block.lower()
     words = _WORD.findall(body)
-    missing, extra = [], []
-    for op, a, b, c, d in difflib.SequenceMatcher(None, wording, words, autojunk=False).get_opcodes():
-        if op != "equal":
-            missing += wording[a:b]
-            extra += words[c:d]
-    if not missing and not extra:
-        verdict = "exact"
-    elif len(missing) <= MISSING * len(wording) and _in_order(marks, words):
-        verdict = "modified"
-    else:
-        verdict = "unconfirmed"
-    return name, saved[best], missing, extra, verdict
+    have, sure = Counter(words), []
+    for place, i in enumerate(ranking):
+        _, wording, marks, _ = made[i]
+        if sum((Counter(wording) & have).values()) >= (1 - MISSING) * len(wording):
+            missing, extra = differences(wording, words)
+            if confirmed(wording, marks, words, missing):
+                sure.append((len(missing) + len(extra), place, i, missing, extra))
+    if sure:
+        apart, _, best, missing, extra = min(sure)
+        return made[best][0], saved[best], missing, extra, "modified" if apart else "exact"
+    best = ranking[0]
+    return made[best][0], saved[best], *differences(made[best][1], words), "unconfirmed"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -147,6 +249,7 @@ def scan(docs: DataFrame) -> DataFrame:
     some = low.contains(TRIGGERS[0])
     for t in TRIGGERS[1:]:
         some |= low.contains(t)
+    some |= low.rlike(NAMES)
 
     def run(batches):
         known: dict[str, tuple] = {}

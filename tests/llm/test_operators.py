@@ -198,6 +198,23 @@ def test_license_scan(spark):
     assert sorted((x.doc_id is None, x.doc_id or 0, x.first_line, x.last_line, *map(repr, (x.license, x.saved, x.missing, x.extra, x.verdict))) for x in got.collect()) == want
 
 
+@pytest.mark.parametrize("width", [60, 72, 80])
+def test_license_wording_wrapped_and_named(width):
+    import textwrap
+
+    for name, wording, _ in licenses.TEMPLATES:
+        text = "an article of some words\n\n" + textwrap.fill(wording, width, break_on_hyphens=False) + "\n\nand its end"
+        got = [licenses.judge(b) for _, _, b in licenses.blocks(text)]
+        assert [(g[0], g[4]) for g in got] == [(name, "exact")], (wording, got)
+    mit = next(w for _, w, _ in licenses.TEMPLATES if w.startswith("Permission"))
+    head, tail = mit.split("The above")
+    text = f"MIT License\n\nCopyright (c) 2020 A B\n\n{textwrap.fill(head, width)}\n\n{textwrap.fill('The above' + tail, width)}\n"
+    got = [(f, licenses.judge(b)) for f, _, b in licenses.blocks(text)]
+    assert [(f, g[0], g[4]) for f, g in got] == [(0, "MIT", "exact"), (2, "MIT", "exact")]
+    for text, name in (("Distributed under GPL version 3", "GPL-3.0"), ("CC BY 4.0", "CC-BY-4.0"), ("Released under CC0 1.0", "CC0-1.0")):
+        assert [licenses.judge(b)[::4] for _, _, b in licenses.blocks(text)] == [(name, "exact")], text
+
+
 def test_feistel_is_a_permutation():
     for n in (0, 1, 2, 3, 5, 64, 1000, 4097):
         assert sorted(tokenids.permute(np.arange(n), n).tolist()) == list(range(n))
