@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from . import decontam, htmltext, langid, licenses, linededup, ngramjoin, packing, quality, tokencount, tokenids
-from .common import table
+from .common import shared_folder, table
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -37,8 +39,8 @@ def op6_license_scan(spark, sf_dir):
 
 
 def op7_token_ids(spark, sf_dir):
-    """Every sequence's slot and record, shard by shard."""
-    return tokenids.materialise(table(spark, sf_dir, "documents"))
+    """Every sequence's slot and record, shard by shard; shards and manifest stay in a new folder ``op7_token_ids/*`` of the shared one."""
+    return tokenids.shards(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/op7_token_ids/{uuid.uuid4().hex}")
 
 
 def op8_html_extraction(spark, sf_dir):

@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import bpe
 from .common import small_batches, strings, written
@@ -133,32 +134,39 @@ def materialise(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, length: int =
 def write_shards(made: DataFrame, folder: str, length: int = LENGTH, records: int = RECORDS) -> dict:
     """Write each partition of :func:`materialise` as ``shard-<i>.bin``, and ``manifest.json``; returns the manifest.
 
-    ``folder`` is a URI that pyarrow can open (file, hdfs, s3).  A shard is written under a name of its attempt and
-    then renamed, so a repeated task leaves a whole file.
+    ``folder`` is a URI that pyarrow can open (file, hdfs, s3).  The records' other columns go to ``rows-<i>.arrow``, in the same
+    order.  Files are written under a name of their attempt and then renamed, so a repeated task leaves whole files; the
+    manifest comes last.
     """
 
     def save(batches):
-        out = shard = stream = name = None
+        stream = None
         fs, root = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(root)
         n = 0
         for b in batches:
             if not b.num_rows:
                 continue
+            rest = b.drop_columns(["shard", "record"])
             if stream is None:
                 import uuid
 
-                shard = b.column("shard")[0].as_py()
-                name = f"{root}/.shard-{shard:06d}-{uuid.uuid4().hex}"
-                out = stream = fs.open_output_stream(name)
-            out.write(b"".join(b.column("record").to_pylist()))
+                shard, name = b.column("shard")[0].as_py(), uuid.uuid4().hex
+                stream = fs.open_output_stream(f"{root}/.shard-{name}")
+                beside = fs.open_output_stream(f"{root}/.rows-{name}")
+                table = pa.ipc.new_stream(beside, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            stream.write(b"".join(b.column("record").to_pylist()))
+            table.write_batch(rest)
             n += b.num_rows
         if stream is not None:
-            out.close()
-            fs.move(name, f"{root}/shard-{shard:06d}.bin")
+            stream.close()
+            table.close()
+            beside.close()
+            fs.move(f"{root}/.shard-{name}", f"{root}/shard-{shard:06d}.bin")
+            fs.move(f"{root}/.rows-{name}", f"{root}/rows-{shard:06d}.arrow")
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64())], ["shard", "n"])
 
-    parts = sorted((r.shard, r.n) for r in made.select("shard", "record").mapInArrow(save, "shard int, n long").collect())
+    parts = sorted((r.shard, r.n) for r in made.mapInArrow(save, "shard int, n long").collect())
     manifest = {"length": length, "stride": 2 * length, "records_per_shard": records, "sequences": sum(n for _, n in parts), "shards": [{"shard": s, "records": n} for s, n in parts]}
     fs, root = pa.fs.FileSystem.from_uri(folder)
     fs.create_dir(root)
@@ -167,6 +175,35 @@ def write_shards(made: DataFrame, folder: str, length: int = LENGTH, records: in
     return manifest
 
 
+def read_rows(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The rows of :func:`materialise` from the files of :func:`write_shards`, partition i being shard i in order of slots."""
+    fs, root = pa.fs.FileSystem.from_uri(folder)
+    with fs.open_input_stream(f"{root}/manifest.json") as f:
+        m = json.loads(f.read())
+    stride = m["stride"]
+
+    def run(batches):
+        fs, root = pa.fs.FileSystem.from_uri(folder)
+        for shard in (x for b in batches for x in b.column("shard").to_pylist()):
+            with fs.open_input_stream(f"{root}/shard-{shard:06d}.bin") as f, fs.open_input_stream(f"{root}/rows-{shard:06d}.arrow") as g:
+                for b in pa.ipc.open_stream(g):
+                    for i in range(0, b.num_rows, 256):
+                        part = b.slice(i, 256)
+                        data = f.read(part.num_rows * stride)
+                        made = {"shard": pa.array([shard] * part.num_rows, pa.int32()), "record": pa.array([data[k : k + stride] for k in range(0, len(data), stride)], pa.binary())}
+                        yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(c) for c in schema.names], schema.names)
+
+    shards = spark.createDataFrame([(x["shard"],) for x in m["shards"]], "shard int")
+    return shards.repartitionById(max(1, len(m["shards"])), "shard").mapInArrow(run, schema)
+
+
+def shards(docs: DataFrame, folder: str, vocabulary: str = bpe.VOCABULARY, length: int = LENGTH, records: int = RECORDS, key: bytes = KEY) -> DataFrame:
+    """Write the shards and the manifest of ``docs`` to ``folder``; the rows of :func:`materialise`, read back from there."""
+    made = materialise(docs, vocabulary, length, records, key)
+    write_shards(made, folder, length, records)
+    return read_rows(docs.sparkSession, folder, made.schema)
+
+
 def read_slots(folder: str, first: int = 0, count: int | None = None):
     """The id arrays of ``count`` slots from ``first`` on, read in order by offset."""
     fs, root = pa.fs.FileSystem.from_uri(folder)

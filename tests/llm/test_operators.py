@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on nulls, empty and long texts, ties, repeats, empty tables and extra columns."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -246,6 +247,23 @@ def test_token_ids_round_trip(spark, tmp_path):
     assert tokenids.materialise(table(spark, [])).count() == 0
 
 
+def test_token_ids_query_leaves_shards(spark, tmp_path):
+    from quillon.llm.common import shared_folder
+    from quillon.llm.queries import op7_token_ids
+
+    rows = corpus(5, 20)
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    top = shared_folder(spark).removeprefix("file://") + "/op7_token_ids"
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    got = op7_token_ids(spark, str(tmp_path)).collect()
+    (new,) = set(os.listdir(top)) - before
+    disk = [x.astype("<u2").tobytes() for x in tokenids.read_slots(f"file://{top}/{new}")]
+    assert [x.slot for x in got] == list(range(len(disk))) and [bytes(x.record) for x in got] == disk
+    want = tokenids.materialise(table(spark, rows)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert tokenids.shards(table(spark, []), f"file://{tmp_path}/none").count() == 0
+
+
 def test_pretokens_and_counts(spark):
     import regex
 
