@@ -3,7 +3,8 @@
 Text is lower-cased; every run of characters that aren't letters counts as one space.  Its
 n-grams of 1 to ``ORDERS`` characters are hashed to ``BUCKETS`` columns.  The model is a matrix of log
 probabilities, languages by columns, with additive smoothing and a uniform prior; it is
-fitted on about ``TRAIN_ROWS`` labelled rows, chosen by a hash of the row, and broadcast (512 KiB a
+fitted on about ``TRAIN_ROWS`` labelled rows, of each language all or as many as of any other, and at least ``LEAST_ROWS`` or all,
+chosen by a hash of the row, and broadcast (512 KiB a
 language, whatever the corpus).  A batch is scored as a sparse count matrix times the log
 probabilities: a gather and a segmented sum in numpy, over whole texts.  Nothing is shuffled but one
 row per language and training task.
@@ -34,6 +35,8 @@ from .common import small_batches, strings
 BUCKETS, ORDERS, ALPHA = 1 << 16, 3, 0.1
 #: The bound on the labelled rows that train the model (the sample is near it, not exactly it).
 TRAIN_ROWS = 20_000
+#: A language has so many of its labelled rows, or all, even where the bound is then exceeded.
+LEAST_ROWS = 500
 MIN_POSTERIOR = 0.5
 #: Bytes of text scored at once: each takes about 200 bytes of a worker's memory while it is.
 BLOCK = 1 << 17
@@ -82,13 +85,27 @@ def columns(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return col[order], own[order]
 
 
+def _share(sizes: list[int], rows: int) -> int:
+    """The bound on the rows of one language by which all languages have about ``rows``; ``sizes`` ascend."""
+    for i, v in enumerate(sizes):
+        if v * (len(sizes) - i) >= rows:
+            return max(LEAST_ROWS, rows // (len(sizes) - i))
+        rows -= v
+    return max(LEAST_ROWS, *sizes)
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities [column, language]) from the labels in ``lang``."""
     small_batches(docs)
     labelled = docs.select("lang", "text").where("lang is not null and text is not null")
-    n = labelled.count()
+    have = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
+    n = sum(have.values())
     if n > rows:
-        labelled = labelled.where(F.pmod(F.xxhash64("lang", "text"), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+        most = _share(sorted(have.values()), rows)
+        scarce = {k: int(most / v * (1 << 30)) for k, v in have.items() if v > most}
+        if scarce:
+            bound = F.create_map(*(F.lit(x) for kv in scarce.items() for x in kv))[F.col("lang")]
+            labelled = labelled.where(bound.isNull() | (F.pmod(F.xxhash64("lang", "text"), F.lit(1 << 30)) < bound))
 
     def count(batches):
         total: dict[str, np.ndarray] = {}

@@ -182,6 +182,16 @@ def test_hilbert_curve():
     assert [brute.hilbert(p, 3) for p in pts.tolist()] == keys.tolist()
 
 
+def test_language_training_sample_is_per_language(spark):
+    r = random.Random(3)
+    rows = [("rare", f"xyzzy plugh {i} {prose(r, 3)}") for i in range(30)] + [("common", f"{prose(r, 4)} {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    langs, logp = langid.train(df, 200)
+    assert langs == ["common", "rare"]
+    assert np.array_equal(logp[:, 1], langid.train(df.where("lang = 'rare'"))[1][:, 0])
+    assert langid._share([1, 10, 3000, 6000], 5000) == 2494 and langid._share([5], 100) == 500
+
+
 def test_license_scan(spark):
     lines = [w for _, w, _ in licenses.TEMPLATES]
     docs = [(i, f"some text\n{t}\nmore text") for i, t in enumerate(lines)]
