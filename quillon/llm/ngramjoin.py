@@ -1,48 +1,53 @@
 """N-gram Jaccard join by vertical partitioning.
 
-Documents are sets of word ``N``-grams, hashed; the global order of n-grams is the order of their hashes, so
-equal ranges of it hold equal shares of the corpus, and no sampling or frequency table is needed to cut it.
-
-1. Documents with the same set are collapsed to one (their pairs have similarity 1).
-2. Candidates.  Each set's first ``PREFIX`` n-grams in the global order are dealt to tasks by a second hash, with
-   the first ``SKETCH`` n-grams as a sketch.  Two sets that share one of them are a candidate if their sizes allow the threshold
-   and their sketches agree on no fewer of the first ``SKETCH`` n-grams of the union than three standard deviations below the threshold;
-   the pair belongs to its first common n-gram, so each is found once.
-3. Counting.  The pairs of one n-gram form a cell.  The sets of a cell are cut at the bounds of ``V`` fragments of the global order; each
-   (cell, fragment) counts partial overlaps by a matrix product, and these are summed per pair.  The similarity is exact.
-
-Step 2 may miss a pair near the threshold t, with probability about (1 - J) ** PREFIX (0.4 % at J = 0.5, 0.002 % at
-0.75); sets of up to ``PREFIX`` n-grams never miss.  No limit is set on partners or candidates.
-
-Scale: texts are read twice, and what is shuffled is PREFIX small rows per set, then whole sets, only of documents that have a
-candidate (a Bloom filter of at most ``MAX_BITS`` bits keeps the rest from moving).  Fragments of step 2 grow in number with the
-documents, those of step 3 with the largest cell; a cell of more than ``TILE`` sets is cut into tiles of pairs of blocks.  The result has every
-pair, so groups of k copies give k (k - 1) / 2 rows; :func:`groups` needs a forest of them only.
-
-Defined results: null doc_ids, null texts and texts without a word take no part; a text of fewer than N words has one n-gram of all its words;
-rows equal in doc_id and n-grams count once, and no document is paired with itself; columns other than doc_id and text are ignored.
-:func:`keep_one` hands all columns on.
+Documents are sets of word ``N``-grams, hashed to 56 bits.  Two documents are linked if their sets have a Jaccard similarity
+of ``THRESHOLD`` t or more; a class is what links connect.  All links are found; none is sampled, and no partners are capped.
+
+1. Sets.  Documents with the same set are one set with a weight (they are linked to each other).
+2. Order.  The hash range of n-grams is cut into fragments.  A fragment has every occurrence of its n-grams, so it counts in how many
+   sets each one is, and hands those in two sets or more back to their sets.  n-grams of one set alone are never part of an overlap: a set
+   x with fewer than t |x| others has no partner and goes no further.  The global order is by frequency, rarest first.
+3. Candidates.  A set has ``KEYS`` min-wise keys, each the least hash of its shared n-grams; sets with a key in common are a cell.  Near
+   copies nearly always meet there.  Pairs that don't are found by the exact prefix filter: similar sets have one of their
+   |x| - ceil(t |x|) + 1 rarest n-grams in common.  Each prefix n-gram compares only the sets that have no key in common.
+4. Counting.  The sets of a cell are cut at the bounds of ``V`` fragments of the order; each (cell, fragment) counts partial overlaps, and these
+   are summed per pair.  A pair belongs to the first of its cells.  What leaves a cell is each set's links and one edge to its
+   lowest partner, not the pairs.
+5. Classes are the connected components of these edges.
+
+Scale and skew.  Texts are read twice; n-grams move once, in packed blobs, and those of several sets once more.  n-grams that are in more than
+a thousandth of all documents (a line that a third of them share) are counted where they are read, and don't go to a fragment.  A cell or
+prefix n-gram of more than ``TILE`` sets is cut into pairs of tiles by a shuffle key, before anything is compared.  Work is
+quadratic in the different texts of a group of near copies, as counting all links is; rows aren't.
+
+Defined results: one row for each (doc_id, set of n-grams), so a doc_id that has two texts has two; rows equal in both are one document; null doc_ids
+take no part; a null text, or one without a word, is a class of its own without links; a text of fewer than N words has one n-gram of all its words.
+Texts are taken whole, however long.  class_id is the class's lowest doc_id; links counts the other documents that are linked to this one. Other columns
+are ignored; :func:`keep_one` hands them on.  Sets are told apart by 64-bit hashes and n-grams by 56-bit ones; a collision, expected once
+for some 10^9 different sets, would merge two of them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import free_name, small_batches, strings, written
+from .common import remove, small_batches, strings, written
+from .filters import row_hash, split
 
-N, THRESHOLD, PREFIX, SKETCH = 3, 0.5, 8, 32
-V, TILE, MAX_BITS = 4, 4096, 1 << 30
-ENTRIES_PER_FRAGMENT, TOKENS_PER_BUCKET = 40_000, 1_000_000
-_TOP = 56  # bits of a hash
-_CHUNK = 1 << 15
+N, THRESHOLD, KEYS, V, TILE = 3, 0.5, 4, 4, 1024
+#: n-grams in a fragment (about 50 MB in its task), n-grams in a block of the map side, prefix n-grams in a fragment of candidates.
+FRAGMENT, BLOCK, PREFIXES = 6_000_000, 3_000_000, 3_000_000
+#: n-grams of a cell in one fragment, beyond which cells get more fragments than V.
+CELL = 1_000_000
+#: An n-gram is counted on the map side if some block has it so many times, and in all more than 1 / HOT of the documents do.
+SEEN, HOT = 16, 1000
+_KEYS = [f"key{q}" for q in range(KEYS)]
 
 
 def _sets(texts: pa.Array, n: int):
@@ -59,360 +64,522 @@ def _sets(texts: pa.Array, n: int):
         yield i, len(part), g, ends, sig
 
 
-def _pack(x: np.ndarray, width: int) -> bytes:
+def _pack(x: np.ndarray, width: int = 7) -> bytes:
     return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _unpack(data, width: int) -> np.ndarray:
+def _unpack(data, width: int = 7) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8).reshape(-1, width)
     out = np.zeros((len(raw), 8), np.uint8)
     out[:, :width] = raw
     return out.view("<u8").reshape(-1)
 
 
-def distinct_sets(docs: DataFrame, n: int) -> DataFrame:
-    """``(sig, size, sketch, ids)`` of every different set; sketch packs the first n-grams' upper 40 bits."""
+def _gather(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Indexes of runs that begin at ``start`` and have ``count`` entries, one after another."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def _range(h: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a 56-bit hash: parts are equal ranges of the order."""
+    return ((h >> np.uint64(24)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _home(sig: np.ndarray, parts: int) -> np.ndarray:
+    return _range(sig >> np.uint64(8), parts)
+
+
+def _code(count: np.ndarray) -> np.ndarray:
+    """A frequency to a fourth of a power of two, in a byte; what the order is by."""
+    return np.minimum(255, 4 * np.log2(np.maximum(count, 1))).astype(np.uint8)
+
+
+def _blob(sig, size, count, grams, codes=None) -> bytes:
+    return b"".join((np.array([len(sig), codes is not None], "<u8").tobytes(), sig.astype("<u8").tobytes(), size.astype("<u4").tobytes(), count.astype("<u4").tobytes(), _pack(grams), b"" if codes is None else codes.tobytes()))
+
+
+def _read(data):
+    n, coded = np.frombuffer(data, "<u8", 2).tolist()
+    sig = np.frombuffer(data, "<u8", n, 16)
+    size, count = np.frombuffer(data, "<u4", 2 * n, 16 + 8 * n).reshape(2, n).astype(np.int64)
+    at, m = 16 + 16 * n, int(count.sum())
+    return sig, size, count, _unpack(data[at : at + 7 * m]), np.frombuffer(data, np.uint8, m, at + 7 * m) if coded else None
+
+
+def _width(df: DataFrame) -> int:
+    """Partitions for work that is heavy for its bytes."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+
+
+def documents(docs: DataFrame, n: int) -> DataFrame:
+    """``(doc_id, print, sig, size)`` of every row, sig null without a word, and rows ``(hot)`` of n-grams frequent in a block of them."""
+
+    names = ["doc_id", "print", "sig", "size", "hot"]
+
+    def frequent(held, kind):
+        g, k = np.unique(np.concatenate(held), return_counts=True)
+        data = np.stack([g[k >= SEEN], k[k >= SEEN].astype(np.uint64)]).astype("<u8").tobytes()
+        return pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (kind, pa.int64(), pa.int64(), pa.int32())), pa.array([data], pa.binary())], names)
 
     def run(batches):
+        held: list[np.ndarray] = []
+        kind = None
         for b in batches:
+            kind = b.schema.field("doc_id").type
             for i, k, g, ends, sig in _sets(strings(b, "text"), n):
-                some = np.flatnonzero(np.diff(ends))
-                short = g >> np.uint64(_TOP - 40)
-                data = _pack(short, 5)
-                sketches = [data[5 * e : 5 * min(f, e + SKETCH)] for e, f in zip(ends[some].tolist(), ends[some + 1].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[some].view(np.int64)), pa.array(np.diff(ends)[some]), pa.array(sketches, pa.binary()), b.column("doc_id").take(pa.array(some + i))], ["sig", "size", "sketch", "doc_id"])
+                held.append(g)
+                size = np.diff(ends).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, k), b.column("print").slice(i, k), pa.array(sig.view(np.int64), mask=size == 0), pa.array(size), pa.nulls(k, pa.binary())], names)
+                if sum(map(len, held)) >= BLOCK:
+                    yield frequent(held, kind)
+                    held = []
+        if held:
+            yield frequent(held, kind)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null").mapInArrow(run, f"sig long, size long, sketch binary, doc_id {kind}")
-    return rows.groupBy("sig").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.sort_array(F.collect_set("doc_id")).alias("ids"))
+    rows = docs.select("doc_id", "text", row_hash().alias("print")).where("doc_id is not null")
+    return written(rows.mapInArrow(run, f"doc_id {kind}, print long, sig long, size int, hot binary"), "sets")
 
 
-def _pairs(groups: np.ndarray):
-    """Chunks of index pairs (i, j), i < j, within runs of equal values of a sorted array."""
-    start = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
-    end = np.repeat(np.append(start[1:], len(groups)), np.diff(np.append(start, len(groups))))
-    left, d = np.arange(len(groups)), 1
-    out, n = [], 0
-    while True:
-        left = left[left + d < end[left]]
-        if not len(left):
-            break
-        out.append((left, left + d))
-        n += len(left)
-        d += 1
-        if n >= _CHUNK:
-            yield np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
-            out, n = [], 0
-    if out:
-        yield np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
-
-
-_PAD = np.uint64((1 << 64) - 1)
-
-
-def _promising(a: np.ndarray, b: np.ndarray, token: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of sketches (rows padded with _PAD) are candidates with ``token`` as the first common n-gram."""
-    both = np.concatenate((a, b), axis=1)
-    both.sort(axis=1)
-    twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _PAD)
-    first = both[np.arange(len(both)), twice.argmax(1)] == token
-    new = np.ones(both.shape, np.bool_)
-    new[:, 1:] = ~twice
-    new &= both != _PAD
-    rank = new.cumsum(1)
-    whole = np.minimum(SKETCH, rank[:, -1])
-    common = (twice & (rank[:, 1:] <= SKETCH)).sum(1)
-    mean = whole * threshold
-    # where both sets are shown whole, the sketches give the similarity itself
-    need = np.where(rank[:, -1] < SKETCH, mean, mean - 3 * np.sqrt(mean * (1 - threshold)))
-    return first & (common >= np.maximum(1, np.ceil(need - 1e-9)))
-
-
-def candidate_cells(sets: DataFrame, n_sets: int, threshold: float) -> DataFrame:
-    """``(cell, sigs, tokens, pairs)``: pairs to count, as a matrix of bits over the cell's sets."""
-    fragments = max(1, math.ceil(n_sets * PREFIX / ENTRIES_PER_FRAGMENT))
+def _hot(found: DataFrame, rows: int, grams: int):
+    """(n-grams in order, their codes), broadcast: at most a million, whatever the corpus."""
+    least = max(SEEN, rows // HOT, grams // 1_000_000)
 
     def spread(batches):
         for b in batches:
-            size, sig = b.column("size").to_numpy(), b.column("sig").to_numpy()
-            blobs = b.column("sketch")
-            k = np.minimum(size, PREFIX)
-            row = np.repeat(np.arange(len(k)), k)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
-            full = np.frombuffer(blobs.buffers()[2], np.uint8)
-            off = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
-            token = np.zeros(len(row), np.uint64)
-            for j in range(5):
-                token |= full[off[row] + 5 * at + j].astype(np.uint64) << np.uint64(8 * j)
-            frag = tk.mix(token) % np.uint64(fragments)  # first n-grams crowd at the order's beginning
-            yield pa.RecordBatch.from_arrays([pa.array(frag.astype(np.int32)), pa.array(token.astype(np.int64)), pa.array(sig[row]), pa.array(size[row]), blobs.take(pa.array(row))], ["frag", "token", "sig", "size", "sketch"])
-
-    def join(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).combine_chunks()
-        token = t.column("token").to_numpy().astype(np.uint64)
-        order = np.lexsort((t.column("sig").to_numpy(), token))
-        token = token[order]
-        alone = np.append(True, token[1:] != token[:-1])
-        alone &= np.append(alone[1:], True)
-        order, token = order[~alone], token[~alone]
-        if not len(token):
-            return
-        sig, size = t.column("sig").to_numpy()[order], t.column("size").to_numpy()[order]
-        sk = np.full((len(order), SKETCH), _PAD)
-        blobs = t.column("sketch").take(pa.array(order)).to_pylist()
-        for i, s in enumerate(blobs):
-            u = _unpack(s, 5)
-            sk[i, : len(u)] = u
-        left, right = [], []
-        for i, j in _pairs(token):
-            ok = (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9) & (sig[i] != sig[j])
-            i, j = i[ok], j[ok]
-            ok = _promising(sk[i], sk[j], token[i], threshold)
-            left.append(i[ok])
-            right.append(j[ok])
-        i, j = np.concatenate(left) if left else np.zeros(0, np.int64), np.concatenate(right) if right else np.zeros(0, np.int64)
-        if not len(i):
-            return
-        # local number of each set within its n-gram, then blocks of TILE of them
-        used = np.unique(np.concatenate((i, j)))
-        start = np.flatnonzero(np.append(True, token[used][1:] != token[used][:-1]))
-        local = np.arange(len(used)) - np.repeat(start, np.diff(np.append(start, len(used))))
-        block = np.zeros(len(token), np.int64)
-        block[used] = local // TILE
-        keys = np.stack([token[i].astype(np.int64), block[i], block[j]])
-        order = np.lexsort((keys[2], keys[1], keys[0]))
-        i, j, keys = i[order], j[order], keys[:, order]
-        cut = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0)))
-        rows = []
-        for a, z in zip(cut.tolist(), np.append(cut[1:], len(i)).tolist()):
-            docs = np.unique(np.concatenate((i[a:z], j[a:z])))
-            bits = np.zeros((len(docs), len(docs)), np.bool_)
-            bits[np.searchsorted(docs, i[a:z]), np.searchsorted(docs, j[a:z])] = True
-            cell = int(tk.mix(np.array([int(keys[0, a]) * 1_000_003 + int(keys[1, a]) * 1009 + int(keys[2, a])], np.int64).view(np.uint64))[0].view(np.int64))
-            rows.append((cell, sig[docs].tolist(), int(size[docs].sum()), np.packbits(bits).tobytes()))
-            if len(rows) >= 1000:
-                yield _cells(rows)
-                rows = []
-        if rows:
-            yield _cells(rows)
-
-    spreaded = sets.select("sig", "size", "sketch").mapInArrow(spread, "frag int, token long, sig long, size long, sketch binary")
-    return spreaded.groupBy("frag").applyInArrow(join, "cell long, sigs array<long>, tokens long, pairs binary")
-
-
-def _cells(rows: list) -> pa.RecordBatch:
-    c, s, t, p = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(s, pa.list_(pa.int64())), pa.array(t, pa.int64()), pa.array(p, pa.binary())], ["cell", "sigs", "tokens", "pairs"])
-
-
-def _bloom(cells: DataFrame, n: int):
-    """A filter, broadcast, of the sets that have a candidate: one hash function over 16 bits a set."""
-    size = min(MAX_BITS, max(1 << 16, 1 << int(16 * n).bit_length()))
-    seg = 1 << 16
-
-    def part(batches):
-        found = [np.unique(pc.list_flatten(b.column("sigs")).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(size - 1)) for b in batches]
-        p = np.unique(np.concatenate(found)).astype(np.int64) if found else np.zeros(0, np.int64)
-        for s in np.unique(p // seg).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([(p[np.searchsorted(p, s * seg) : np.searchsorted(p, (s + 1) * seg)] % seg).astype("<u2").tobytes()], pa.binary())], ["s", "p"])
-
-    def merge(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.zeros(seg, np.bool_)
-        for b in parts:
-            for x in b.column("p"):
-                on[np.frombuffer(x.as_buffer(), "<u2")] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([np.packbits(on).tobytes()], pa.binary())], ["s", "p"])
-
-    bits = np.zeros(size // 8, np.uint8)
-    for r in cells.select("sigs").mapInArrow(part, "s long, p binary").groupBy("s").applyInArrow(merge, "s long, p binary").toLocalIterator():
-        bits[r.s * seg // 8 : (r.s + 1) * seg // 8] = np.frombuffer(r.p, np.uint8)
-    return cells.sparkSession.sparkContext.broadcast(bits), size
-
-
-def counted(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """The different sets, and ``(cell, members, pairs, parts)``: each cell's partial counts, one array for each fragment that has any."""
-    small_batches(docs)
-    sets = written(distinct_sets(docs, n), "sets")
-    cells = written(candidate_cells(sets, sets.count(), threshold), "cells")
-    n_sigs, tokens, largest = cells.agg(F.sum(F.size("sigs")), F.sum("tokens"), F.max("tokens")).first()
-    v = max(V, math.ceil((largest or 0) / TOKENS_PER_BUCKET))
-    buckets = max(1, math.ceil((tokens or 0) / v / TOKENS_PER_BUCKET * 4))
-    bits, size = _bloom(cells, n_sigs or 0)
-
-    def wanted(batches):
-        on = bits.value
+            for x in b.column("hot"):
+                g, k = np.frombuffer(x.as_buffer(), "<u8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(k.astype(np.int64))], ["g", "n"])
+
+    top = found.where("hot is not null").select("hot").mapInArrow(spread, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    rows_ = sorted((r.g, r.n) for r in top.toLocalIterator())
+    g, k = (np.array([r[i] for r in rows_], np.int64) for i in (0, 1))
+    return found.sparkSession.sparkContext.broadcast((g.astype(np.uint64), _code(k)))
+
+
+def shared_ngrams(docs: DataFrame, n: int, threshold: float, hot, grams: int) -> DataFrame:
+    """``(sig, size, prefix, grams, codes, key0..)`` of every set that has n-grams enough in common with others.
+
+    grams are its shared n-grams, rarest first, of which the first ``prefix`` are the prefix; codes are their frequencies.
+    """
+    v = max(1, math.ceil(grams / FRAGMENT))
+
+    def segments(batches):
+        """Blobs of the n-grams of one fragment each, and of frequent ones, for the sets' home (numbered after the fragments)."""
         seen: set[int] = set()
+        held: list[tuple] = []
+        hot_g, hot_code = hot.value
+
+        def blobs():
+            sig, size, g = (np.concatenate(x) for x in zip(*held))
+            doc = np.repeat(np.arange(len(sig)), size)
+            part = _range(g, v)
+            code = None
+            if len(hot_g):
+                at = np.minimum(np.searchsorted(hot_g, g), len(hot_g) - 1)
+                known = hot_g[at] == g
+                part[known] = v + _home(sig, v)[doc[known]]
+                code = hot_code[at]
+            order = np.argsort(part.astype(np.int32), kind="stable")
+            part, doc, g = part[order], doc[order], g[order]
+            code = code[order] if code is not None else None
+            run = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])))
+            count = np.diff(np.append(run, len(g)))
+            cut = np.flatnonzero(np.append(True, part[run][1:] != part[run][:-1]))
+            for a, z in zip(cut.tolist(), np.append(cut[1:], len(run)).tolist()):
+                p, lo, hi = int(part[run[a]]), int(run[a]), int(run[z - 1] + count[z - 1])
+                d = doc[run[a:z]]
+                yield p, _blob(sig[d], size[d], count[a:z], g[lo:hi], code[lo:hi] if p >= v else None)
+
+        def flush():
+            out = list(blobs())
+            for i in range(0, len(out), 16):
+                p, data = zip(*out[i : i + 16])
+                p = np.array(p)
+                yield pa.RecordBatch.from_arrays([pa.array((p % v).astype(np.int32)), pa.array(np.maximum(p - v, -1).astype(np.int32)), pa.array(data, pa.binary())], ["part", "home", "data"])
+
         for b in batches:
-            for _, k, g, ends, sig in _sets(strings(b, "text"), n):
-                p = (sig & np.uint64(size - 1)).astype(np.int64)
-                hit = np.flatnonzero(((on[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).astype(np.bool_) & (np.diff(ends) > 0))
-                hit = [r for r in hit.tolist() if not (int(sig[r]) in seen or seen.add(int(sig[r])))]
-                if len(seen) > 100_000:  # only saves sending a copy twice
+            for _, _, g, ends, sig in _sets(strings(b, "text"), n):
+                own = [r for r, (s, k) in enumerate(zip(sig.tolist(), np.diff(ends).tolist())) if k and not (s in seen or seen.add(s))]
+                if len(seen) > 200_000:  # only saves sending a copy twice
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(sig[hit].view(np.int64)), pa.array([_pack(g[ends[r] : ends[r + 1]], 7) for r in hit], pa.binary())], ["sig", "grams"])
+                own = np.array(own, np.int64)
+                size = np.diff(ends)[own]
+                held.append((sig[own], size, g[_gather(ends[:-1][own], size)]))
+            if sum(len(x[2]) for x in held) >= BLOCK:
+                yield from flush()
+                held = []
+        if sum(len(x[2]) for x in held):
+            yield from flush()
+
+    def fragment(batches):
+        """Of the n-grams of a fragment those that two sets have, with their frequency, for the sets' homes."""
+        runs = []
+        for b in batches:
+            for home, data in zip(b.column("home").to_pylist(), b.column("data")):
+                if home >= 0:
+                    yield pa.RecordBatch.from_arrays([pa.array([home], pa.int32()), pa.array([data.as_py()], pa.binary())], ["home", "data"])
+                else:
+                    runs.append(_read(data.as_buffer())[:4])
+        if not runs:
+            return
+        sig, size, count, g = (np.concatenate(x) for x in zip(*runs))
+        runs.clear()
+        _, first = np.unique(sig, return_index=True)  # a copy of a set, from another task, brings the same run
+        if len(first) < len(sig):
+            first.sort()
+            g = g[_gather((np.cumsum(count) - count)[first], count[first])]
+            sig, size, count = sig[first], size[first], count[first]
+        order = np.argsort(g)
+        s = g[order]
+        new = np.append(True, s[1:] != s[:-1])
+        start = np.flatnonzero(new)
+        df = np.diff(np.append(start, len(s)))
+        code = np.zeros(len(g), np.uint8)
+        code[order] = np.repeat(np.where(df > 1, np.maximum(_code(df), 1), 0), df)
+        keep = code > 0
+        owner = np.repeat(np.arange(len(sig)), count)[keep]
+        g, code = g[keep], code[keep]
+        count = np.bincount(owner, minlength=len(sig))
+        home = _home(sig, v)
+        by = np.argsort(home, kind="stable")
+        by = by[count[by] > 0]
+        at = _gather((np.cumsum(count) - count)[by], count[by])
+        g, code, sig, size, count, home = g[at], code[at], sig[by], size[by], count[by], home[by]
+        ends = np.append(0, np.cumsum(count))
+        cut = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else []
+        for a, z in zip(list(cut), [*cut[1:], len(home)]):
+            yield pa.RecordBatch.from_arrays([pa.array([int(home[a])], pa.int32()), pa.array([_blob(sig[a:z], size[a:z], count[a:z], g[ends[a] : ends[z]], code[ends[a] : ends[z]])], pa.binary())], ["home", "data"])
+
+    def ranked(batches):
+        runs = [_read(x.as_buffer()) for b in batches for x in b.column("data")]
+        if not runs:
+            return
+        sig, size, count, g, code = (np.concatenate(x) for x in zip(*runs))
+        runs.clear()
+        ids, first, sid = np.unique(sig, return_index=True, return_inverse=True)
+        size = size[first]
+        owner = np.repeat(sid, count)
+        order = np.lexsort((g, code, owner))
+        g, code, owner = g[order], code[order], owner[order]
+        new = np.append(True, (g[1:] != g[:-1]) | (owner[1:] != owner[:-1]))  # frequent n-grams of a copied set came from several tasks
+        g, code, owner = g[new], code[new], owner[new]
+        shared = np.bincount(owner, minlength=len(ids))
+        need = np.ceil(threshold * size - 1e-9).astype(np.int64)
+        start = np.cumsum(shared) - shared
+        keys = [np.minimum.reduceat(tk.mix(g * np.uint64(2 * q + 3) + np.uint64(q + 1)), start) for q in range(KEYS)]
+        alive = np.flatnonzero(shared >= np.maximum(need, 1))
+        for i in range(0, len(alive), 256):
+            own = alive[i : i + 256]
+            some = [slice(a, a + k) for a, k in zip(start[own].tolist(), shared[own].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[own].view(np.int64)), pa.array(size[own].astype(np.int32)), pa.array((shared - need + 1)[own].astype(np.int32)), pa.array([_pack(g[s]) for s in some], pa.binary()), pa.array([code[s].tobytes() for s in some], pa.binary()), *(pa.array(k[own].view(np.int64)) for k in keys)],
+                ["sig", "size", "prefix", "grams", "codes", *_KEYS],
+            )
+
+    text = docs.where("doc_id is not null and text is not null").select("text")
+    sent = text.mapInArrow(segments, "part int, home int, data binary").repartitionById(v, "part")
+    back = sent.mapInArrow(fragment, "home int, data binary").repartitionById(v, "home")
+    return written(back.mapInArrow(ranked, "sig long, size int, prefix int, grams binary, codes binary, " + ", ".join(f"{k} long" for k in _KEYS)), "shared")
+
+
+def _objects(blobs: pa.Array) -> np.ndarray:
+    out = np.empty(len(blobs), object)
+    for i, x in enumerate(blobs):
+        out[i] = x.as_buffer()
+    return out
+
+
+def _chunks(batches, by: list[str]):
+    """(columns as arrays, bounds of the groups, with the end) of sorted rows, whole groups at a time; a group ends where one of ``by`` changes."""
+    rest = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        own = {c: _objects(b.column(c)) if pa.types.is_binary(b.schema.field(c).type) else b.column(c).to_numpy() for c in b.schema.names}
+        if rest is not None:
+            own = {c: np.concatenate((rest[c], x)) for c, x in own.items()}
+        new = np.zeros(len(own[by[0]]), np.bool_)
+        new[0] = True
+        for c in by:
+            new[1:] |= own[c][1:] != own[c][:-1]
+        bounds = np.flatnonzero(new)
+        last = int(bounds[-1])
+        rest = {c: x[last:] for c, x in own.items()}
+        if last:
+            yield {c: x[:last] for c, x in own.items()}, bounds.tolist()
+    if rest is not None:
+        yield rest, [0, len(rest[by[0]])]
+
+
+def _eligible(x: dict, a: int, z: int, threshold: float):
+    """Index pairs (i, j), i < j, that the cell of rows a..z has to count: of similar sizes, and in no cell before.
+
+    The cell's kind is the number of the key its sets have in common, or -1: what its ``center`` has a prefix n-gram, but no key, in common with.
+    """
+    kind, size = int(x["kind"][a]), x["size"][a:z].astype(np.int64)
+    if kind < 0:
+        c = int(np.flatnonzero(x["sig"][a:z] == x["center"][a])[0])
+        j = np.delete(np.arange(z - a), c)
+        return np.minimum(c, j), np.maximum(c, j)
+    tile, other = x["tile"][a:z], x["other"][a:z]
+    out, all_ = [], np.arange(z - a)
+    for lo in range(0, z - a, 256):
+        s = slice(lo, min(lo + 256, z - a))
+        ok = (np.minimum(size[s, None], size[None]) >= threshold * np.maximum(size[s, None], size[None]) - 1e-9) & (all_[s, None] < all_[None]) & (other[s, None] == tile[None])
+        for q in range(kind):
+            k = x[_KEYS[q]][a:z]
+            ok &= k[s, None] != k[None]
+        i, j = np.nonzero(ok)
+        out.append((i + lo, j))
+    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
+
+
+_CELL = "cell long, kind int, center long, tile int, other int, sig long, size int"
+_LIGHT = _CELL + ", " + ", ".join(f"{k} long" for k in _KEYS)
+_names = lambda schema: [c.split()[0] for c in schema.split(", ")]
+
+
+def key_cells(sets: DataFrame, threshold: float) -> DataFrame:
+    """Rows of ``_CELL``: the cells of sets with a key in common, and of their sets those that have a pair to count there."""
+    each = F.explode(F.array(*(F.struct(F.lit(q).alias("kind"), F.xxhash64(F.lit(q), F.col(k)).alias("cell")) for q, k in enumerate(_KEYS)))).alias("c")
+    rows = sets.select(each, "sig", "size", *_KEYS).select("c.*", "sig", "size", *_KEYS)
+    counts = rows.groupBy("cell").count().where("count > 1").select("cell", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64(F.lit("tile"), "sig"), F.col("tiles")).cast("int")
+    rows = rows.join(counts, "cell").withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    cell = F.when(F.col("tiles") == 1, F.col("cell")).otherwise(F.xxhash64("cell", F.least("tile", "other"), F.greatest("tile", "other")))
+    rows = rows.select(cell.alias("cell"), "kind", F.lit(0).cast("long").alias("center"), "tile", "other", "sig", "size", *_KEYS)
+
+    def needed(batches):
+        for x, bounds in _chunks(batches, ["cell"]):
+            keep = [np.zeros(0, np.int64)]
+            for a, z in zip(bounds, bounds[1:]):
+                if z - a > 1:
+                    i, j = _eligible(x, a, z, threshold)
+                    keep.append(a + np.unique(np.concatenate((i, j))))
+            at = np.concatenate(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(x[c][at]) for c in _names(_CELL)], _names(_CELL))
+
+    return rows.repartition(_width(sets), "cell").sortWithinPartitions("cell", "sig").mapInArrow(needed, _CELL)
+
+
+def _apart(group, sig, size, keys, threshold: float, tile=None, other=None):
+    """Chunks of (sig, sig), lower first, of rows of one group that have no key in common; rows are sorted by group and first key."""
+    new = np.append(True, group[1:] != group[:-1])
+    ends = np.append(np.flatnonzero(new)[1:], len(group))[np.cumsum(new) - 1]
+    new |= np.append(True, keys[0][1:] != keys[0][:-1])
+    after = np.append(np.flatnonzero(new)[1:], len(group))[np.cumsum(new) - 1]
+    count = ends - after
+    upto = np.cumsum(count)
+    lo = 0
+    while lo < len(group):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + 2_000_000, "right")))
+        i, j = np.repeat(np.arange(lo, hi), count[lo:hi]), _gather(after[lo:hi], count[lo:hi])
+        ok = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+        if tile is not None:
+            ok &= other[i] == tile[j]
+        for k in keys[1:]:
+            ok &= k[i] != k[j]
+        i, j = i[ok], j[ok]
+        if len(i):
+            yield np.unique(np.stack([np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])]), axis=1)
+        lo = hi
+
+
+_PAIR = "a long, b long"
+
+
+def _pair_batch(p: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
+
+
+def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)``, distinct: sets that have an n-gram of their prefixes, but no key, in common."""
+    total = sets.agg(F.sum("prefix")).first()[0] or 0
+    parts = max(1, math.ceil(total / PREFIXES))
+    most = int(_code(np.array([TILE]))[0])
+
+    def entries(b):
+        prefix = b.column("prefix").to_numpy().astype(np.int64)
+        g = np.concatenate([_unpack(x.as_buffer()[: 7 * k]) for x, k in zip(b.column("grams"), prefix.tolist())])
+        code = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8, k) for x, k in zip(b.column("codes"), prefix.tolist())])
+        return g, code, np.repeat(np.arange(len(prefix)), prefix)
+
+    def offered(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, code, row = entries(b)
+            g, row = g[code <= most], row[code <= most]
+            sig, size = b.column("sig").to_numpy().view(np.uint64), b.column("size").to_numpy()
+            keys = np.stack([b.column(k).to_numpy() for k in _KEYS])
+            part = _range(g, parts)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in np.unique(part).tolist():
+                own = order[cuts[p] : cuts[p + 1]]
+                r, count = np.unique(row[own], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([_blob(sig[r], size[r], count, g[own])], pa.binary()), pa.array([keys[:, r].tobytes()], pa.binary())], ["part", "data", "keys"])
+
+    def met(batches):
+        runs, keys = [], []
+        for b in batches:
+            for data, k in zip(b.column("data"), b.column("keys")):
+                runs.append(_read(data.as_buffer())[:4])
+                keys.append(np.frombuffer(k.as_buffer(), np.int64).reshape(KEYS, -1))
+        if not runs:
+            return
+        sig, size, count, g = (np.concatenate(x) for x in zip(*runs))
+        k = np.concatenate(keys, axis=1)
+        owner = np.repeat(np.arange(len(sig)), count)
+        order = np.argsort(g)
+        s = g[order]
+        alone = np.append(True, s[1:] != s[:-1])
+        alone &= np.append(alone[1:], True)
+        own = owner[order[~alone]]
+        again = np.lexsort((k[0][own], s[~alone]))
+        own = own[again]
+        for p in _apart(s[~alone][again], sig.view(np.int64)[own], size[own], k[:, own], threshold):
+            yield _pair_batch(p)
 
-    def cut(batches):
-        bounds = (np.arange(1, v, dtype=object) * (1 << _TOP) // v).astype(np.uint64)
+    def frequent(batches):
         for b in batches:
-            cell, idx = b.column("cell").to_numpy(), b.column("idx").to_numpy()
-            for i in range(0, b.num_rows, 1024):
-                out = []
-                for r in range(i, min(i + 1024, b.num_rows)):
-                    g = _unpack(b.column("grams")[r].as_buffer(), 7)
-                    at = [0, *np.searchsorted(g, bounds).tolist(), len(g)]
-                    data = b.column("grams")[r].as_py()
-                    bucket = int(cell[r]) % buckets
-                    out += [(bucket, k, int(cell[r]), int(idx[r]), data[7 * at[k] : 7 * at[k + 1]]) for k in range(v) if at[k + 1] > at[k]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["bucket", "v", "cell", "idx", "data"])
-
-    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches)).combine_chunks()
-        cell, idx = t.column("cell").to_numpy(), t.column("idx").to_numpy()
-        order = np.lexsort((idx, cell))
-        data = t.column("data")
-        cut = np.flatnonzero(np.append(True, cell[order][1:] != cell[order][:-1]))
-        rows = []
-        for a, z in zip(cut.tolist(), np.append(cut[1:], len(order)).tolist()):
-            own = order[a:z]
-            if idx[own[0]] >= 0 or z - a < 3:  # no two sets of the cell have n-grams here
+            if not b.num_rows:
                 continue
-            d = -int(idx[own[0]])
-            bits = np.unpackbits(np.frombuffer(data[int(own[0])].as_buffer(), np.uint8), count=d * d).reshape(d, d)
-            grams = [_unpack(data[int(r)].as_buffer(), 7) for r in own[1:]]
-            c = overlaps(grams, idx[own[1:]], bits, d)
-            rows.append((int(cell[own[0]]), c.astype("<u2" if c.max(initial=0) < 65536 else "<u4").tobytes(), int(c.max(initial=0) < 65536)))
-            if len(rows) >= 256:
-                yield _parts(rows, key)
-                rows = []
-        if rows:
-            yield _parts(rows, key)
-
-    assigned = cells.select("cell", F.posexplode("sigs").alias("idx", "sig"))
-    grams = docs.where("doc_id is not null and text is not null").select("text")
-    placed = grams.mapInArrow(wanted, "sig long, grams binary").dropDuplicates(["sig"]).join(assigned, "sig").select("cell", "idx", "grams")
-    segments = placed.mapInArrow(cut, "bucket int, v int, cell long, idx int, data binary")
-    matrices = cells.select(F.pmod("cell", F.lit(buckets)).cast("int").alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(v - 1))).alias("v"), "cell", (-F.size("sigs")).alias("idx"), F.col("pairs").alias("data"))
-    parts = segments.unionByName(matrices).groupBy("bucket", "v").applyInArrow(count, "cell long, counts binary, narrow int")
-    members = assigned.join(sets.select("sig", "size", "ids"), "sig").groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("idx", "size", "ids"))).alias("members"))
-    summed = parts.groupBy("cell").agg(F.collect_list(F.struct("counts", "narrow")).alias("parts"))
-    return sets, members.join(cells.select("cell", "pairs"), "cell").join(summed, "cell")
-
-
-def _parts(rows: list, key) -> pa.RecordBatch:
-    c, p, w = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(p, pa.binary()), pa.array(w, pa.int32())], ["cell", "counts", "narrow"])
-
-
-def overlaps(grams: list[np.ndarray], idx: np.ndarray, bits: np.ndarray, d: int) -> np.ndarray:
-    """Common n-grams of every pair set in ``bits`` (in row order), by blocks of a matrix product."""
-    token = np.concatenate(grams)
-    doc = np.repeat(idx, [len(g) for g in grams])
+            g, code, row = entries(b)
+            g, code, row = g[code > most], code[code > most], row[code > most]
+            tiles = np.ceil(2 ** ((code.astype(np.int64) + 1) / 4) / TILE).astype(np.int64)
+            sig = b.column("sig").to_numpy()
+            tile = (tk.mix(sig.view(np.uint64))[row] % tiles.astype(np.uint64)).astype(np.int64)
+            at = np.repeat(np.arange(len(g)), tiles)
+            other = _gather(np.zeros(len(g), np.int64), tiles)
+            cell = tk.mix(tk.mix(g[at]) ^ (np.minimum(tile[at], other) * (1 << 31) + np.maximum(tile[at], other)).astype(np.uint64))
+            r = pa.array(row[at])
+            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(tile[at].astype(np.int32)), pa.array(other.astype(np.int32)), *(b.column(c).take(r) for c in ("sig", "size", *_KEYS))], ["cell", "tile", "other", "sig", "size", *_KEYS])
+
+    def compared(batches):
+        for x, _ in _chunks(batches, ["cell"]):
+            keys = np.stack([x[k] for k in _KEYS])
+            for p in _apart(x["cell"], x["sig"], x["size"].astype(np.int64), keys, threshold, x["tile"], x["other"]):
+                yield _pair_batch(p)
+
+    few = sets.mapInArrow(offered, "part int, data binary, keys binary").repartitionById(parts, "part").mapInArrow(met, _PAIR)
+    many = sets.mapInArrow(frequent, "cell long, tile int, other int, sig long, size int, " + ", ".join(f"{k} long" for k in _KEYS))
+    many = many.repartition(_width(sets), "cell").sortWithinPartitions("cell", _KEYS[0]).mapInArrow(compared, _PAIR)
+    return few.unionByName(many).distinct()
+
+
+def stars(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of ``_CELL``: a cell for each set and TILE of its partners among ``pairs``."""
+    tiles = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / TILE).alias("tiles"))
+    cell = F.xxhash64(F.lit(-1), "a", F.pmod(F.xxhash64(F.lit("tile"), "b"), F.col("tiles"))).alias("cell")
+    found = pairs.join(tiles, "a").select(cell, "a", "b")
+    own = found.select("cell", F.col("a").alias("center"), F.col("a").alias("sig")).distinct().unionByName(found.select("cell", F.col("a").alias("center"), F.col("b").alias("sig")))
+    return own.join(sets.select("sig", "size"), "sig").select("cell", F.lit(-1).alias("kind"), "center", F.lit(0).alias("tile"), F.lit(0).alias("other"), "sig", "size")
+
+
+def overlaps(grams: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Common n-grams of the pairs (i, j) of sets, by blocks of a matrix product."""
+    d = len(grams)
+    if d == 2:
+        both = np.sort(np.concatenate(grams))
+        return np.array([np.count_nonzero(both[1:] == both[:-1])] * len(i), np.int64)
+    token, doc = np.concatenate(grams), np.repeat(np.arange(d), [len(g) for g in grams])
     _, column, n = np.unique(token, return_inverse=True, return_counts=True)
     shared = n[column] > 1
     doc, column = doc[shared], column[shared]
     _, column = np.unique(column, return_inverse=True)
     width = int(column.max(initial=-1)) + 1
-    total = np.zeros((d, d), np.float32) if d <= 512 else None
-    i, j = np.nonzero(bits)
     out = np.zeros(len(i), np.int64)
+    order = np.argsort(i, kind="stable")
     for c in range(0, width, 4096):  # columns, then rows, so that no matrix is large
         inside = (column >= c) & (column < c + 4096)
         m = np.zeros((d, min(4096, width - c)), np.float32)
         m[doc[inside], column[inside] - c] = 1
-        if total is not None:
-            total += m @ m.T
-            continue
         for r in range(0, d, 512):
-            lo, hi = np.searchsorted(i, (r, r + 512))
-            if hi > lo:
-                out[lo:hi] += (m[r : r + 512] @ m.T)[i[lo:hi] - r, j[lo:hi]].astype(np.int64)
-    return total[i, j].astype(np.int64) if total is not None else out
-
-
-def _similar(members, pairs, parts, threshold: float):
-    """(i, j, similarity) of a cell's pairs at the threshold, from its partial counts."""
-    d = len(members)
-    bits = np.unpackbits(np.frombuffer(pairs, np.uint8), count=d * d).reshape(d, d)
-    i, j = np.nonzero(bits)
-    size = np.array([m["size"] for m in members], np.int64)
-    common = np.zeros(len(i), np.int64)
-    for p in parts:
-        common += np.frombuffer(p["counts"], "<u2" if p["narrow"] else "<u4")
-    jac = common / (size[i] + size[j] - common)
-    ok = jac >= threshold - 1e-12
-    return i[ok], j[ok], jac[ok]
-
-
-def pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id_a, doc_id_b, jaccard)`` of every pair of documents, a < b, of at least the threshold."""
-    sets, cells = counted(docs, n, threshold)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+            own = order[slice(*np.searchsorted(i[order], (r, r + 512)))]
+            if len(own):
+                out[own] += (m[r : r + 512] @ m.T)[i[own] - r, j[own]].astype(np.int64)
+    return out
 
-    def expand(batches):
-        for b in batches:
-            ids_type = b.schema.field("members").type.value_type.field("ids").type.value_type
-            for r in range(b.num_rows):
-                members = b.column("members")[r].as_py()
-                i, j, jac = _similar(members, b.column("pairs")[r].as_py(), b.column("parts")[r].as_py(), threshold)
-                size = np.array([len(m["ids"]) for m in members], np.int64)
-                off = np.cumsum(size) - size
-                flat = pa.array([x for m in members for x in m["ids"]], ids_type)
-                for lo in range(0, len(i), _CHUNK):
-                    a, z, s = i[lo : lo + _CHUNK], j[lo : lo + _CHUNK], jac[lo : lo + _CHUNK]
-                    k = size[a] * size[z]
-                    p = np.repeat(np.arange(len(a)), k)
-                    q = np.arange(len(p)) - np.repeat(np.cumsum(k) - k, k)
-                    x, y = flat.take(pa.array(off[a[p]] + q // size[z[p]])), flat.take(pa.array(off[z[p]] + q % size[z[p]]))
-                    out = pa.RecordBatch.from_arrays([pc.min_element_wise(x, y), pc.max_element_wise(x, y), pa.array(s[p])], ["doc_id_a", "doc_id_b", "jaccard"])
-                    yield out.filter(pc.not_equal(x, y))
-
-    schema = f"doc_id_a {kind}, doc_id_b {kind}, jaccard double"
-    near = cells.select("members", "pairs", "parts").mapInArrow(expand, schema)
-    same = sets.where(F.size("ids") > 1).select("ids", F.explode("ids").alias("doc_id_a")).select("doc_id_a", F.explode("ids").alias("doc_id_b")).where("doc_id_a < doc_id_b")
-    return near.unionByName(same.withColumn("jaccard", F.lit(1.0)))
-
-
-def forest(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``(a, b)``, a < b: pairs of documents that connect the same documents as all similar pairs do."""
-    sets, cells = counted(docs, n, threshold)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def span(batches):
+def _lowest(d: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of each of d nodes the lowest that edges connect it with."""
+    low = np.arange(d)
+    while True:
+        before = low.copy()
+        np.minimum.at(low, i, low[j])
+        np.minimum.at(low, j, low[i])
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
+def links(cells: DataFrame, sets: DataFrame, weights: DataFrame, threshold: float) -> DataFrame:
+    """``(sig, links, low)``: of each cell's sets that have a partner there their partners' documents, and the lowest set they connect with."""
+    largest = cells.groupBy("cell").agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0] or 0
+    v = max(V, math.ceil(largest / CELL))
+    rows = cells.drop("size").join(weights.select("sig", F.col("n").alias("weight")), "sig").join(sets.select("sig", "size", *_KEYS, "grams"), "sig")
+    info = [c for c in _names(_LIGHT) if c != "cell"] + ["weight"]
+    kinds = [np.dtype("<i8")] * len(info)
+
+    def cut(batches):
+        bounds = np.arange(v + 1)
         for b in batches:
-            ids_type = b.schema.field("members").type.value_type.field("ids").type.value_type
-            for r in range(b.num_rows):
-                members = b.column("members")[r].as_py()
-                i, j, _ = _similar(members, b.column("pairs")[r].as_py(), b.column("parts")[r].as_py(), threshold)
-                if not len(i):
-                    continue
-                root = list(range(len(members)))
-
-                def find(x, root=root):
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                edges = []
-                for x, y in zip(i.tolist(), j.tolist()):
-                    x, y = find(x), find(y)
-                    if x != y:
-                        root[y] = x
-                        a, z = members[x]["ids"][0], members[y]["ids"][0]
-                        if a != z:
-                            edges.append((min(a, z), max(a, z)))
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], ids_type), pa.array([e[1] for e in edges], ids_type)], ["a", "b"])
-
-    near = cells.select("members", "pairs", "parts").mapInArrow(span, f"a {kind}, b {kind}")
-    same = sets.where(F.size("ids") > 1).select(F.col("ids")[0].alias("a"), F.explode("ids").alias("b")).where("a <> b")
-    return near.unionByName(same)
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                data = []
+                for x in part.column("grams"):
+                    g = np.sort(_unpack(x.as_buffer()))
+                    at = np.searchsorted(_range(g, v), bounds).tolist()
+                    data += [_pack(g[at[k] : at[k + 1]]) for k in range(v)]
+                take = pa.array(np.repeat(np.arange(part.num_rows), v))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(v, dtype=np.int32), part.num_rows)), *(part.column(c).take(take) for c in ("cell", *info)), pa.array(data, pa.binary())], ["v", "cell", *info, "data"])
+
+    def partial(batches):
+        for x, bounds in _chunks(batches, ["cell", "v"]):
+            out = []
+            for a, z in zip(bounds, bounds[1:]):
+                i, j = _eligible(x, a, z, threshold)
+                if len(i):
+                    c = overlaps([_unpack(g) for g in x["data"][a:z]], i, j)
+                    members = b"".join(x[k][a:z].astype(t).tobytes() for k, t in zip(info, kinds)) if x["v"][a] == 0 else b""
+                    out.append((int(x["cell"][a]), int(x["v"][a]), c.astype("<u4").tobytes(), members))
+                if len(out) >= 64 or z == len(x["cell"]) and out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["cell", "v", "counts", "members"])
+                    out = []
+
+    def summed(batches):
+        for x, bounds in _chunks(batches, ["cell"]):
+            done = []
+            for a, z in zip(bounds, bounds[1:]):
+                m = np.frombuffer(x["members"][a], "<i8").reshape(len(info), -1)
+                own = dict(zip(info, m))
+                i, j = _eligible(own, 0, m.shape[1], threshold)
+                common = np.zeros(len(i), np.int64)
+                for c in x["counts"][a:z]:
+                    common += np.frombuffer(c, "<u4")
+                near = common / (own["size"][i] + own["size"][j] - common) >= threshold - 1e-12
+                i, j = i[near], j[near]
+                if len(i):
+                    w = own["weight"]
+                    n = np.bincount(i, w[j], m.shape[1]) + np.bincount(j, w[i], m.shape[1])
+                    some = np.flatnonzero(n)
+                    done.append(np.stack([own["sig"][some], n[some].astype(np.int64), own["sig"][_lowest(m.shape[1], i, j)[some]]]))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(done, axis=1)], ["sig", "links", "low"])
+
+    p = _width(sets)
+    segments = rows.select("cell", *info, "grams").mapInArrow(cut, f"v int, {_LIGHT}, weight long, data binary")
+    parts = segments.repartition(p, "cell", "v").sortWithinPartitions("cell", "v", "sig").mapInArrow(partial, "cell long, v int, counts binary, members binary")
+    return parts.repartition(p, "cell").sortWithinPartitions("cell", "v").mapInArrow(summed, "sig long, links long, low long")
 
 
 def groups(edges: DataFrame) -> DataFrame:
-    """``(doc_id, first)``: the lowest document of its connected component, for every document that has an edge and isn't that one.
+    """``(node, first)``: the lowest node of its connected component, for every node that has an edge and isn't that one.
 
     Alternating star contraction: each round hangs neighbours on the lowest of their neighbourhood, first the larger ones, then the smaller; the
-    rounds needed grow with the logarithm of the longest path.  Each round is written to the shared folder.
+    rounds needed grow with the logarithm of the longest path.  Each round is written to the shared folder, and the one before removed.
     """
     e = written(edges.where("a <> b").distinct(), "edges")
     before = None
@@ -424,26 +591,70 @@ def groups(edges: DataFrame) -> DataFrame:
         small_low = large.groupBy("x").agg(F.min("y").alias("low"))
         s = large.join(small_low, "x")
         small = s.select(F.greatest("y", "low").alias("b"), F.least("y", "low").alias("a")).unionByName(s.select(F.col("x").alias("b"), F.col("low").alias("a"))).where("a <> b").distinct()
-        e = written(small.select("a", "b"), "edges")
+        done = written(small.select("a", "b"), "edges")
+        remove(large)
+        remove(e)
+        e = done
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return e.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("first"))
+    return e.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("first"))
+
+
+def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(:func:`documents`, ``(sig, n, first)`` of every set, ``(sig, links)`` and ``(node, first)`` of those that have near ones)."""
+    small_batches(docs)
+    found = documents(docs, n)
+    rows, grams = found.where("sig is not null").agg(F.count("*"), F.sum("size")).first()
+    hot = _hot(found, rows, grams or 0)
+    sets = shared_ngrams(docs, n, threshold, hot, grams or 0)
+    weights = found.where("sig is not null").select("sig", "doc_id").distinct().groupBy("sig").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    cells = written(key_cells(sets, threshold).unionByName(stars(written(prefix_pairs(sets, threshold), "pairs"), sets)), "cells")
+    near = written(links(cells, sets, weights, threshold), "links")
+    remove(cells)
+    remove(sets)
+    comps = groups(near.select(F.col("low").alias("a"), F.col("sig").alias("b")))
+    return found, weights, near.groupBy("sig").agg(F.sum("links").alias("links")), comps
+
+
+def classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """``(doc_id, class_id, links)`` of every document."""
+    found, weights, near, comps = linked(docs, n, threshold)
+    info = weights.join(near, "sig", "left").join(comps.withColumnsRenamed({"node": "sig", "first": "root"}), "sig", "left")
+    info = written(info.select("sig", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "first", F.coalesce("root", "sig").alias("root")), "classes")
+    lowest = info.groupBy("root").agg(F.min("first").alias("class_id"))
+    rows = found.where("doc_id is not null").select("doc_id", "sig").distinct()
+    known = rows.where("sig is not null").join(info.join(lowest, "root").select("sig", "class_id", "links"), "sig").select("doc_id", "class_id", "links")
+    return known.unionByName(rows.where("sig is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links")))
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs``, all columns, without the documents that are similar, directly or by way of others, to one with a lower id."""
-    gone = groups(forest(docs, n, threshold)).select(F.col("doc_id").alias(free_name(docs, "gone")))
-    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
+    """``docs``, all columns, with one document of each class: the one of the lowest doc_id; of its rows equal in id and text, one.
+
+    Rows of one doc_id whose texts differ are told apart.  Rows without doc_id, text or word stay.  Only rows that go, or stay once for
+    several, are shuffled with their text; the rest stay where they are.
+    """
+    found, _, _, comps = linked(docs, n, threshold)
+    rows = found.where("sig is not null").groupBy("doc_id", "print", "sig").agg(F.count("*").alias("n"))
+    rows = written(rows.join(comps.withColumnsRenamed({"node": "sig", "first": "root"}), "sig", "left").select("doc_id", "print", "sig", "n", F.coalesce("root", "sig").alias("root")), "rows")
+    place = F.struct("doc_id", "sig", "print")
+    several = rows.groupBy("root").agg(F.min(place).alias("stays"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    marks = rows.join(several, "root").select(F.col("print").alias("h"), (place == F.col("stays")).alias("stays"), "n").where("not stays or n > 1")
+    marks = written(marks.select("h", "stays"), "marks")
+    rest, suspects, name = split(docs, marks)
+    untouched = suspects.join(marks, suspects[name] == marks["h"], "left_anti").drop(name)
+    once = suspects.join(marks.where("stays"), suspects[name] == marks["h"], "left_semi").dropDuplicates([name]).drop(name)
+    return rest.unionByName(untouched).unionByName(once)
 
 
 SQL = f"""
-with w as (select doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as w from documents where doc_id is not null),
+with recursive w as (select doc_id, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') as w from documents where doc_id is not null),
 p as (select doc_id, w, unnest(range(1, greatest(len(w) - {N - 1}, 1) + 1)) as p from w where len(w) > 0),
 g as (select distinct doc_id, array_to_string(w[p : p + {N - 1}], ' ') as g from p),
 s as (select doc_id, count(*) as n from g group by doc_id),
-o as (select a.doc_id as doc_id_a, b.doc_id as doc_id_b, count(*) as o from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all)
-select doc_id_a, doc_id_b, o / (x.n + y.n - o)::double as jaccard from o join s x on x.doc_id = doc_id_a join s y on y.doc_id = doc_id_b
-where o / (x.n + y.n - o)::double >= {THRESHOLD} - 1e-12
+o as (select a.doc_id as a, b.doc_id as b, count(*) as o from g a join g b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+l as materialized (select a, b from o join s x on x.doc_id = a join s y on y.doc_id = b where o / (x.n + y.n - o)::double >= {THRESHOLD} - 1e-12),
+r as (select doc_id as a, doc_id as b from w union select r.a, l.b from r join l on r.b = l.a)
+select a as doc_id, min(b) as class_id, (select count(*) from l where l.a = r.a) as links from r group by a
 """

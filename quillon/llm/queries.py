@@ -14,8 +14,8 @@ def op1_line_dedup(spark, sf_dir):
 
 
 def op2_ngram_jaccard_join(spark, sf_dir):
-    """Every pair of documents whose word 3-grams have a Jaccard similarity of 0.5 or more."""
-    return ngramjoin.pairs(table(spark, sf_dir, "documents"))
+    """Every document with its class and its links: documents whose word 3-grams have a Jaccard similarity of 0.5 or more."""
+    return ngramjoin.classes(table(spark, sf_dir, "documents"))
 
 
 def op3_language_id(spark, sf_dir):

@@ -55,9 +55,46 @@ def components(pairs):
     return {x: find(x) for x in root}
 
 
+def near_sets(rows, n=3, threshold=0.5):
+    """({(doc_id, set)}, root of each set, sets near each set); rows without doc_id left out."""
+    docs = {(d, frozenset(grams(t, n))) for d, t in rows if d is not None}
+    sets = sorted({s for _, s in docs if s}, key=sorted)
+    near = {s: [] for s in sets}
+    for i, x in enumerate(sets):
+        for y in sets[i + 1 :]:
+            if len(x & y) / len(x | y) >= threshold - 1e-12:
+                near[x].append(y)
+                near[y].append(x)
+    root = components([(i, sets.index(y)) for i, x in enumerate(sets) for y in near[x]])
+    return docs, {s: root.get(i, i) for i, s in enumerate(sets)}, near
+
+
+def classes(rows, n=3, threshold=0.5):
+    """[(doc_id, class_id, links)]"""
+    docs, root, near = near_sets(rows, n, threshold)
+    weight = Counter(s for _, s in docs)
+    low: dict = {}
+    for d, s in docs:
+        if s:
+            low[root[s]] = min(low.get(root[s], d), d)
+    return [(d, low[root[s]], weight[s] - 1 + sum(weight[y] for y in near[s])) if s else (d, d, 0) for d, s in docs]
+
+
 def keep_one(rows):
-    low = components([(a, b) for a, b, _ in jaccard_pairs(rows)])
-    return [r for r in rows if low.get(r[0], r[0]) == r[0]]
+    """Rows that stay; of a class, the lowest doc_id's, and which of its rows is free (a set of texts for each)."""
+    docs, root, _ = near_sets(rows)
+    low: dict = {}
+    for d, s in docs:
+        if s:
+            low[root[s]] = min(low.get(root[s], d), d)
+    free, stay = {}, []
+    for d, t in rows:
+        s = frozenset(grams(t, 3))
+        if d is None or not s:
+            stay.append((d, t))
+        elif low[root[s]] == d:
+            free.setdefault(root[s], set()).add((d, t))
+    return stay, list(free.values())
 
 
 def contained(rows, items, n=5, threshold=0.8):

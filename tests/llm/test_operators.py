@@ -75,32 +75,86 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(table(spark, [])).count() == 0
 
 
+def check_kept(kept, rows):
+    """``kept`` is a choice that :func:`brute.keep_one` allows."""
+    stay, free = brute.keep_one(rows)
+    left = [(x.doc_id, x.text) for x in kept.collect()]
+    for choice in free:
+        assert sum(x in choice for x in left) == 1, choice
+    assert key([x for x in left if not any(x in c for c in free)]) == key(stay)
+
+
+def got_classes(df):
+    return sorted(tuple(x) for x in ngramjoin.classes(df).collect())
+
+
 def test_jaccard_join(spark):
-    rows = corpus(2)
-    got = sorted((a, b, round(j, 9)) for a, b, j in ngramjoin.pairs(table(spark, rows)).collect())
-    assert got == brute.jaccard_pairs(rows)
+    rows = corpus(2) + [(4, "some other text of this id"), (5, None)]
     df = table(spark, rows)
+    assert got_classes(df) == sorted(brute.classes(rows))
     kept = ngramjoin.keep_one(df)
     assert kept.columns == df.columns
-    assert key([(x.doc_id, x.text) for x in kept.collect()]) == key(brute.keep_one(rows))
-    assert ngramjoin.pairs(table(spark, [])).count() == 0 and ngramjoin.keep_one(table(spark, [])).count() == 0
+    check_kept(kept, rows)
+    for empty in (table(spark, []), table(spark, [(None, "a b c"), (None, None)])):
+        assert ngramjoin.classes(empty).count() == 0 and ngramjoin.keep_one(empty).count() == empty.count()
 
 
-def test_jaccard_join_tiles_and_large_groups(spark, monkeypatch):
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard_join_large_groups_in_tiles_and_fragments(spark, monkeypatch, small):
+    """A group of near copies, one of copies, and a line that all share; with small limits they are cut in many ways."""
     r = random.Random(5)
-    base = [f"t{i}" for i in range(120)]
+    base = [f"t{i}" for i in range(60)]
     rows = []
-    for i in range(70):
+    for i in range(60):
         w = list(base)
-        for _ in range(r.randint(0, 8)):
+        for _ in range(r.randint(0, 20)):
             w[r.randrange(len(w))] = f"e{r.randrange(1000)}"
         rows.append((i, " ".join(w)))
-    want = brute.jaccard_pairs(rows)
-    assert sorted((a, b, round(j, 9)) for a, b, j in ngramjoin.pairs(table(spark, rows, False)).collect()) == want
-    bits = np.triu(np.ones((600, 600), np.bool_), 1)
+    rows += [(100 + i, rows[3][1]) for i in range(20)]
+    rows += [(200 + i, "a line that every one of these shares " + " ".join(f"u{r.randrange(10**6)}" for _ in range(r.choice([2, 6, 7, 8, 30])))) for i in range(60)]
+    if small:
+        for name, v in (("TILE", 4), ("FRAGMENT", 300), ("BLOCK", 500), ("PREFIXES", 200), ("CELL", 100), ("HOT", 20)):
+            monkeypatch.setattr(ngramjoin, name, v)
+    assert got_classes(table(spark, rows, False)) == sorted(brute.classes(rows))
+
+
+@pytest.mark.parametrize("nested", [False, True])
+def test_jaccard_join_misses_no_pair_at_the_threshold(spark, nested):
+    """Pairs of similarity 0.5 exactly, of equal size or one inside the other: all are linked; just below it, none."""
+    r = random.Random(nested)
+    new = lambda k: [f"n{r.randrange(10**9)}" for _ in range(k)]
+    rows, far = [], set()
+    for i in range(400):
+        k = r.randint(4, 40)
+        near = i % 2 == 0
+        # n-grams of a run of k words are k - 2; a common run, then other ones
+        both = new(3 * k + 2)
+        if nested:
+            a, b = both, both + new(3 * k + (0 if near else 1))
+        else:
+            own = 3 * k // 2 * 1
+            both = new(2 * own + 2)
+            a, b = both + new(own), both + new(own + (0 if near else 1))
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        if not near:
+            far |= {2 * i, 2 * i + 1}
+    want = [(d, d if d in far else d - d % 2, int(d not in far)) for d, _ in rows]
+    assert got_classes(table(spark, rows, False)) == sorted(want)
+
+
+def test_jaccard_join_of_very_long_texts(spark):
+    r = random.Random(9)
+    long = [f"w{r.randrange(50000)}" for _ in range(300_000)]
+    other = [w if i % 50 else "edit" for i, w in enumerate(long)]
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, "short text here"), (4, " ".join(long[:100_000])), (5, "x" * 3_000_000)]
+    assert got_classes(table(spark, rows, False)) == sorted(brute.classes(rows))
+
+
+def test_overlaps():
+    r = random.Random(5)
     g = [np.unique(np.array([r.randrange(900) for _ in range(200)], np.uint64)) for _ in range(600)]
-    c = ngramjoin.overlaps(g, np.arange(600), bits, 600)
-    i, j = np.nonzero(bits)
+    i, j = np.nonzero(np.triu(np.ones((600, 600), np.bool_), 1))
+    c = ngramjoin.overlaps(g, i, j)
     for k in random.Random(1).sample(range(len(i)), 200):
         assert c[k] == len(np.intersect1d(g[i[k]], g[j[k]]))
 
@@ -108,7 +162,7 @@ def test_jaccard_join_tiles_and_large_groups(spark, monkeypatch):
 def test_groups_of_random_graphs(spark):
     r = random.Random(7)
     edges = [(a, b) for a, b in ((r.randrange(200), r.randrange(200)) for _ in range(150)) if a != b] + [(i, i + 1) for i in range(300, 330)]
-    got = {x.doc_id: x.first for x in ngramjoin.groups(spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long")).collect()}
+    got = {x.node: x.first for x in ngramjoin.groups(spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long")).collect()}
     assert got == {k: v for k, v in brute.components(edges).items() if k != v}
 
 
