@@ -4,31 +4,38 @@ Two Bloom filters, for line hashes seen once and seen twice, are built from per-
 A part lists the filter bits its lines set, and those set by more than one of its lines; parts
 merge by addition, so a bit set in two parts is a twice-seen bit.  A repeated line therefore
 always has all its bits in the twice-seen filter: nothing is missed, and a false positive
-costs one shuffled row.  Only these suspects are shuffled, with their text, to be confirmed
-exactly (grouped by hash and text) and to find their first occurrence.  Unique lines never move.
+costs one shuffled row of some 50 bytes.  Only these suspects are shuffled: their hash, a 128-bit BLAKE2b digest of the line, by which
+they are confirmed, and their place.  A shared line's occurrences are combined on the map side before its first one is chosen.
+
+Texts without a line to remove stay where they are: a Bloom filter of the rows that have one lets the others pass.  Texts that lose
+lines are shuffled once, compressed, to meet the lines' numbers.
 
 The filter has ``BITS_PER_LINE`` bits for each line counted, up to ``MAX_BITS`` (128 MiB to
-broadcast); beyond that more lines are suspected, and the result stays exact.
+broadcast).  Beyond that, from some 67 million lines on, more lines are suspected, in the end all: their digests move, never their text, and
+the result is the same.
 
 Defined results.  An occurrence is (doc_id, line number); the first is the lowest, null ids
 last.  Every row that holds the first occurrence keeps it: rows that repeat the same id and
 text are the same occurrence and keep the same lines.  Blank lines always stay.  A null
 text stays null, an empty one empty; a document whose lines all occur before gets the empty text
-(``drop_emptied`` removes it instead).  All other columns are handed on, whatever their names.
+(``drop_emptied`` removes it instead).  Texts are taken whole, however long, and so are lines.  All other columns are handed on, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkernel as tk
-from .common import free_name, small_batches, strings
+from .common import free_name, small_batches, strings, written
+from .filters import row_hash, split
 
 BITS_PER_LINE, MAX_BITS, HASHES = 16, 1 << 30, 2
 _SEGMENT = 20
@@ -95,10 +102,9 @@ def _suspected(h: np.ndarray, bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, print, lines)``: the numbers, from 0, of the lines that occur before, for documents that have any; print is the text's hash."""
+    """``(doc_id, print, lines)``: the numbers, from 0, of the lines that occur before, for documents that have any; print is the row's hash."""
     small_batches(docs)
     twice, size = _filter(docs)
-    id_type = docs.schema["doc_id"].dataType
 
     def suspects(batches):
         bits = twice.value
@@ -107,49 +113,56 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
                 raw, off = tk.buffers(t)
                 h, start, end, doc, number = tk.lines(raw, off)
                 at = _suspected(h, bits, size)
-                data = raw.tobytes()
+                data = memoryview(raw.tobytes())
+                digests = np.frombuffer(b"".join(hashlib.blake2b(data[s:e], digest_size=16).digest() for s, e in zip(start[at].tolist(), end[at].tolist())), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[at].view(np.int64)), pa.array([data[s:e] for s, e in zip(start[at].tolist(), end[at].tolist())], pa.binary()), *(b.column(c).take(pa.array(doc[at] + i)) for c in ("doc_id", "print")), pa.array(number[at].astype(np.int32))],
-                    ["h", "line", "doc_id", "print", "number"],
+                    [pa.array(h[at].view(np.int64)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), *(b.column(c).take(pa.array(doc[at] + i)) for c in ("doc_id", "print")), pa.array(number[at].astype(np.int32))],
+                    ["h", "d1", "d2", "doc_id", "print", "number"],
                 )
 
-    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("line", T.BinaryType()), T.StructField("doc_id", id_type), T.StructField("print", T.LongType()), T.StructField("number", T.IntegerType())])
-    found = docs.select("doc_id", "text", F.xxhash64("text").alias("print")).mapInArrow(suspects, schema)
+    long = T.LongType()
+    schema = T.StructType([*(T.StructField(c, long) for c in ("h", "d1", "d2")), T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("print", long), T.StructField("number", T.IntegerType())])
+    found = written(docs.select("doc_id", "text", row_hash().alias("print")).mapInArrow(suspects, schema), "suspects")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")
-    first = found.groupBy("h", "line").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = found.join(first.select("h", "line", "first"), ["h", "line"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "print").agg(F.collect_set("number").alias("lines"))
+    first = found.groupBy("h", "d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = found.join(first, ["h", "d1", "d2"]).where(~place.eqNullSafe(F.col("first")))
+    return written(later.groupBy("doc_id", "print").agg(F.collect_set("number").alias("lines")), "lines")
 
 
 def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with every line that occurs before taken out of ``text``."""
     gone, key, mark = free_name(docs, "gone"), free_name(docs, "gone_id"), free_name(docs, "gone_print")
-    drop = repeated_lines(docs).withColumnsRenamed({"lines": gone, "doc_id": key, "print": mark})
-    same = docs["doc_id"].eqNullSafe(drop[key]) & (F.xxhash64(docs["text"]) == drop[mark])  # rows of one id may differ in text
-    both = docs.join(drop.hint("shuffle_hash"), same, "left").drop(key, mark)
+    drop = repeated_lines(docs)
+    rest, suspects, name = split(docs, drop.select(F.col("print").alias("h")))
+    drop = drop.withColumnsRenamed({"lines": gone, "doc_id": key, "print": mark})
     names = docs.columns
-    at = names.index("text")
+
+    def squeeze(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            texts = pa.array([None if x is None else pack(x.encode("utf-8", "surrogatepass")) for x in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([texts if c == "text" else b.column(c) for c in b.schema.names], b.schema.names)
 
     def cut(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            lists = b.column(gone)
-            if lists.null_count == len(lists) and not drop_emptied:
-                yield b.select(names)
-                continue
-            texts, keep = b.column("text").to_pylist(), np.ones(b.num_rows, np.bool_)
-            for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                if texts[i] is None:
+            texts = [x if x is None else unpack(x).decode("utf-8", "surrogatepass") for x in b.column("text").to_pylist()]
+            keep = np.ones(b.num_rows, np.bool_)
+            for i, lines in enumerate(b.column(gone).to_pylist()):
+                if texts[i] is None or lines is None:
                     continue
-                out = set(lists[i].as_py())
+                out = set(lines)
                 left = [x for k, x in enumerate(texts[i].split("\n")) if k not in out]
                 texts[i] = "\n".join(left)
                 keep[i] = any(x.strip(" \t\r") for x in left)
-            arrays = [b.column(c) for c in names]
-            arrays[at] = pa.array(texts, b.schema.field("text").type)
-            done = pa.RecordBatch.from_arrays(arrays, schema=pa.schema([b.schema.field(c) for c in names]))
+            done = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names)
             yield done.filter(pa.array(keep)) if drop_emptied else done
 
-    return both.mapInArrow(cut, docs.schema)
+    packed = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in suspects.schema])
+    moved = suspects.mapInArrow(squeeze, packed)
+    same = (moved[name] == drop[mark]) & moved["doc_id"].eqNullSafe(drop[key])
+    changed = moved.join(drop, same, "left").select(*(moved[c] for c in names), gone).mapInArrow(cut, docs.schema)
+    return rest.unionByName(changed)
 
 
 SQL = """

@@ -75,6 +75,26 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1 << 20, 1 << 30])
+def test_line_dedup_of_long_texts_and_a_full_filter(spark, monkeypatch, bits):
+    monkeypatch.setattr(linededup, "MAX_BITS", bits)
+    monkeypatch.setattr(linededup, "_SEGMENT", 10)
+    r = random.Random(8)
+    long = "\n".join(f"line {r.randrange(40_000)}" for _ in range(100_000))
+    rows = [(1, long), (2, "x" * 2_000_000 + "\nend"), (3, "x" * 2_000_000 + "\nline 7\n"), (4, "a line of its own"), (5, "\n\n \n")]
+    got = linededup.dedup_lines(table(spark, rows, False)).collect()
+    assert key([tuple(x) for x in got]) == key(brute.line_dedup(rows))
+
+
+def test_line_dedup_moves_no_text_without_repeats(spark, tmp_path):
+    """Only the branch of rows that lose lines has an exchange of texts."""
+    table(spark, corpus()).write.parquet(f"{tmp_path}/d")
+    plan = linededup.dedup_lines(spark.read.parquet(f"{tmp_path}/d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+    top, _, below = plan.partition("Join")
+    assert top.count("MapInArrow") == 2 and "Union" in top  # the union's first branch is a mapped pass alone
+
+
 def check_kept(kept, rows):
     """``kept`` is a choice that :func:`brute.keep_one` allows."""
     stay, free = brute.keep_one(rows)
