@@ -4,21 +4,25 @@ Each document is encoded, ended with ``END`` and cut into sequences of ``LENGTH`
 Sequences are numbered 0..N-1 by (doc_id, hash of the text), then place in the document.  A keyed
 Feistel permutation of the next even power of two, walked along its cycle until it falls below N, maps each
 number to its global slot: a bijection computed row by row, without a shuffle or a table.  Slots are cut into shards
-of ``RECORDS`` records; partition i holds shard i, sorted, so a shard is a file of records of equal
-size, and slot s is at byte (s mod RECORDS) * stride of shard s div RECORDS.  A reader resumes at any slot.
+of ``RECORDS`` records of equal size: slot s is at byte (s mod RECORDS) * stride of shard s div RECORDS.  A reader
+resumes at any slot.
 
-Texts are encoded once, into a table in the shared folder; numbering moves only small rows, and tokens are
-shuffled twice: to meet their numbers, and to their shards.  Every step can be repeated with the same result.
+Texts are encoded once, into a table in the shared folder.  Numbering moves small rows only; the numbers of the rows that one task encoded
+become one file, which whoever reads the rows again looks up.  Tokens are shuffled once, to their shards, packed and compressed by shard,
+and in ``SLICES`` ranges of slots one after another, so that a fraction of them lies in shuffle files at a time.  A range has at most ``PARTITIONS`` tasks, however many its shards: each
+writes neighbouring ones.
 
 Defined results: null and empty texts are one sequence with no id but END; the length column counts a
 sequence's ids with the END that closes the document, without padding; null doc_ids sort first; rows equal in id and text
-are numbered side by side; other columns are ignored.
+are numbered side by side; texts are encoded whole, however long; other columns are ignored.  A vocabulary of more than 65,536 ids is refused:
+a record holds 16-bit ids.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +30,14 @@ import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from . import bpe
-from .common import small_batches, strings, written
+from .common import remove, shared_folder, small_batches, strings, tidy, written
 
 END, LENGTH, RECORDS, KEY, ROUNDS = 50256, 512, 16384, b"epoch-0", 6
+#: Ranges of slots that are shuffled one after another, tasks in each at most, and bytes of records that a task packs at a time.
+SLICES, PARTITIONS, HELD = 4, 4096, 32 << 20
+_ROW = ["slot", "doc_id", "seq", "n_ids"]
 
 
 def permute(x: np.ndarray, n: int, key: bytes = KEY) -> np.ndarray:
@@ -97,86 +103,148 @@ def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
     return done.select("row", (F.col("start") + F.col("upto") - F.col("n_seq")).alias("before")), total
 
 
-def materialise(docs: DataFrame, vocabulary: str = bpe.VOCABULARY, length: int = LENGTH, records: int = RECORDS, key: bytes = KEY) -> DataFrame:
-    """``(slot, shard, doc_id, seq, n_ids, record)``, partition i being shard i in order of slots; record is the bytes on disk."""
-    rows = encoded(docs, vocabulary, length)
-    numbers, total = numbered(rows)
+def _save(fs, folder: str, name: str, data) -> None:
+    """A whole file or none: written under a name of this attempt, then renamed."""
+    own = f"{folder}/.{uuid.uuid4().hex}"
+    with fs.open_output_stream(own) as f:
+        f.write(data)
+    fs.move(own, f"{folder}/{name}")
 
-    def cut(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            before, ids = b.column("before").to_numpy(), b.column("ids")
-            for i in range(0, b.num_rows, 64):
-                slots, owner, seqs, sizes, records_ = [], [], [], [], []
-                for r in range(i, min(i + 64, b.num_rows)):
-                    x = np.frombuffer(unpack(ids[r].as_py()), "<u2")
-                    k = -(-len(x) // length)
-                    full = np.full(k * length, END, "<u2")
-                    full[: len(x)] = x
-                    slots.append(before[r] + np.arange(k))
-                    owner.append(np.full(k, r))
-                    seqs.append(np.arange(k, dtype=np.int32))
-                    sizes.append(np.minimum(length, len(x) - length * np.arange(k)).astype(np.int32))
-                    data = full.tobytes()
-                    records_ += [data[j * 2 * length : (j + 1) * 2 * length] for j in range(k)]
-                slot = permute(np.concatenate(slots), total, key)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), pa.array((slot // records).astype(np.int32)), b.column("doc_id").take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(seqs)), pa.array(np.concatenate(sizes)), pa.array(records_, pa.binary())],
-                    ["slot", "shard", "doc_id", "seq", "n_ids", "record"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    both = rows.select("row", "doc_id", "ids").join(numbers, "row").select("doc_id", "before", "ids")
-    cuts = both.mapInArrow(cut, f"slot long, shard int, doc_id {kind}, seq int, n_ids int, record binary")
-    return cuts.repartitionById(max(1, -(-total // records)), "shard").sortWithinPartitions("slot")
 
+def number_files(numbers: DataFrame, folder: str) -> None:
+    """One file of 64-bit numbers for the rows of each task that encoded some, in their order."""
 
-def write_shards(made: DataFrame, folder: str, length: int = LENGTH, records: int = RECORDS) -> dict:
-    """Write each partition of :func:`materialise` as ``shard-<i>.bin``, and ``manifest.json``; returns the manifest.
-
-    ``folder`` is a URI that pyarrow can open (file, hdfs, s3).  The records' other columns go to ``rows-<i>.arrow``, in the same
-    order.  Files are written under a name of their attempt and then renamed, so a repeated task leaves whole files; the
-    manifest comes last.
+    def save(batches):
+        fs, root = pa.fs.FileSystem.from_uri(folder)
+        fs.create_dir(root)
+        held: list[np.ndarray] = []
+        at = None
+        for b in batches:
+            part, before = b.column("row").to_numpy() >> 33, b.column("before").to_numpy()
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+            for a, z in zip(cut, [*cut[1:], len(part)]):
+                if at is not None and part[a] != at:
+                    _save(fs, root, f"{at}.bin", np.concatenate(held).tobytes())
+                    held = []
+                at = part[a]
+                held.append(before[a:z].astype("<i8"))
+        if at is not None:
+            _save(fs, root, f"{at}.bin", np.concatenate(held).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64())], ["n"])
+
+    task = F.shiftright("row", 33)
+    last = numbers.agg(F.max(task)).first()[0] or 0
+    with tidy(numbers.sparkSession):
+        numbers.repartitionById(min(PARTITIONS, last + 1), F.pmod(task, F.lit(min(PARTITIONS, last + 1))).cast("int")).sortWithinPartitions("row").mapInArrow(save, "n long").agg(F.sum("n")).collect()
+
+
+def write_shards(docs: DataFrame, folder: str, vocabulary: str = bpe.VOCABULARY, length: int = LENGTH, records: int = RECORDS, key: bytes = KEY) -> dict:
+    """Write ``shard-<i>.bin`` of ``docs``, and ``manifest.json``, to ``folder``; returns the manifest.
+
+    ``folder`` is a URI that pyarrow can open (file, hdfs, s3).  The records' doc_id, place in the document, ids without padding, and slot go
+    to ``rows-<i>.arrow``, in the same order.  A repeated task leaves whole files; the manifest comes last.
     """
+    spark = docs.sparkSession
+    rows = encoded(docs, vocabulary, length)
+    numbers, total = numbered(rows)
+    where = f"{shared_folder(spark)}/numbers-{uuid.uuid4().hex}"
+    number_files(numbers, where)
+    kind = rows.select("doc_id").schema
+    n_shards = -(-total // records)
+
+    def cut(first, last):
+        def run(batches):
+            unpack = zstandard.ZstdDecompressor().decompress
+            fs, root = pa.fs.FileSystem.from_uri(where)
+            part, before = -1, None
+            held: list[tuple] = []
+            for b in batches:
+                for r, ids, d in zip(b.column("row").to_pylist(), b.column("ids"), range(b.num_rows)):
+                    if r >> 33 != part:
+                        part = r >> 33
+                        with fs.open_input_file(f"{root}/{part}.bin") as f:
+                            before = np.frombuffer(f.read(), "<i8")
+                    x = np.frombuffer(unpack(ids.as_buffer()), "<u2")
+                    k = -(-len(x) // length)
+                    slot = permute(before[r & ((1 << 33) - 1)] + np.arange(k), total, key)
+                    inside = np.flatnonzero((slot >= first) & (slot < last))
+                    if len(inside):
+                        full = np.full(k * length, END, "<u2")
+                        full[: len(x)] = x
+                        held.append((slot[inside], b.column("doc_id").slice(d, 1), inside.astype(np.int32), np.minimum(length, len(x) - length * inside).astype(np.int32), full.reshape(k, length)[inside]))
+                if sum(len(h[0]) for h in held) * 2 * length > HELD:
+                    yield from packed(held)
+                    held = []
+            if held:
+                yield from packed(held)
+
+        def packed(held):
+            pack = zstandard.ZstdCompressor(level=3).compress
+            slot, seq, size, ids = (np.concatenate([h[i] for h in held]) for i in (0, 2, 3, 4))
+            owner = pa.concat_arrays([x for h in held for x in [h[1]]]).take(pa.array(np.repeat(np.arange(len(held)), [len(h[0]) for h in held])))
+            shard = slot // records
+            order = np.argsort(shard, kind="stable")
+            cuts = np.flatnonzero(np.append(True, np.diff(shard[order]) > 0)).tolist()
+            for a, z in zip(cuts, [*cuts[1:], len(order)]):
+                o = order[a:z]
+                sink = pa.BufferOutputStream()
+                made = pa.RecordBatch.from_arrays([pa.array(slot[o]), owner.take(pa.array(o)), pa.array(seq[o]), pa.array(size[o])], _ROW)
+                with pa.ipc.new_stream(sink, made.schema) as w:
+                    w.write_batch(made)
+                yield pa.RecordBatch.from_arrays([pa.array([int(shard[o[0]])], pa.int32()), pa.array([pack(sink.getvalue())], pa.binary()), pa.array([pack(ids[o].tobytes())], pa.binary())], ["shard", "rows", "ids"])
+
+        return run
 
     def save(batches):
-        stream = None
         fs, root = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(root)
-        n = 0
+        unpack = zstandard.ZstdDecompressor().decompress
+        held: list[tuple] = []
+        at, n = None, 0
+
+        def one():
+            made = pa.concat_tables([pa.ipc.open_stream(unpack(x)).read_all() for x, _ in held]).combine_chunks()
+            ids = np.frombuffer(b"".join(unpack(x) for _, x in held), "<u2").reshape(-1, length)
+            order = np.argsort(made.column("slot").to_numpy())
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, made.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(made.take(pa.array(order)))
+            _save(fs, root, f"rows-{at:06d}.arrow", sink.getvalue())
+            _save(fs, root, f"shard-{at:06d}.bin", ids[order].tobytes())
+            return len(order)
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            rest = b.drop_columns(["shard", "record"])
-            if stream is None:
-                import uuid
-
-                shard, name = b.column("shard")[0].as_py(), uuid.uuid4().hex
-                stream = fs.open_output_stream(f"{root}/.shard-{name}")
-                beside = fs.open_output_stream(f"{root}/.rows-{name}")
-                table = pa.ipc.new_stream(beside, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
-            stream.write(b"".join(b.column("record").to_pylist()))
-            table.write_batch(rest)
-            n += b.num_rows
-        if stream is not None:
-            stream.close()
-            table.close()
-            beside.close()
-            fs.move(f"{root}/.shard-{name}", f"{root}/shard-{shard:06d}.bin")
-            fs.move(f"{root}/.rows-{name}", f"{root}/rows-{shard:06d}.arrow")
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64())], ["shard", "n"])
-
-    parts = sorted((r.shard, r.n) for r in made.mapInArrow(save, "shard int, n long").collect())
-    manifest = {"length": length, "stride": 2 * length, "records_per_shard": records, "sequences": sum(n for _, n in parts), "shards": [{"shard": s, "records": n} for s, n in parts]}
+            for s, rows_, ids in zip(b.column("shard").to_pylist(), b.column("rows"), b.column("ids")):
+                if s != at:
+                    n += one() if held else 0
+                    held = []
+                at = s
+                held.append((rows_.as_py(), ids.as_py()))
+        n += one() if held else 0
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    width = max(1, -(-n_shards // SLICES))  # shards in a range of slots
+    done = 0
+    for first in range(0, n_shards, width):
+        last = min(n_shards, first + width)
+        each = -(-(last - first) // PARTITIONS)  # neighbouring shards to a task
+        parts = -(-(last - first) // each)
+        blobs = rows.select("row", "doc_id", "ids").mapInArrow(cut(first * records, last * records), "shard int, rows binary, ids binary")
+        routed = blobs.repartitionById(parts, ((F.col("shard") - first) / each).cast("int")).sortWithinPartitions("shard")
+        with tidy(spark):
+            done += routed.mapInArrow(save, "n long").agg(F.sum("n")).first()[0] or 0
+    if done != total:
+        raise RuntimeError(f"{done} of {total} sequences were written")
+    manifest = {"length": length, "stride": 2 * length, "records_per_shard": records, "sequences": total, "shards": n_shards, "doc_id": kind["doc_id"].dataType.simpleString()}
     fs, root = pa.fs.FileSystem.from_uri(folder)
     fs.create_dir(root)
-    with fs.open_output_stream(f"{root}/manifest.json") as f:
-        f.write(json.dumps(manifest).encode())
+    _save(fs, root, "manifest.json", json.dumps(manifest).encode())
+    remove(rows)
     return manifest
 
 
-def read_rows(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """The rows of :func:`materialise` from the files of :func:`write_shards`, partition i being shard i in order of slots."""
+def read_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """``(slot, shard, doc_id, seq, n_ids, record)`` from the files of :func:`write_shards`, in order of slots; record is the bytes on disk."""
     fs, root = pa.fs.FileSystem.from_uri(folder)
     with fs.open_input_stream(f"{root}/manifest.json") as f:
         m = json.loads(f.read())
@@ -184,24 +252,23 @@ def read_rows(spark: SparkSession, folder: str, schema: StructType) -> DataFrame
 
     def run(batches):
         fs, root = pa.fs.FileSystem.from_uri(folder)
-        for shard in (x for b in batches for x in b.column("shard").to_pylist()):
+        for shard in (x for b in batches for x in b.column("id").to_pylist()):
             with fs.open_input_stream(f"{root}/shard-{shard:06d}.bin") as f, fs.open_input_stream(f"{root}/rows-{shard:06d}.arrow") as g:
                 for b in pa.ipc.open_stream(g):
                     for i in range(0, b.num_rows, 256):
                         part = b.slice(i, 256)
                         data = f.read(part.num_rows * stride)
-                        made = {"shard": pa.array([shard] * part.num_rows, pa.int32()), "record": pa.array([data[k : k + stride] for k in range(0, len(data), stride)], pa.binary())}
-                        yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(c) for c in schema.names], schema.names)
+                        record = pa.array([data[k : k + stride] for k in range(0, len(data), stride)], pa.binary())
+                        yield pa.RecordBatch.from_arrays([part.column("slot"), pa.array([shard] * part.num_rows, pa.int32()), *(part.column(c) for c in _ROW[1:]), record], ["slot", "shard", *_ROW[1:], "record"])
 
-    shards = spark.createDataFrame([(x["shard"],) for x in m["shards"]], "shard int")
-    return shards.repartitionById(max(1, len(m["shards"])), "shard").mapInArrow(run, schema)
+    shards = spark.range(0, m["shards"], 1, max(1, min(PARTITIONS, m["shards"])))
+    return shards.mapInArrow(run, f"slot long, shard int, doc_id {m['doc_id']}, seq int, n_ids int, record binary")
 
 
 def shards(docs: DataFrame, folder: str, vocabulary: str = bpe.VOCABULARY, length: int = LENGTH, records: int = RECORDS, key: bytes = KEY) -> DataFrame:
-    """Write the shards and the manifest of ``docs`` to ``folder``; the rows of :func:`materialise`, read back from there."""
-    made = materialise(docs, vocabulary, length, records, key)
-    write_shards(made, folder, length, records)
-    return read_rows(docs.sparkSession, folder, made.schema)
+    """Write the shards and the manifest of ``docs`` to ``folder``; its rows, read back from there."""
+    write_shards(docs, folder, vocabulary, length, records, key)
+    return read_rows(docs.sparkSession, folder)
 
 
 def read_slots(folder: str, first: int = 0, count: int | None = None):
