@@ -72,7 +72,7 @@ def encoded(docs: DataFrame, vocabulary: str, length: int) -> DataFrame:
 
     def run(batches):
         encode = bpe.encoder(ranks.value).encode_ordinary
-        pack = zstandard.ZstdCompressor(level=6).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
@@ -159,19 +159,32 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = bpe.VOCABULARY,
             part, before = -1, None
             held: list[tuple] = []
             for b in batches:
-                for r, ids, d in zip(b.column("row").to_pylist(), b.column("ids"), range(b.num_rows)):
-                    if r >> 33 != part:
-                        part = r >> 33
+                row = b.column("row").to_numpy()
+                start = np.empty(b.num_rows, np.int64)
+                for p in np.unique(row >> 33).tolist():
+                    if p != part:
+                        part = p
                         with fs.open_input_file(f"{root}/{part}.bin") as f:
                             before = np.frombuffer(f.read(), "<i8")
-                    x = np.frombuffer(unpack(ids.as_buffer()), "<u2")
-                    k = -(-len(x) // length)
-                    slot = permute(before[r & ((1 << 33) - 1)] + np.arange(k), total, key)
-                    inside = np.flatnonzero((slot >= first) & (slot < last))
-                    if len(inside):
-                        full = np.full(k * length, END, "<u2")
-                        full[: len(x)] = x
-                        held.append((slot[inside], b.column("doc_id").slice(d, 1), inside.astype(np.int32), np.minimum(length, len(x) - length * inside).astype(np.int32), full.reshape(k, length)[inside]))
+                    own = row >> 33 == p
+                    start[own] = before[row[own] & ((1 << 33) - 1)]
+                count = b.column("n_seq").to_numpy()
+                owner = np.repeat(np.arange(b.num_rows), count)
+                seq = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+                slot = permute(start[owner] + seq, total, key)
+                inside = np.flatnonzero((slot >= first) & (slot < last))
+                owner, seq, slot = owner[inside], seq[inside], slot[inside]
+                # only texts with a record here are unpacked, each at its own place of one array
+                some = np.unique(owner)
+                at = np.zeros(b.num_rows, np.int64)
+                at[some] = np.cumsum(count[some]) - count[some]
+                full = np.full((int(count[some].sum()), length), END, "<u2")
+                flat, size, blobs = full.reshape(-1), np.zeros(b.num_rows, np.int64), b.column("ids")
+                for r, k in zip(some.tolist(), (at[some] * length).tolist()):
+                    x = np.frombuffer(unpack(blobs[r].as_buffer()), "<u2")
+                    flat[k : k + len(x)] = x
+                    size[r] = len(x)
+                held.append((slot, b.column("doc_id").take(pa.array(owner)), seq.astype(np.int32), np.minimum(length, size[owner] - length * seq).astype(np.int32), full[at[owner] + seq]))
                 if sum(len(h[0]) for h in held) * 2 * length > HELD:
                     yield from packed(held)
                     held = []
@@ -181,10 +194,10 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = bpe.VOCABULARY,
         def packed(held):
             pack = zstandard.ZstdCompressor(level=3).compress
             slot, seq, size, ids = (np.concatenate([h[i] for h in held]) for i in (0, 2, 3, 4))
-            owner = pa.concat_arrays([x for h in held for x in [h[1]]]).take(pa.array(np.repeat(np.arange(len(held)), [len(h[0]) for h in held])))
+            owner = pa.concat_arrays([h[1] for h in held])
             shard = slot // records
             order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.append(True, np.diff(shard[order]) > 0)).tolist()
+            cuts = np.flatnonzero(np.append(True, np.diff(shard[order]) > 0)).tolist() if len(order) else []
             for a, z in zip(cuts, [*cuts[1:], len(order)]):
                 o = order[a:z]
                 sink = pa.BufferOutputStream()
@@ -229,7 +242,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = bpe.VOCABULARY,
         last = min(n_shards, first + width)
         each = -(-(last - first) // PARTITIONS)  # neighbouring shards to a task
         parts = -(-(last - first) // each)
-        blobs = rows.select("row", "doc_id", "ids").mapInArrow(cut(first * records, last * records), "shard int, rows binary, ids binary")
+        blobs = rows.select("row", "doc_id", "n_seq", "ids").mapInArrow(cut(first * records, last * records), "shard int, rows binary, ids binary")
         routed = blobs.repartitionById(parts, ((F.col("shard") - first) / each).cast("int")).sortWithinPartitions("shard")
         with tidy(spark):
             done += routed.mapInArrow(save, "n long").agg(F.sum("n")).first()[0] or 0
