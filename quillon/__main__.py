@@ -47,7 +47,11 @@ def main(argv: list[str] | None = None) -> int:
 
     from .operators import documents, findings
     from .sources import frontmatter
+    from .streaming.incremental import checkpointed
 
+    if not os.path.isdir(a.root):
+        print(json.dumps({"version": findings.VERSION, "status": "failed", "error": {"code": "E0070", "message": f"{a.root} is not a folder"}}), file=sys.stderr)
+        return 2
     spark = SparkSession.builder.appName("quillon").getOrCreate()
     try:
         engine = Engine(spark, os.path.abspath(a.root))
@@ -57,18 +61,19 @@ def main(argv: list[str] | None = None) -> int:
             for row in project.renew_pins(os.path.join(a.root, FOLDER), stale, dry_run=not a.update):
                 print(*row)
             return 0
-        found = engine.check_changed(a.changed) if a.changed else engine.check()
-        rows = [r.asDict(recursive=True) for r in found.collect()]  # a report for a reader
+        if a.format == "json":
+            report = engine.report(a.changed)
+            print(report)
+            counts = json.loads(report)["summary"]
+        else:
+            found = checkpointed(engine.check_changed(a.changed) if a.changed else engine.check())
+            for r in findings.report_lines(findings.ordered(found), a.format).toLocalIterator():
+                print(r.report)
+            counts = findings.summary(found).first().asDict()
+        return findings.exit_status(counts["errors"], counts["warnings"], a.deny_warnings)
     except Exception as e:  # noqa: BLE001 - whatever stops the run is its outcome
-        print(json.dumps({"status": "failed", "error": {"code": "E0080", "message": str(e).split("\n")[0]}}), file=sys.stderr)
+        print(json.dumps({"version": findings.VERSION, "status": "failed", "error": {"code": "E0080", "message": str(e).split("\n")[0]}}), file=sys.stderr)
         return 2
-    if a.format == "json":
-        print(json.dumps(rows, ensure_ascii=False))
-    else:
-        for r in rows:
-            print(findings.text_form(r) if a.format == "text" else findings.compact_form(r))
-    level = lambda s: sum(r["severity"] == s for r in rows)
-    return findings.exit_status(level("error"), level("warning"), a.deny_warnings)
 
 
 if __name__ == "__main__":

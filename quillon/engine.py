@@ -20,7 +20,7 @@ from .plans.analysis import analyse
 from .plans.interpreter import EvalError, evaluate, shown
 from .plans.rules import Pattern, Rule
 from .sources import config, corpus, frontmatter, project
-from .streaming.incremental import closure, governance_edges, in_scope, indexes_of, rule_edges, shared_key_edges
+from .streaming.incremental import checkpointed, closure, governance_edges, in_scope, indexes_of, rule_edges, shared_key_edges
 
 FOLDER = ".quillon"
 
@@ -101,12 +101,23 @@ class Engine:
         return index.registry(self.sources(), self.keys)
 
     def sources(self) -> dict[str, list[tuple[str, object]]]:
-        """(path, value) of each declared source, which is configuration: read on the driver, confined and bounded."""
+        """(path, value) of each declared source, which is configuration: read on the driver, confined and bounded.
+
+        A source that is missing, unreadable or not UTF-8 adds nothing and is noted in ``degraded``; a symbolic link, or one over the limit, stops the run.
+        """
         sources: dict[str, list[tuple[str, object]]] = {}
+        self.degraded = []
         for k in self.keys:
             paths = corpus.walk(self.root, k.source) if any(c in k.source for c in "*?[") else [corpus.confined(k.source)]
             for p in paths:
-                text = corpus.open_no_follow(self.root, p).decode()
+                try:
+                    data = corpus.open_no_follow(self.root, p)
+                    text = data.decode()
+                except (OSError, UnicodeDecodeError) as e:
+                    self.degraded.append((k.name, p, e.strerror if isinstance(e, OSError) and e.strerror else "not valid UTF-8" if isinstance(e, UnicodeDecodeError) else str(e)))
+                    continue
+                if len(data) > corpus.FILE_BYTES:
+                    raise corpus.BoundExceeded(f"{p} has over {corpus.FILE_BYTES} bytes")
                 if p.endswith((".yaml", ".yml")):
                     v = frontmatter.load_yaml(text)
                 elif p.endswith(".json"):
@@ -145,69 +156,121 @@ class Engine:
         df = self.spark.createDataFrame(rows, "code string, rule string, path string, detail string")
         return rules_union([findings.finding(df.where(F.col("code") == c), c, "static", "rule doesn't fit its schema", F.col("detail"), F.lit("patterns"), quoted=[("rule", F.col("rule")), ("field", F.col("path"))]) for c in ("E0021", "E0022", "W0050")])
 
-    def check(self, strict: bool = True) -> DataFrame:
-        """All findings, in order."""
-        readable = self.files.where("state = 'ok'")
-        everything = frontmatter.documents(readable)
+    def check(self, strict: bool = True, limit: int | None = None) -> DataFrame:
+        """All findings, in order.  ``limit`` bounds the bytes read in all, see :func:`corpus.within_budget`."""
+        return findings.ordered(self._run(None, strict, limit))
+
+    def check_changed(self, changed: list[str], edges: DataFrame | None = None, strict: bool = True, limit: int | None = None) -> DataFrame:
+        """Findings in what the changed files can reach, checked alone; equal to the whole check's findings there.
+
+        A path that is no governed file (a typo, a deleted file, configuration) means everything.
+        """
+        paths = [self.governed_path(c) for c in changed]
+        if not paths or None in paths:
+            return self.check(strict, limit)
+        start = self.spark.createDataFrame([(p,) for p in paths], "node string")
+        scope = closure(self.edges() if edges is None else edges, start).unionByName(start).distinct()
+        return findings.ordered(self._run(scope, strict, limit))
+
+    def governed_path(self, path: str) -> str | None:
+        """The governed file that a path means, given from the root or absolutely, links of the root resolved; None if there is none."""
+        if os.path.isabs(path):
+            rel = os.path.relpath(os.path.realpath(path), os.path.realpath(self.root))
+        else:
+            rel = path
+        try:
+            rel = corpus.confined(rel)
+        except corpus.ConfinementError:
+            return None
+        return None if self.files.where(F.col("path") == rel).isEmpty() else rel
+
+    def _run(self, scope: DataFrame | None, strict: bool, limit: int | None) -> DataFrame:
+        """Findings of all families; with a scope (column node) of its files only, without what is found in the configuration alone."""
+        all_files, wanted = self.all_files, F.lit(False)
+        for g in self.globs:
+            wanted |= F.col("path").rlike(walk_regex(g))
+        if limit is not None:
+            all_files = corpus.within_budget(all_files, wanted, limit)
+        files = all_files.where(wanted)
+        if scope is not None:
+            files = files.join(scope.select(F.col("node").alias("path")), "path", "left_semi")
+        self.families: dict[str, str] = {}
+        on = lambda family, state: self.families.__setitem__(family, "active" if state else "not-configured")
+        everything = frontmatter.documents(files.where("state = 'ok'"))
         docs = everything.where("fm_error is null")
-        others = self.all_files.select("path", "text")  # a file that can't be read exists all the same
-        out = [corpus.unreadable(self.files), corpus.dead_globs(self.files, self.globs), frontmatter.bad_frontmatter(everything), self.static_findings()]
-        if os.path.exists(os.path.join(self.root, self.folder, project.MANIFEST)):
-            out.append(project.drift(self.spark, self.root, self.folder))
+        others = all_files.select("path", "state", "text")  # a file that can't be read exists all the same
+        out = [corpus.unreadable(files), frontmatter.bad_frontmatter(everything)]
+        if scope is None:
+            out += [corpus.dead_globs(files, self.globs), self.static_findings()]
+            if os.path.exists(os.path.join(self.root, self.folder, project.MANIFEST)):
+                out.append(project.drift(self.spark, self.root, self.folder))
         if self.required:
             out.append(frontmatter.missing_frontmatter(docs, self.required))
+        marked = self.catalogs is not None or self.vocabulary is not None or any(r.marker_rules or r.section_rules for r in self.routes or ())
+        parsed = checkpointed(documents.lines(docs)) if marked else None  # several families read them
+        on("routes", self.routes is not None)
         if self.routes is not None:
             c = documents.claims(docs, self.routes)
             cited = docs.join(c.where("citations"), "path", "left_semi")
             linked = docs.join(c.where("links").select("path", "link_root"), "path")
-            out += [
-                documents.route_findings(self.files, self.routes), documents.governing_findings(self.all_files, self.routes), documents.citation_findings(cited, others),
-                documents.link_findings(linked, others, F.col("link_root")), documents.marker_findings(docs, others, self.routes), documents.section_findings(docs, self.routes),
-            ]
-        if self.pins is not None:
-            out.append(documents.pin_findings(frontmatter.documents(others.where("text is not null")), *self.pins))
+            out += [documents.route_findings(files, self.routes), documents.citation_findings(cited, others), documents.link_findings(linked, others, F.col("link_root"))]
+            if marked:
+                out += [documents.marker_findings(parsed, others, self.routes), documents.section_findings(docs, self.routes, parsed)]
+            if scope is None:
+                out.append(documents.governing_findings(all_files, self.routes))
+        on("vocabulary", self.vocabulary is not None)
         if self.vocabulary is not None:
             inside = F.lit(self.vocabulary_globs is None)
             for g in self.vocabulary_globs or ():
                 inside |= F.col("path").rlike(match_regex(g))
-            scoped = docs.where(inside)
-            out.append(documents.vocabulary_findings(scoped, self.vocabulary))
-            none = scoped.agg(F.count("*").alias("n")).where("n = 0")
-            out.append(findings.finding(none, "W0043", "vocabulary", "vocabulary is in scope of no file", F.lit("no file matches the vocabulary's globs"), F.lit("config.yaml")))
+            out.append(documents.vocabulary_findings(docs.where(inside), self.vocabulary, parsed.where(inside)))
+            if self.vocabulary_globs is not None and scope is None and files.where(inside).isEmpty():
+                self.families["vocabulary"] = "inert"
+                one = self.spark.createDataFrame([(0,)], "n int")
+                out.append(findings.finding(one, "W0043", "vocabulary", "vocabulary is in scope of no file", F.lit("no file matches the vocabulary's globs"), F.lit("config.yaml")))
+        on("catalogs", self.catalogs is not None)
         if self.catalogs is not None:
-            out.append(documents.catalog_findings(docs, self.catalogs))
+            out.append(documents.catalog_findings(parsed, self.catalogs))
+        on("schemas", bool(self.schemas))
         if self.schemas:
             out.append(schema.document_findings(docs, self.schemas))
+        on("rules", bool(self.rules))
         if self.rules:
             out.append(rule_findings(docs, self.rules, self.indexes(), strict))
-        out.append(self.unrouted_classes(docs))
-        return findings.ordered(rules_union([x for x in out if x is not None]))
-
-    def unrouted_classes(self, docs: DataFrame) -> DataFrame:
-        """Documents whose class has neither schema nor rule (W0045); one finding for all of them if there is no schema folder (W0047)."""
-        known = sorted({*self.schemas, *(r.context.schema_class for r in self.rules if r.context.schema_class)})
-        lost = docs.where(F.col("schema_class").isNotNull() & ~F.col("schema_class").isin(known))
-        for r in self.rules:
-            if r.context.path and not r.context.schema_class:
-                lost = lost.where(~F.col("path").rlike(match_regex(r.context.path)))
-        if not self.has_schemas:
-            lost = lost.agg(F.count("*").alias("n")).where("n > 0")
-            return findings.finding(lost, "W0047", "schema", "no schema folder", F.concat(F.col("n"), F.lit(" documents declare a class")), F.lit("schemas"))
-        return findings.finding(lost, "W0045", "schema", "class without schema or rule", F.lit("nothing checks this class"), F.col("path"), quoted=[("class", F.col("schema_class"))])
-
-    def check_changed(self, changed: list[str], edges: DataFrame | None = None) -> DataFrame:
-        """Findings in what the changed files can reach; equal to the whole check filtered to that scope.  A path outside the root means everything."""
-        try:
-            changed = [corpus.confined(c) for c in changed]
-        except corpus.ConfinementError:
-            return self.check()
-        start = self.spark.createDataFrame([(c,) for c in changed], "node string")
-        return findings.ordered(in_scope(self.check(), closure(self.edges() if edges is None else edges, start)))
-
-    def report(self) -> str:
-        f = self.check()
-        n = self.files.where("state = 'ok'").count()
-        return findings.envelope(findings.known_refs(f, catalog.table(self.spark)), n).first().report
+            if self.degraded and scope is None:
+                lost = self.spark.createDataFrame(self.degraded, "name string, source string, reason string")
+                out.append(findings.finding(lost, "W0049", "rules", "index source was left out", F.lit("an index source can't be read; its keys are missing"), F.lit("patterns"), quoted=[("index", F.col("name")), ("source", F.col("source")), ("reason", F.col("reason"))]))
+        out.append(unrouted_classes(docs, self.schemas, self.rules, self.has_schemas))
+        found = rules_union([x for x in out if x is not None])
+        if scope is not None:
+            found = in_scope(found, scope)
+        on("pins", self.pins is not None)
+        if self.pins is not None:
+            pins, lifted = self.pins
+            if scope is not None:  # a pin is about the pinned file, wherever its finding stands
+                names = {r.node for r in scope.where(F.col("node").isin(sorted({p.file for p in (*pins, *lifted)}))).collect()}  # of the configuration's pins
+                pins, lifted = [p for p in pins if p.file in names], [t for t in lifted if t.file in names]
+            found = found.unionByName(documents.pin_findings(frontmatter.documents(others.where("text is not null")), pins, lifted, others.where("state = 'link'")))
+        self.files_checked = files.where("state = 'ok'")
+        return found
+
+    def report(self, changed: list[str] = ()) -> str:
+        """The findings as one JSON document, with the state of each family and the number of files whose content was checked."""
+        f = self.check_changed(list(changed)) if changed else self.check()
+        return findings.envelope(findings.known_refs(f, catalog.table(self.spark)), self.files_checked.count(), self.families).first().report
+
+
+def unrouted_classes(docs: DataFrame, schemas: dict[str, dict], rules: list[Rule], has_schemas: bool = True) -> DataFrame:
+    """Documents whose class has neither schema nor rule (W0045); one finding for all of them if there is no schema folder (W0047)."""
+    known = sorted({*schemas, *(r.context.schema_class for r in rules if r.context.schema_class)})
+    lost = docs.where(F.col("schema_class").isNotNull() & ~F.col("schema_class").isin(known))
+    for r in rules:
+        if r.context.path and not r.context.schema_class:
+            lost = lost.where(~F.col("path").rlike(match_regex(r.context.path)))
+    if not has_schemas:
+        lost = lost.agg(F.count("*").alias("n")).where("n > 0")
+        return findings.finding(lost, "W0047", "schema", "no schema folder", F.concat(F.col("n"), F.lit(" documents declare a class")), F.lit("schemas"))
+    return findings.finding(lost, "W0045", "schema", "class without schema or rule", F.lit("nothing checks this class"), F.col("path"), quoted=[("class", F.col("schema_class"))])
 
 
 def rules_union(parts: list[DataFrame]) -> DataFrame:

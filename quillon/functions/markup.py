@@ -149,6 +149,8 @@ def heading_slugs(text: str, body_from: int = 1) -> list[str]:
 
     def put(title: str) -> None:
         base = slug(plain(title))
+        if not base:
+            return
         n = seen.get(base, 0)
         seen[base] = n + 1
         out.append(f"{base}-{n}" if n else base)
@@ -189,17 +191,12 @@ def citations(text: str, body_from: int = 1) -> list[tuple[int, str, int, int |
     return out
 
 
-def bold_spans(text: str) -> list[str]:
-    out, i = [], 0
-    while (a := text.find("**", i)) >= 0:
-        b = text.find("**", a + 2)
-        if b < 0:
-            break
-        inner = text[a + 2 : b]
-        if "\n" in inner or not inner:
-            i = a + 2
-            continue
-        if len(inner.encode()) <= 60 and inner.strip():
-            out.append(inner.strip())
-        i = b + 2
+def bold_spans(text: str, body_from: int = 1) -> list[tuple[int, str]]:
+    """(line number, trimmed content) of ``**…**`` in the body: 1 to 60 bytes, on one line; other pairs are used up without a span."""
+    pieces = "\n".join(text.split("\n")[body_from - 1 :]).split("**")
+    out, line = [], body_from
+    for i, x in enumerate(pieces[:-1]):
+        if i % 2 and x and "\n" not in x and len(x.encode("utf-8", "surrogatepass")) <= 60:
+            out.append((line, x.strip()))
+        line += x.count("\n")
     return out

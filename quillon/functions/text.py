@@ -19,7 +19,7 @@ def slug(title: Column) -> Column:
 
 def external(target: Column) -> Column:
     """Whether a link leaves the corpus: ``//host`` or ``scheme:``."""
-    return target.rlike("^(//|[a-zA-Z][0-9a-zA-Z.+-]*:)")
+    return target.rlike("^(//|[A-Za-z][A-Za-z0-9+.-]*:)")
 
 
 def without_fragment(target: Column) -> Column:
@@ -80,7 +80,7 @@ def claimed_number(line: Column, needle: Column) -> Column:
     return F.when(at > 0, F.try_element_at(found, F.lit(1)))
 
 
-LABEL = r"\b[A-Z][A-Z]{0,6}(?:[-][A-Z]{0,7}|)\d{1,4}\b"
+LABEL = r"\b[A-Z]{1,7}(?:-[A-Z]{0,7})?[0-9]{1,4}\b"
 
 
 def labels(text: Column) -> Column:
@@ -89,9 +89,13 @@ def labels(text: Column) -> Column:
 
 
 def bold_spans(text: Column) -> Column:
-    """Trimmed content of ``**…**`` on one line, 1 to 60 bytes; an over-long pair is used up without a span."""
-    found = F.regexp_extract_all(text, F.lit(r"\*\*([^\n]+?)\*\*"), 1)
-    return F.filter(F.transform(found, F.trim), lambda x: (F.octet_length(x) <= 60) & (x != ""))
+    """Trimmed content of ``**…**``, 1 to 60 bytes on one line; a pair that is empty, longer or on several lines is used up without a span.
+
+    Marks pair up from the left, so what stands between them are the pieces with even numbers of the text cut at its marks, but for a last one.
+    """
+    pieces = F.split(text, r"\*\*", -1)
+    inner = F.filter(pieces, lambda x, i: (i % 2 == 1) & (i < F.size(pieces) - 1) & F.octet_length(x).between(1, 60) & ~F.contains(x, F.lit("\n")))
+    return F.transform(inner, lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")))
 
 
 def namespace_tokens(text: Column, namespace: str) -> Column:

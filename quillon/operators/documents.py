@@ -23,7 +23,9 @@ _LINE = "path string, line_no int, text string, body boolean, fenced boolean, le
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """One row for each line: ``(path, line_no, text, body, fenced, level, title, bullet)``."""
+    """One row for each line: ``(path, line_no, text, body, fenced, level, title, bullet)``; what is such a table already is handed on."""
+    if "line_no" in docs.columns:
+        return docs
 
     def run(batches):
         for b in batches:
@@ -73,23 +75,38 @@ def route_findings(files: DataFrame, routes: list[Route]) -> DataFrame:
     return out
 
 
+def _linked(files: DataFrame) -> Column:
+    """Whether a file is a symbolic link, which isn't followed."""
+    return F.col("state") == "link" if "state" in files.columns else F.lit(False)
+
+
 def governing_findings(files: DataFrame, routes: list[Route]) -> DataFrame:
-    """Routes whose governing document doesn't exist (E0031)."""
+    """Routes whose governing document doesn't exist (E0031) or is a symbolic link, or behind one (E0012)."""
     spark = files.sparkSession
     want = spark.createDataFrame([(r.files, r.governed_by) for r in routes], "glob string, governed_by string")
-    gone = want.join(files.select(F.col("path").alias("governed_by")), "governed_by", "left_anti")
-    return finding(gone, "E0031", "route", "governing document is absent", F.lit("a route names a document that doesn't exist"), F.lit("routes.yaml"), quoted=[("governed_by", F.col("governed_by")), ("route", F.col("glob"))])
+    steps = F.split("governed_by", "/")
+    at = want.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))).alias("at"))
+    have = files.select(F.col("path").alias("at"), _linked(files).alias("link"))
+    met = at.join(have, "at").where("link or at = governed_by").groupBy("governed_by", "glob").agg(F.max("link").alias("link"))
+    quoted = [("governed_by", F.col("governed_by")), ("route", F.col("glob"))]
+    gone = want.join(met, ["governed_by", "glob"], "left_anti")
+    out = finding(gone, "E0031", "route", "governing document is absent", F.lit("a route names a document that doesn't exist"), F.lit("routes.yaml"), quoted=quoted)
+    return out.unionByName(finding(met.where("link"), "E0012", "route", "symbolic link", F.lit("a route's governing document is a symbolic link"), F.lit("routes.yaml"), quoted=quoted))
 
 
 # pins
 
 
 def sections(all_lines: DataFrame) -> DataFrame:
-    """Headings with the last line of their section: ``(path, line_no, level, title, last)``; the next heading of a level no deeper ends it."""
-    heads = all_lines.groupBy("path").agg(F.max("line_no").alias("n"), F.sort_array(F.collect_list(F.when(F.col("level") > 0, F.struct("line_no", "level", "title")))).alias("h"))
-    each = heads.select("path", "n", "h", F.explode("h").alias("x"))
-    nxt = F.array_min(F.transform(F.filter("h", lambda y: (y.line_no > F.col("x.line_no")) & (y.level <= F.col("x.level"))), lambda y: y.line_no))
-    return each.select("path", F.col("x.line_no").alias("line_no"), F.col("x.level").alias("level"), F.col("x.title").alias("title"), F.coalesce(nxt - 1, F.col("n")).alias("last"))
+    """Headings with the last line of their section: ``(path, line_no, level, title, last)``; the next heading of a level no deeper ends it.
+
+    From a file's end upwards, the lowest line so far of a heading of level 1 to k, for each k: six running minima, linear in the headings.
+    """
+    below = W.partitionBy("path").orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, -1)
+    nxt = F.array(*(F.min(F.when(F.col("level") <= k, F.col("line_no"))).over(below) for k in range(1, 7)))
+    heads = all_lines.where("level > 0").select("path", "line_no", "level", "title", F.element_at(nxt, F.col("level")).alias("nxt"))
+    ends = all_lines.groupBy("path").agg(F.max("line_no").alias("n"))
+    return heads.join(ends, "path").select("path", "line_no", "level", "title", F.coalesce(F.col("nxt") - 1, F.col("n")).alias("last"))
 
 
 def section_text(all_lines: DataFrame, spans: DataFrame) -> DataFrame:
@@ -117,10 +134,16 @@ def pin_status(docs: DataFrame, pins: list[Pin]) -> DataFrame:
     return j.select("governing", "file", "section", "sha256", "present", (F.col("section").isNull() | F.col("section_hash").isNotNull()).alias("section_found"), actual.alias("actual"))
 
 
-def pin_findings(docs: DataFrame, pins: list[Pin], tombstones: list[Tombstone] = ()) -> DataFrame:
+def pin_findings(docs: DataFrame, pins: list[Pin], tombstones: list[Tombstone] = (), refused: DataFrame | None = None) -> DataFrame:
+    """Pins whose content changed (E0061), can't be read (E0062; E0012 for links, paths in ``refused``), or has no such section (E0063); lifted ones (L0001, W0042)."""
     s = pin_status(docs, pins)
     at = [("file", F.col("file")), ("governing", F.col("governing"))]
-    out = [
+    first = []
+    if refused is not None:
+        links = refused.select(F.col("path").alias("file")).distinct()
+        first = [finding(s.join(links, "file", "left_semi"), "E0012", "pin", "symbolic link", F.lit("a pinned file is a symbolic link"), F.lit("pins.yaml"), quoted=at)]
+        s = s.join(links, "file", "left_anti")
+    out = first + [
         finding(s.where("present and section_found and actual <> sha256"), "E0061", "pin", "pinned content changed", F.lit("the content no longer has the recorded hash"), F.col("file"), quoted=at),
         finding(s.where("not present"), "E0062", "pin", "pinned file is unreadable", F.lit("the pinned file is missing or can't be read"), F.lit("pins.yaml"), quoted=at),
         finding(s.where("present and not section_found"), "E0063", "pin", "pinned section is absent", F.lit("the pinned heading isn't in the file"), F.col("file"), quoted=[*at, ("section", F.col("section"))]),
@@ -150,13 +173,13 @@ def term_status(v: Vocabulary) -> tuple[dict[str, str], list[str]]:
     return {t: "draft" if t in clash else s[0] for t, s in seen.items()}, clash
 
 
-def vocabulary_findings(docs: DataFrame, v: Vocabulary) -> DataFrame:
+def vocabulary_findings(docs: DataFrame, v: Vocabulary, all_lines: DataFrame | None = None) -> DataFrame:
     status, clash = term_status(v)
-    body = lines(docs).where("body")
+    body = lines(docs if all_lines is None else all_lines).where("body")
     spark = docs.sparkSession
     out = [finding(spark.createDataFrame([(t,) for t in clash], "term string"), "W0044", "vocabulary", "conflicting term status", F.lit("a term is registered and draft"), F.lit("vocabulary.yaml"), quoted=[("term", F.col("term"))])]
     if status:
-        bold = body.select("path", "line_no", F.explode(X.bold_spans(F.col("text"))).alias("term"))
+        bold = _per_document(docs, markup.bold_spans, "path string, line_no int, term string", (pa.string(), pa.int32(), pa.string()))
         known = spark.createDataFrame([(t,) for t in status], "term string")
         out.append(finding(bold.join(known, "term", "left_anti"), "E0090", "vocabulary", "unregistered term", F.lit("a bold term isn't in the vocabulary"), F.col("path"), F.col("line_no"), [("term", F.col("term"))]))
         reserved = [t for t, s in status.items() if s == "reserved"]
@@ -190,20 +213,21 @@ def citation_findings(docs: DataFrame, files: DataFrame) -> DataFrame:
     c = _per_document(docs, markup.citations, "path string, line_no int, cited string, first int, last int", (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()))
     token = F.concat("cited", F.lit(":"), F.col("first"), F.coalesce(F.concat(F.lit("-"), F.col("last")), F.lit("")))
     c = c.withColumn("token", token).withColumn("problem", X.confinement(F.col("cited"))).withColumn("target", X.normal_path(F.col("cited")))
-    sized = files.select(F.col("path").alias("target"), X.line_count(F.col("text")).alias("n_lines"), F.lit(True).alias("there"))
+    sized = files.select(F.col("path").alias("target"), X.line_count(F.col("text")).alias("n_lines"), F.lit(True).alias("there"), _linked(files).alias("link"))
     j = c.where("problem is null").join(sized, "target", "left")
     quoted = [("citation", F.col("token"))]
     last = F.coalesce("last", "first")
     bad = (F.col("first") == 0) | (last > F.col("n_lines")) | (F.col("first") > last)
     out = [finding(c.where(F.col("problem") == p), p, "citation", "path leaves the root", F.lit("a cited path isn't inside the root"), F.col("path"), F.col("line_no"), quoted) for p in ("E0010", "E0011")]
-    out.append(finding(j.where("there and n_lines is null"), "W0048", "citation", "cited file was not read", F.lit("only the file's existence was checked"), F.col("path"), F.col("line_no"), quoted))
+    out.append(finding(j.where("link"), "E0012", "citation", "symbolic link", F.lit("the cited file is a symbolic link"), F.col("path"), F.col("line_no"), quoted))
+    out.append(finding(j.where("there and not link and n_lines is null"), "W0048", "citation", "cited file was not read", F.lit("only the file's existence was checked"), F.col("path"), F.col("line_no"), quoted))
     out.append(finding(j.where("there is null"), "E0100", "citation", "cited file is absent", F.lit("the cited file doesn't exist"), F.col("path"), F.col("line_no"), quoted))
     out.append(finding(j.where(F.col("n_lines").isNotNull() & bad), "E0101", "citation", "cited lines are absent", F.concat(F.lit("the file has "), F.col("n_lines"), F.lit(" lines")), F.col("path"), F.col("line_no"), quoted))
     return reduce(DataFrame.unionByName, out)
 
 
 def link_findings(docs: DataFrame, files: DataFrame, link_root: Column | bool = False) -> DataFrame:
-    """Links to files (E0110) or headings (E0111) that don't exist, or out of the root (E0010, E0011)."""
+    """Links to files (E0110) or headings (E0111) that don't exist, out of the root (E0010, E0011), or to symbolic links (E0012); W0048 for a heading in a file that wasn't read."""
     flag = docs.select(F.col("path").alias("p"), (F.lit(link_root) if isinstance(link_root, bool) else link_root).alias("lr"))
     raw = _per_document(docs, markup.links, "path string, line_no int, target string", (pa.string(), pa.int32(), pa.string()))
     l = raw.join(flag, F.col("path") == F.col("p")).where(~X.external(F.col("target")) & (F.col("target") != ""))
@@ -213,6 +237,7 @@ def link_findings(docs: DataFrame, files: DataFrame, link_root: Column | bool =
     parts = F.split("path", "/")
     folders = files.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("to"))
     exists = files.select(F.col("path").alias("to")).unionByName(folders).distinct()
+    links = files.where(_linked(files)).select(F.col("path").alias("to")).distinct()
     quoted = [("link", F.col("target"))]
     inside = l.where("problem is null")
     dead = inside.join(exists, "to", "left_anti")
@@ -221,8 +246,12 @@ def link_findings(docs: DataFrame, files: DataFrame, link_root: Column | bool =
     from ..sources.frontmatter import documents
 
     slugs = _per_document(documents(pages), lambda t, n: [(s,) for s in markup.heading_slugs(t, n)], "to string, frag string", (pa.string(), pa.string()))
-    lost = wanted.join(exists, "to", "left_semi").join(slugs, ["to", "frag"], "left_anti")
+    read = files.where("text is not null").select(F.col("path").alias("to")).distinct()
+    lost = wanted.join(read, "to", "left_semi").join(slugs, ["to", "frag"], "left_anti")
+    unread = wanted.join(files.where(F.col("text").isNull() & ~_linked(files)).select(F.col("path").alias("to")).distinct(), "to", "left_semi")
     out = [finding(l.where(F.col("problem") == p), p, "link", "link leaves the root", F.lit("a link isn't inside the root"), F.col("path"), F.col("line_no"), quoted) for p in ("E0010", "E0011")]
+    out.append(finding(inside.join(links, "to", "left_semi"), "E0012", "link", "symbolic link", F.lit("the linked file is a symbolic link"), F.col("path"), F.col("line_no"), quoted))
+    out.append(finding(unread, "W0048", "link", "linked file was not read", F.lit("only the file's existence was checked"), F.col("path"), F.col("line_no"), quoted))
     out.append(finding(dead, "E0110", "link", "dead link", F.lit("the linked file doesn't exist"), F.col("path"), F.col("line_no"), quoted))
     out.append(finding(lost, "E0111", "link", "dead anchor", F.lit("the linked heading doesn't exist"), F.col("path"), F.col("line_no"), quoted))
     return reduce(DataFrame.unionByName, out)
@@ -236,7 +265,10 @@ def _name(c: Column) -> Column:
 
 
 def marker_findings(docs: DataFrame, files: DataFrame, routes: list[Route]) -> DataFrame | None:
-    """Names captured by a marker pattern that no element of the target document, or section, has (E0112)."""
+    """Names captured by a marker pattern that no element of the target document, or section, has (E0112); a target that is a symbolic link is E0012.
+
+    ``docs`` may be their :func:`lines`, here and below.
+    """
     from ..sources.frontmatter import documents
 
     out = []
@@ -245,12 +277,15 @@ def marker_findings(docs: DataFrame, files: DataFrame, routes: list[Route]) -> D
         for m in r.marker_rules:
             used = body.where(F.col("path").rlike(match_regex(r.files))).select("path", "line_no", F.explode(F.regexp_extract_all("text", F.lit(m.pattern), 1)).alias("raw"))
             used = used.withColumn("name", _name(F.col("raw")))
-            target = lines(documents(files.where(F.col("path") == m.target_doc))).where("not fenced")
+            target = lines(documents(files.where((F.col("path") == m.target_doc) & ~_linked(files)))).where("not fenced")
+            out.append(finding(files.where((F.col("path") == m.target_doc) & _linked(files)), "E0012", "marker", "symbolic link", F.lit("a marker's target document is a symbolic link"), F.lit("routes.yaml"), quoted=[("target", F.lit(m.target_doc))]))
             if m.target_section:
                 s = sections(target).where(_name(F.col("title")) == m.target_section.lstrip("# ").rstrip(" .")).groupBy("path").agg(F.min(F.struct("line_no", "last")).alias("s"))
                 target = target.join(s, "path").where("line_no > s.line_no and line_no <= s.last")
             element = F.col("title") if m.element == "heading" else F.col("bullet")
             have = target.where(element.isNotNull()).select(_name(element).alias("name")).distinct()
+            there = files.where((F.col("path") == m.target_doc) & _linked(files)).select(F.lit(True).alias("link")).limit(1)
+            used = used.join(F.broadcast(there), F.lit(True), "left_anti")
             out.append(finding(used.join(have, "name", "left_anti"), "E0112", "marker", "unknown name", F.lit("a marked name isn't in the target document"), F.col("path"), F.col("line_no"), [("name", F.col("raw")), ("target", F.lit(m.target_doc))]))
     return reduce(DataFrame.unionByName, out) if out else None
 
@@ -258,12 +293,13 @@ def marker_findings(docs: DataFrame, files: DataFrame, routes: list[Route]) -> D
 def catalog_findings(docs: DataFrame, catalogs: list[Catalog]) -> DataFrame | None:
     """Codes of a comprehensive namespace that its catalog lacks (E0113)."""
     body = lines(docs).where("body and not fenced")
+    spark = docs.sparkSession
     out = []
     for c in catalogs:
         if not c.comprehensive:
             continue
         used = body.select("path", "line_no", F.explode(X.namespace_tokens(F.col("text"), c.namespace)).alias("token"))
-        known = docs.sparkSession.createDataFrame([(x if x.startswith(c.namespace) else c.namespace + x,) for x in c.codes], "token string")
+        known = spark.createDataFrame([(x if x.startswith(c.namespace) else c.namespace + x,) for x in c.codes], "token string")
         out.append(finding(used.join(known, "token", "left_anti"), "E0113", "catalog", "orphan code", F.lit("a code isn't in its catalog"), F.col("path"), F.col("line_no"), [("code", F.col("token"))]))
     return reduce(DataFrame.unionByName, out) if out else None
 
@@ -280,10 +316,10 @@ def _span(all_lines: DataFrame, section: str) -> DataFrame:
     return all_lines.join(s, "path").where("line_no between s.line_no and s.last")
 
 
-def section_findings(docs: DataFrame, routes: list[Route]) -> DataFrame | None:
+def section_findings(docs: DataFrame, routes: list[Route], all_lines: DataFrame | None = None) -> DataFrame | None:
     """Sections with a wrong number of headings (E0120), and pairs of sections that share an id (E0121)."""
     out = []
-    body = lines(docs).where("body")
+    body = lines(docs if all_lines is None else all_lines).where("body")
     for r in routes:
         mine = body.where(F.col("path").rlike(match_regex(r.files)))
         governed = docs.where(F.col("path").rlike(match_regex(r.files))).select("path")
@@ -305,7 +341,7 @@ def section_findings(docs: DataFrame, routes: list[Route]) -> DataFrame | None:
 
 
 def slug_numbers(headings: DataFrame) -> DataFrame:
-    """Slugs of ``(path, line_no, title)`` with ``-N`` on repeats within a path."""
+    """Slugs of ``(path, line_no, title)`` with ``-N`` on repeats within a path; a title without a slug has none."""
     s = headings.withColumn("base", X.slug(F.col("title")))
     n = F.row_number().over(W.partitionBy("path", "base").orderBy("line_no")) - 1
-    return s.withColumn("slug", F.when(n > 0, F.concat("base", F.lit("-"), n)).otherwise(F.col("base")))
+    return s.where("base <> ''").withColumn("slug", F.when(n > 0, F.concat("base", F.lit("-"), n)).otherwise(F.col("base")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +102,20 @@ def compact_form(row, limit: int = COMPACT_BYTES) -> str:
     return head
 
 
+def report_lines(findings: DataFrame, form: str = "text") -> DataFrame:
+    """``(file, line, code, report)``: each finding in its text, compact or json form, made where it is; for findings of any number."""
+    if form == "json":
+        cols = [c for c in findings.columns if c != "family"]
+        return findings.select("file", "line", "code", F.to_json(F.struct(*cols)).alias("report"))
+    make = {"text": text_form, "compact": compact_form}[form]
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("file", "line", "code")), pa.array(map(make, b.to_pylist()), pa.string())], ["file", "line", "code", "report"])
+
+    return findings.mapInArrow(run, "file string, line int, code string, report string")
+
+
 def known_refs(findings: DataFrame, catalog: DataFrame) -> DataFrame:
     """Findings whose explain_ref is null unless the catalog (code, title) has it."""
     c = F.broadcast(catalog.select(F.col("code").alias("known")))  # a table of the engine's own codes, fixed in size

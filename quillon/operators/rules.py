@@ -13,8 +13,9 @@ from ..plans.ast import Call, Lit, walk
 from ..plans.compiler import Compiler, Value, _first, family, shown
 from ..plans.interpreter import EvalError
 from ..plans.rules import Rule
+from ..streaming.incremental import checkpointed
 
-#: Rows of an index that may be put beside every row as one map; larger ones are joined row by row.
+#: Rows of an index that are put beside every row as one map; of a larger one each row gets the entries it asks for.
 MAP_ROWS = 50_000
 
 
@@ -27,18 +28,43 @@ def used_indexes(rules: list[Rule]) -> set[str]:
     return {n.args[0].value for r in rules for e in (r.test, *(x for _, x in r.lets), *(x for _, x in r.message.slots)) for n in walk(e) if isinstance(n, Call) and n.name == "key" and n.args and isinstance(n.args[0], Lit)}
 
 
-def _with_maps(df: DataFrame, rules: list[Rule], indexes: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, Value]]:
-    """``df`` with a map column for each index that the rules use: ``indexes`` are (key string, value) tables with distinct keys."""
-    maps = {}
-    for name in sorted(used_indexes(rules) & indexes.keys()):
+def _with_maps(df: DataFrame, rules: list[Rule], indexes: dict[str, DataFrame], file: Column) -> tuple[DataFrame, dict[str, Value], Column]:
+    """``df`` with a map column for each index that the rules use, and ``file`` for it; ``indexes`` are (key string, value) tables with distinct keys.
+
+    A small index is one map beside all rows.  Of a larger one each row has the entries of the keys it can ask for: these are exploded, joined
+    with the index, and collected for the row again.  A key that is itself looked up waits for the index it comes from.
+    """
+    maps: dict[str, Value] = {}
+    used = used_indexes(rules) & indexes.keys()
+    large = {}
+    for name in sorted(used):
         table = indexes[name].select(F.col("key").cast("string"), "value")
         if table.limit(MAP_ROWS + 1).count() > MAP_ROWS:
-            raise EvalError(f"index {name} has over {MAP_ROWS} rows: join it with lookup() and name its columns in the rule")
+            large[name] = table
+            continue
         c = f"index_{name}"
         one = table.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias(c))
         df = df.crossJoin(F.broadcast(one))
         maps[name] = Value(F.col(c), T.MapType(T.StringType(), table.schema["value"].dataType), never_null=True)
-    return df, maps
+    if large:
+        names = df.columns
+        df = checkpointed(df.withColumn("index_file", file).withColumn("index_row", F.monotonically_increasing_id()))
+        file = F.col("index_file")
+        todo = dict(large)
+        while todo:
+            compiler = Compiler(_names(df.select(*(f"`{c}`" for c in names)), file), maps)
+            asks = {name: keys for name, keys in compiler.wanted_keys(rules).items() if name in todo}
+            ready = {name: keys for name, keys in asks.items() if keys is not None}
+            if not ready:
+                raise EvalError(f"index {sorted(todo)[0]} is looked up by its own values")
+            for name, keys in sorted(ready.items()):
+                table, c = todo.pop(name), f"index_{name}"
+                asked = df.select("index_row", F.explode(F.array_distinct(F.array_compact(keys))).alias("key"))
+                got = asked.join(table, "key").groupBy("index_row").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias(c))
+                df = df.join(got, "index_row", "left")
+                kind = T.MapType(T.StringType(), table.schema["value"].dataType)
+                maps[name] = Value(F.coalesce(F.col(c), F.create_map().cast(kind)), kind, never_null=True)
+    return df, maps, file
 
 
 def lookup(df: DataFrame, index: DataFrame, key: Column, into: str) -> DataFrame:
@@ -62,8 +88,9 @@ def applies(rule: Rule, schema_class: Column, path: Column) -> Column:
 def evaluated(df: DataFrame, rules: list[Rule], schema_class: Column | str, file: Column, indexes: dict[str, DataFrame] | None = None) -> DataFrame:
     """``(rule_id, code, file, message, quoted, error)`` of every row that fails, or can't be judged by, a rule; one pass for all rules."""
     cls = F.lit(schema_class) if isinstance(schema_class, str) else schema_class
-    wide, maps = _with_maps(df, rules, indexes or {})
-    compiler = Compiler(_names(df, file), maps)
+    columns = df.columns
+    wide, maps, file = _with_maps(df, rules, indexes or {}, file)
+    compiler = Compiler(_names(wide.select(*(f"`{c}`" for c in columns)), file), maps)
     made = []
     for r in rules:
         env = dict(compiler.names)

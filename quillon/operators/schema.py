@@ -23,7 +23,10 @@ KNOWN = {
     "minProperties", "maxProperties", "items", "prefixItems", "minItems", "maxItems", "uniqueItems", "contains", "pattern", "minLength", "maxLength", "format", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf",
     "allOf", "anyOf", "oneOf", "not", "if", "then", "else", "definitions",
 }
-_FORMATS = {"date": r"^\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])$", "date-time": r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)$", "email": r"^[^@\s]+@[^@\s]+$", "uri": r"^[a-zA-Z][0-9a-zA-Z.+-]*:\S*$", "uuid": r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"}
+#: What a table's schema, and a column's, may have to become columns; a schema with anything else is judged row by row.
+_TABLE = {"$schema", "$id", "$comment", "title", "description", "default", "examples", "type", "properties", "required", "additionalProperties"}
+_COLUMN = {"$comment", "title", "description", "default", "examples", "type", "enum", "const", "pattern", "minLength", "maxLength", "format", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minItems", "maxItems"}
+_FORMATS = {"date": r"^\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])$", "date-time": r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)$", "email": r"^[^@\s]+@[^@\s]+$", "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:\S*$", "uuid": r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"}
 
 
 def unknown_keywords(schema) -> list[str]:
@@ -67,6 +70,39 @@ def _plain(part: str) -> str:
     return re.sub("~[01]", lambda m: "~/"[int(m[0][1])], part)
 
 
+def _target(schema: dict, root):
+    at = root
+    for part in schema["$ref"].removeprefix("#").strip("/").split("/") if schema["$ref"] != "#" else ():
+        at = at[_plain(part)]
+    return at
+
+
+def _extra(x, name: str, word: str, schema: dict, root, here: str):
+    """What ``word`` says of a property that nothing else does."""
+    if schema.get(word) is False:
+        yield here, word, f"{name} isn't allowed"
+    elif isinstance(schema.get(word), dict):
+        yield from errors(x, schema[word], root, here)
+
+
+def evaluated(v: dict, schema, root, own: bool = True) -> set[str]:
+    """The properties of an object that a schema, or one that it applies to the same object and that fits, speaks of."""
+    if not isinstance(schema, dict):
+        return set()
+    out = {k for k in v if k in schema.get("properties", {}) or any(re.search(p, k) for p in schema.get("patternProperties", {}))}
+    if "additionalProperties" in schema or (not own and "unevaluatedProperties" in schema):
+        out = set(v)
+    fits = lambda s: next(errors(v, s, root), None) is None
+    inner = [*schema.get("allOf", ()), *(s for w in ("anyOf", "oneOf") for s in schema.get(w, ()) if fits(s))]
+    if "$ref" in schema:
+        inner.append(_target(schema, root))
+    if "if" in schema:
+        inner += [schema["if"], schema.get("then", True)] if fits(schema["if"]) else [schema.get("else", True)]
+    for s in inner:
+        out |= evaluated(v, s, root, False)
+    return out
+
+
 def errors(v, schema, root=None, at: str = "") -> Iterator[tuple[str, str, str]]:
     """(pointer, keyword, what is wrong) of every violation."""
     root = schema if root is None else root
@@ -76,10 +112,7 @@ def errors(v, schema, root=None, at: str = "") -> Iterator[tuple[str, str, str]]
         yield at, "false", "nothing is allowed here"
         return
     if "$ref" in schema:
-        target = root
-        for part in schema["$ref"].removeprefix("#").strip("/").split("/") if schema["$ref"] != "#" else ():
-            target = target[_plain(part)]
-        yield from errors(v, target, root, at)
+        yield from errors(v, _target(schema, root), root, at)
     ok = lambda s: next(errors(v, s, root, at), None) is None
     if (t := schema.get("type")) is not None and not any(_type_is(v, x) for x in ([t] if isinstance(t, str) else t)):
         yield at, "type", f"expected {t if isinstance(t, str) else ' or '.join(t)}"
@@ -128,12 +161,12 @@ def errors(v, schema, root=None, at: str = "") -> Iterator[tuple[str, str, str]]
             for s in ([known[k]] if k in known else []) + matched:
                 yield from errors(x, s, root, here)
             if k not in known and not matched:
-                for word in ("additionalProperties", "unevaluatedProperties"):
-                    extra = schema.get(word, True)
-                    if extra is False:
-                        yield here, word, f"{k} isn't allowed"
-                    elif isinstance(extra, dict):
-                        yield from errors(x, extra, root, here)
+                yield from _extra(x, k, "additionalProperties", schema, root, here)
+        if "unevaluatedProperties" in schema:
+            seen = evaluated(v, schema, root)
+            for k, x in v.items():
+                if k not in seen:
+                    yield from _extra(x, k, "unevaluatedProperties", schema, root, f"{at}/{k.replace('~', '~0').replace('/', '~1')}")
     for s in schema.get("allOf", ()):
         yield from errors(v, s, root, at)
     if "anyOf" in schema and not any(map(ok, schema["anyOf"])):
@@ -193,11 +226,33 @@ def violations(df: DataFrame, schema: dict) -> Column:
             out += _column(F.col(k), types[k], s, f"/{k}")
     if schema.get("additionalProperties") is False:
         out += [F.when(F.col(k).isNotNull(), F.struct(F.lit(f"/{k}").alias("pointer"), F.lit("additionalProperties").alias("keyword"), F.lit(f"{k} isn't allowed").alias("problem"))) for k in types if k not in schema.get("properties", {})]
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+    return F.filter(F.array(*out).cast("array<struct<pointer:string,keyword:string,problem:string>>"), lambda x: x.isNotNull())
+
+
+def has_columns(schema) -> bool:
+    """Whether :func:`violations` knows everything in a table's schema."""
+    inner = schema.get("properties", {}).values() if isinstance(schema, dict) else ()
+    fine = lambda s: isinstance(s, dict) and s.keys() <= _COLUMN and isinstance(s.get("type", ""), str)
+    return isinstance(schema, dict) and schema.keys() <= _TABLE and schema.get("type", "object") == "object" and isinstance(schema.get("additionalProperties", True), bool) and all(map(fine, inner))
+
+
+def row_violations(df: DataFrame, schema: dict, file: Column) -> DataFrame:
+    """``(file, v)`` as :func:`violations` gives them, for a schema of any keywords: rows as objects, without their nulls, in Arrow batches."""
+
+    def run(batches):
+        for b in batches:
+            out = [(f, p, k, m) for f, x in zip(b.column("file").to_pylist(), b.column("row").to_pylist()) for p, k, m in errors(json.loads(x), schema)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*out)) or [()] * 4)], ["file", "pointer", "keyword", "problem"])
+
+    made = df.select(file.cast("string").alias("file"), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("row")).mapInArrow(run, "file string, pointer string, keyword string, problem string")
+    return made.select("file", F.struct("pointer", "keyword", "problem").alias("v"))
 
 
 def table_findings(df: DataFrame, schema: dict, file: Column) -> DataFrame:
-    rows = df.select(file.cast("string").alias("file"), F.explode(violations(df, schema)).alias("v"))
+    """Violations of a table's rows (E0050): columns where the schema allows it, else row by row; a keyword that isn't known is refused."""
+    if bad := unknown_keywords(schema):
+        raise ValueError(f"{', '.join(bad)} isn't supported")
+    rows = df.select(file.cast("string").alias("file"), F.explode(violations(df, schema)).alias("v")) if has_columns(schema) else row_violations(df, schema, file)
     return finding(rows, "E0050", "schema", "schema violation", F.concat("v.keyword", F.lit(": "), "v.problem"), F.col("file"), quoted=[("pointer", F.col("v.pointer"))])
 
 

@@ -5,7 +5,8 @@ that is null on rows without an error.  Errors follow the language's left-to-rig
 would not be reached adds none.  Types are known when compiling: comparing values of different types gives a constant, and
 what can never have a value raises :class:`EvalError` at once.
 
-``key(index, k)`` becomes a lookup in a map column that :mod:`quillon.operators.rules` puts beside the row.
+``key(index, k)`` becomes a lookup in a map column that :mod:`quillon.operators.rules` puts beside the row: of the whole index, or of the keys
+that :meth:`Compiler.wanted_keys` says the row may ask for.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ast import FUNCTIONS, Both, Call, Either, Expr, Get, Lit, Member, Not, Over, Same, Var
+from .ast import FUNCTIONS, Both, Call, Either, Expr, Get, Lit, Member, Not, Over, Same, Var, children, walk
 from .interpreter import EvalError
 
 _INTS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -108,10 +109,52 @@ def _string(v: Value) -> Value:
     return v if v.never_null else replace(v, err=_first(v.err, F.when(v.col.isNull(), F.lit("expected string, got null"))))
 
 
+def _merge(into: dict[str, Column | None], more: dict[str, Column | None]) -> None:
+    """Join arrays of keys by index; None stays."""
+    for name, c in more.items():
+        if name not in into:
+            into[name] = c
+        else:
+            into[name] = None if c is None or into[name] is None else F.concat(into[name], c)
+
+
 class Compiler:
     def __init__(self, names: dict[str, Value], maps: dict[str, Value] | None = None):
         self.names, self.maps, self.n = names, maps or {}, 0
 
+    def wanted_keys(self, rules) -> dict[str, Column | None]:
+        """By index, the array of all keys that the rules may look up in a row; None while such a key depends on an index without a map."""
+        found: dict[str, Column | None] = {}
+        for r in rules:
+            env, late = dict(self.names), frozenset()
+            for name, e in r.lets:
+                _merge(found, self._keys_of(e, env, late))
+                late = late | {name} if self._late(e, late) else late - {name}
+                env[name] = self.compile(e, env)
+            for e in (r.test, *(x for _, x in r.message.slots)):
+                _merge(found, self._keys_of(e, env, late))
+        return found
+
+    def _late(self, e: Expr, late: frozenset[str]) -> bool:
+        """Whether a value depends on an index that has no map yet."""
+        return any((isinstance(n, Var) and n.name in late) or (isinstance(n, Call) and n.name == "key" and n.args[0].value not in self.maps) for n in walk(e))
+
+    def _keys_of(self, e: Expr, env: dict[str, Value], late: frozenset[str]) -> dict[str, Column | None]:
+        out: dict[str, Column | None] = {}
+        if isinstance(e, Over):
+            _merge(out, self._keys_of(e.items, env, late))
+            items = _array(self.compile(e.items, env), null_is_empty=True)
+            below = late | {e.var} if self._late(e.items, late) else late - {e.var}
+            of = lambda x: self._keys_of(e.test, {**env, e.var: Value(x, items.type.elementType)}, below)
+            each = lambda name: F.flatten(F.transform(items.col, lambda x: of(x)[name]))
+            _merge(out, {name: None if c is None else each(name) for name, c in of(F.col("probe")).items()})
+            return out
+        for child in children(e):
+            _merge(out, self._keys_of(child, env, late))
+        if isinstance(e, Call) and e.name == "key" and isinstance(e.args[0], Lit):
+            _merge(out, {e.args[0].value: None if self._late(e.args[1], late) else F.array(self.compile(e.args[1], env).col.cast("string"))})
+        return out
+
     def compile(self, e: Expr, env: dict[str, Value] | None = None) -> Value:
         env = self.names if env is None else env
         match e:

@@ -172,7 +172,9 @@ def test_front_matter_table():
 
 def test_markup():
     assert markup.heading_slugs("# A b\n# A b\n\nSet *ext*\n====\n<a id=\"Top\"></a>\n<!-- <a id=no> -->\n```\n# no\n```\n") == ["a-b", "a-b-1", "set-ext", "Top", "top"]
-    assert markup.bold_spans("**a** **" + "x" * 70 + "** **b c** ** ** x") == ["a", "b c"]
+    assert markup.heading_slugs("# !!\n# a\n") == ["a"]
+    assert markup.bold_spans("**a** **" + "x" * 70 + "** **b c** ** ** x") == [(1, "a"), (1, "b c"), (1, "")]
+    assert markup.bold_spans("****x****") == [] and markup.bold_spans("h\n**a\nb** c **d** e", 2) == [(3, "d")] and markup.bold_spans("**a") == []
     assert [x[1] for x in markup.links("[a](b(c).md 'T') [n](<x y.md>) ![i](p.png) [![in](q.png)](out.md)\n\n    [code](z.md)\n")] == ["b(c).md", "x y.md", "p.png", "out.md", "q.png"]
     assert markup.code_ranges("a `b` ``c ` d`` `e") == [(2, 5), (6, 15)]
     assert [(x.level, x.title) for x in markup.lines("# T #\n####### no\n  ## In\n#x") if x.level] == [(1, "T"), (2, "In")]
@@ -274,3 +276,140 @@ def test_manifest_drift_and_pin_renewal(spark, tmp_path):
     assert len(P.renew_pins(f"{root}/.quillon", pin_updates(docs, e.pins[0]), dry_run=True)) == 1 and Engine(spark, root).pins[0][0].sha256 == "old"
     P.renew_pins(f"{root}/.quillon", pin_updates(docs, e.pins[0]))
     assert [x.code for x in Engine(spark, root).check().collect()] == ["E0060"]
+
+
+def test_bold_columns_are_as_the_scan(spark):
+    from quillon.functions import text as X
+
+    texts = ["**a** b **c", "****x****", "** **", "a **b\nc** **d**", "***e***", "**" + "é" * 30 + "** **" + "é" * 31 + "**", "", "**", "*" * 9]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.s for r in df.select("i", X.bold_spans(F.col("text")).alias("s")).collect()}
+    assert [got[i] for i in range(len(texts))] == [[t for _, t in markup.bold_spans(x)] for x in texts]
+
+
+def test_links_are_refused_and_dead_globs_follow_the_walk(spark, tmp_path):
+    routes = """
+routes:
+- {files: 'docs/*.md', governed_by: link/rules.md, citations: true, links: true, marker_rules: [{pattern: 'By: (.*)', element: heading, target_doc: out.md}]}
+"""
+    pins = "pins:\n- {governing: g, file: out.md, sha256: x}\n"
+    files = {"docs/sub/a.md": "---\nk: 1\n---\n", "docs/b.md": "See out.md:1 and [x](../out.md) and [y](../out.md#z).\nBy: Ann\n", "real/rules.md": "# R\n", "secret.txt": "s\n"}
+    root = project(tmp_path, files, {"routes.yaml": routes, "pins.yaml": pins, "config.yaml": "file_globs: ['docs/*.md', 'other/*.md']\nrequire_frontmatter: ['docs/*.md']\n"})
+    os.symlink("../secret.txt", tmp_path / "docs/link.md")
+    os.symlink("secret.txt", tmp_path / "out.md")
+    os.symlink("real", tmp_path / "link")
+    os.symlink("../docs", tmp_path / "docs/loop")
+    got = [(x.code, x.file, x.line) for x in Engine(spark, root).check().collect()]
+    assert sorted(got) == sorted(
+        [("E0012", "docs/link.md", 1), ("E0030", "docs/sub/a.md", 1)][:1]
+        + [("E0012", "docs/b.md", 1)] * 3  # cited, and linked twice
+        + [("E0012", "routes.yaml", 1)] * 2  # governing document, marker's target
+        + [("E0012", "pins.yaml", 1), ("W0040", "docs/b.md", 1), ("W0046", "config.yaml", 1)]
+    )
+    (tmp_path / "docs/b.md").unlink()
+    (tmp_path / "docs/link.md").unlink()
+    dead = [x.quoted[0].content for x in Engine(spark, root).check().where("code = 'W0046'").collect()]
+    assert sorted(dead) == ["docs/*.md", "other/*.md"]  # docs/sub/a.md is below docs/*.md
+
+
+def test_scoped_runs(spark, tmp_path):
+    """What can't be resolved means everything; else the scope's findings, with stale pins, and no others."""
+    root = rule_project(tmp_path)
+    (tmp_path / ".quillon/pins.yaml").write_text("pins:\n- {governing: g, file: docs/p1.md, sha256: x}\n- {governing: g, file: docs/gone.md, sha256: x}\n")
+    (tmp_path / "docs/free.md").write_text("---\nschema_class: lost\n---\n")
+    (tmp_path / ".quillon/config.yaml").write_text("file_globs: ['docs/*.md', 'none/*.md']\n")
+    e = Engine(spark, root)
+    show = lambda df: [(x.code, x.file, x.message) for x in df.collect()]
+    whole = show(e.check())
+    assert {c for c, *_ in whole} == {"R-E0100", "R-E0101", "E0061", "E0062", "W0045", "W0046"}
+    for path in ("docs/typo.md", ".quillon/config.yaml", "people/x.json", "../x", "/etc/hostname"):
+        assert show(e.check_changed([path])) == whole, path
+    assert show(e.check_changed(["docs/free.md", "docs/typo.md"])) == whole
+    free = [x for x in whole if x[1] == "docs/free.md"]
+    assert show(e.check_changed(["docs/free.md"])) == free == show(e.check_changed([f"{root}/docs/free.md"]))
+    scope = {"docs/p1.md", "docs/p2.md", "docs/q3.md"}
+    assert show(e.check_changed(["docs/p2.md"])) == [x for x in whole if x[1] in scope]
+    report = json.loads(e.report(["docs/free.md"]))
+    assert report["summary"]["files_checked"] == 1 and report["families"]["rules"] == "active" and report["families"]["routes"] == "not-configured"
+
+
+def test_scoped_is_filtered_whole_on_random_projects(spark, tmp_path):
+    import random
+
+    for seed in range(3):
+        r = random.Random(seed)
+        names = [f"docs/d{i}.md" for i in range(8)]
+        body = lambda: " ".join(r.choice(["docs/d1.md:9", "[x](d2.md#no)", "**new**", "[y](nope.md)", "text"]) for _ in range(4))
+        files = {n: f"---\nschema_class: {r.choice('ab')}\nphase: {r.choice(['one', 'two'])}\n---\n{body()}\n" for n in names}
+        conf = {
+            "routes.yaml": "routes:\n" + "".join(f"- {{files: {n}, governed_by: {r.choice(names)}, links: true, citations: true}}\n" for n in names[:5]),
+            "vocabulary.yaml": "terms: [{term: old, status: registered}]\n", "schemas/a.json": '{"properties": {"phase": {"const": "one"}}}',
+        }
+        root = project(tmp_path / str(seed), files, conf)
+        e = Engine(spark, root)
+        whole = [(x.code, x.file, x.line, str(x.quoted)) for x in e.check().collect()]
+        start = r.choice(names)
+        reach = incremental.closure(e.edges(), spark.createDataFrame([(start,)], "node string"))
+        scope = {x.node for x in reach.collect()} | {start}
+        assert [(x.code, x.file, x.line, str(x.quoted)) for x in e.check_changed([start]).collect()] == [x for x in whole if x[1] in scope]
+
+
+def test_limits_degraded_sources_and_inert_vocabulary(spark, tmp_path, monkeypatch):
+    files = {"docs/a.md": "See [big](../big.md#top), [big](../big.md) and big.md:3.\n", "big.md": "# top\n" + "x" * 500, "registry.yaml": b"\xff\xfe", "people/x.json": "{}"}
+    rules = RULES.replace("select: $.list", "select: $").replace("'people/*.json'", "gone.yaml")
+    vocab = {"vocabulary.yaml": "terms: [{term: T, status: registered}]\n", "config.yaml": "file_globs: ['docs/*.md']\nvocabulary_globs: ['none/*.md']\n"}
+    root = project(tmp_path, files, {"patterns/p.yaml": rules, "routes.yaml": "routes:\n- {files: 'docs/*.md', governed_by: big.md, links: true, citations: true}\n", **vocab})
+    e = Engine(spark, root)
+    assert sorted(x.code for x in e.check().collect()) == ["E0101", "W0043", "W0049", "W0049"] and e.families["vocabulary"] == "inert"
+    assert sorted(x.code for x in e.check(limit=200).collect()) == ["W0043", "W0048", "W0048", "W0049", "W0049"]  # big.md is left unread
+    with pytest.raises(corpus.BoundExceeded):
+        e.check(limit=20)
+    monkeypatch.setattr(corpus, "FILE_BYTES", 400)
+    assert sorted(x.code for x in Engine(spark, root).check().collect()) == ["W0043", "W0048", "W0048", "W0049", "W0049"]
+
+
+def test_sections_of_a_file(spark):
+    from quillon.operators import documents
+
+    text = "# A\nx\n## B\n### C\ny\n## D\n# E\n"
+    docs = spark.createDataFrame([("p", text, 1)], "path string, text string, body_from int")
+    got = {(x.title, x.line_no, x.last) for x in documents.sections(documents.lines(docs)).collect()}
+    assert got == {("A", 1, 6), ("B", 3, 5), ("C", 4, 5), ("D", 6, 6), ("E", 7, 8)}
+
+
+def test_table_schemas_with_other_keywords(spark):
+    from quillon.operators import schema
+
+    df = spark.createDataFrame([(1, [1, 1], 4.0, "x"), (2, [1, 2], 5.0, None)], "id int, l array<int>, n double, s string")
+    codes = lambda s: sorted((x.file, x.quoted[0].content, x.message.split(":")[0]) for x in schema.table_findings(df, s, F.col("id")).collect())
+    s = {"properties": {"l": {"uniqueItems": True, "items": {"maximum": 1}}, "n": {"multipleOf": 2}}, "anyOf": [{"required": ["s"]}]}
+    assert codes(s) == [("1", "/l", "uniqueItems"), ("2", "", "anyOf"), ("2", "/l/1", "maximum"), ("2", "/n", "multipleOf")]
+    assert codes({}) == codes({"properties": {}}) == [] and codes({"minProperties": 4}) == [("2", "", "minProperties")]
+    with pytest.raises(ValueError):
+        codes({"dependentRequired": {}})
+    u = {"allOf": [{"properties": {"a": {}}}], "properties": {"b": {}}, "unevaluatedProperties": False}
+    assert list(schema.errors({"a": 1, "b": 2}, u)) == [] and [p for p, *_ in schema.errors({"c": 1}, u)] == ["/c"]
+    assert [p for p, *_ in schema.errors({"a": 1, "b": 2}, {**u, "additionalProperties": {}})] == []
+
+
+def test_large_indexes_are_joined(spark, monkeypatch):
+    """Rules see the same whether an index is a map beside all rows or joined for each."""
+    from quillon.operators import rules
+    from quillon.plans.rules import Rule
+
+    rows = [(i, f"k{i % 7}", [f"k{j}" for j in range(i % 4)], None if i % 5 == 0 else f"m{i % 3}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, a string, l array<string>, m string")
+    first = spark.createDataFrame([(f"k{i}", (f"m{i % 3}", i)) for i in range(6)], "key string, value struct<next:string,n:long>")
+    second = spark.createDataFrame([("m0", "x"), ("m2", None)], "key string, value string")
+    given = [
+        Rule.of("one", 'defined(key("first", $self.a))', "{{$self.a}}"),
+        Rule.of("every", 'every(p in $self.l, key("first", p).n == 1 or defined(key("second", key("first", p).next)))'),
+        Rule.of("chain", 'key("second", $next) == "x"', "{{$next}}", let={"start": 'key("first", $self.a)', "next": "$start.next"}),
+        Rule.of("null", '$self.m == null or key("second", $self.m) == "x"'),
+    ]
+    run = lambda: sorted((x.rule_id, x.file, str(x.quoted), str(x.error)) for x in rules.evaluated(df, given, "t", F.col("id"), {"first": first, "second": second}).collect())
+    want = run()
+    assert len(want) > 20
+    for most in (0, 3):
+        monkeypatch.setattr(rules, "MAP_ROWS", most)
+        assert run() == want
