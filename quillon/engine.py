@@ -20,7 +20,7 @@ from .plans.analysis import analyse
 from .plans.interpreter import EvalError, evaluate, shown
 from .plans.rules import Pattern, Rule
 from .sources import config, corpus, frontmatter, project
-from .streaming.incremental import checkpointed, closure, governance_edges, in_scope, indexes_of, rule_edges, shared_key_edges
+from .streaming.incremental import checkpointed, closure, governance_edges, in_scope, indexes_of, rule_edges, scoped, shared_key_edges
 
 FOLDER = ".quillon"
 
@@ -118,17 +118,8 @@ class Engine:
                     continue
                 if len(data) > corpus.FILE_BYTES:
                     raise corpus.BoundExceeded(f"{p} has over {corpus.FILE_BYTES} bytes")
-                if p.endswith((".yaml", ".yml")):
-                    v = frontmatter.load_yaml(text)
-                elif p.endswith(".json"):
-                    v = json.loads(text)
-                elif p.endswith(".md"):
-                    block = frontmatter.split(text)[0]
-                    v = {"frontmatter": frontmatter.load_yaml(block) if block is not None else None}
-                else:
-                    raise config.ConfigError(f"{p}: an index source is YAML, JSON or markdown")
-                if (p, k.source) not in {(q, k.source) for q, _ in sources.get(k.source, ())}:
-                    sources.setdefault(k.source, []).append((p, frontmatter.rules_value(v)))
+                if p not in {q for q, _ in sources.get(k.source, ())}:
+                    sources.setdefault(k.source, []).append((p, index.load(p, text)))
         return sources
 
     def edges(self) -> DataFrame:
@@ -193,7 +184,7 @@ class Engine:
             all_files = corpus.within_budget(all_files, wanted, limit)
         files = all_files.where(wanted)
         if scope is not None:
-            files = files.join(scope.select(F.col("node").alias("path")), "path", "left_semi")
+            files = scoped(files, scope)
         self.families: dict[str, str] = {}
         on = lambda family, state: self.families.__setitem__(family, "active" if state else "not-configured")
         everything = frontmatter.documents(files.where("state = 'ok'"))

@@ -50,6 +50,26 @@ def _per_document(docs: DataFrame, f, schema: str, kinds) -> DataFrame:
     return docs.select("path", "text", "body_from").mapInArrow(run, schema)
 
 
+def links(docs: DataFrame) -> DataFrame:
+    """``(path, line_no, target)`` of every link in a body."""
+    return _per_document(docs, markup.links, "path string, line_no int, target string", (pa.string(), pa.int32(), pa.string()))
+
+
+def citations(docs: DataFrame) -> DataFrame:
+    """``(path, line_no, cited, first, last)`` of every cited line or range; last is null for a line."""
+    return _per_document(docs, markup.citations, "path string, line_no int, cited string, first int, last int", (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()))
+
+
+def bold_terms(docs: DataFrame) -> DataFrame:
+    """``(path, line_no, term)`` of every bold span in a body."""
+    return _per_document(docs, markup.bold_spans, "path string, line_no int, term string", (pa.string(), pa.int32(), pa.string()))
+
+
+def heading_slugs(docs: DataFrame) -> DataFrame:
+    """``(path, slug)`` of what a link can name in a document."""
+    return _per_document(docs, lambda t, n: [(s,) for s in markup.heading_slugs(t, n)], "path string, slug string", (pa.string(), pa.string()))
+
+
 # routes
 
 
@@ -116,13 +136,16 @@ def section_text(all_lines: DataFrame, spans: DataFrame) -> DataFrame:
     return inside.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x.t), "\n").alias("span_text"))
 
 
-def pin_status(docs: DataFrame, pins: list[Pin]) -> DataFrame:
-    """Each pin with the hash its file, or section, has now: ``(governing, file, section, sha256, present, section_found, actual)``."""
+def pin_status(docs: DataFrame, pins: list[Pin] | DataFrame) -> DataFrame:
+    """Each pin with the hash its file, or section, has now: ``(governing, file, section, sha256, present, section_found, actual)``.
+
+    Pins are a list or, in any number, a table ``(pin, governing, file, section, sha256)`` with a number of its own for each.
+    """
     spark = docs.sparkSession
-    want = spark.createDataFrame([(i, p.governing, p.file, p.section, p.sha256) for i, p in enumerate(pins)], "pin int, governing string, file string, section string, sha256 string")
+    want = pins if isinstance(pins, DataFrame) else spark.createDataFrame([(i, p.governing, p.file, p.section, p.sha256) for i, p in enumerate(pins)], "pin int, governing string, file string, section string, sha256 string")
     have = docs.select(F.col("path").alias("file"), "text", "body_from")
     whole = want.join(have, "file", "left").withColumn("present", F.col("text").isNotNull())
-    body = docs.join(F.broadcast(want.where("section is not null").select(F.col("file").alias("path")).distinct()), "path", "left_semi").withColumn("body_from", F.lit(1))
+    body = docs.join(want.where("section is not null").select(F.col("file").alias("path")).distinct(), "path", "left_semi").withColumn("body_from", F.lit(1))
     all_lines = lines(body)
     heading = F.regexp_extract("section", r"^(#{1,6})\s+(.*)$", 1)
     level, title = F.length(heading), F.when(heading != "", F.regexp_extract("section", r"^(#{1,6})\s+(.*)$", 2)).otherwise(F.col("section"))
@@ -134,7 +157,7 @@ def pin_status(docs: DataFrame, pins: list[Pin]) -> DataFrame:
     return j.select("governing", "file", "section", "sha256", "present", (F.col("section").isNull() | F.col("section_hash").isNotNull()).alias("section_found"), actual.alias("actual"))
 
 
-def pin_findings(docs: DataFrame, pins: list[Pin], tombstones: list[Tombstone] = (), refused: DataFrame | None = None) -> DataFrame:
+def pin_findings(docs: DataFrame, pins: list[Pin] | DataFrame, tombstones: list[Tombstone] = (), refused: DataFrame | None = None) -> DataFrame:
     """Pins whose content changed (E0061), can't be read (E0062; E0012 for links, paths in ``refused``), or has no such section (E0063); lifted ones (L0001, W0042)."""
     s = pin_status(docs, pins)
     at = [("file", F.col("file")), ("governing", F.col("governing"))]
@@ -156,7 +179,7 @@ def pin_findings(docs: DataFrame, pins: list[Pin], tombstones: list[Tombstone] =
     return reduce(DataFrame.unionByName, out)
 
 
-def pin_updates(docs: DataFrame, pins: list[Pin]) -> DataFrame:
+def pin_updates(docs: DataFrame, pins: list[Pin] | DataFrame) -> DataFrame:
     """What an update would record: pins whose hash differs."""
     return pin_status(docs, pins).where("present and section_found and actual <> sha256").select("governing", "file", "section", F.col("sha256").alias("recorded"), "actual")
 
@@ -179,7 +202,7 @@ def vocabulary_findings(docs: DataFrame, v: Vocabulary, all_lines: DataFrame | N
     spark = docs.sparkSession
     out = [finding(spark.createDataFrame([(t,) for t in clash], "term string"), "W0044", "vocabulary", "conflicting term status", F.lit("a term is registered and draft"), F.lit("vocabulary.yaml"), quoted=[("term", F.col("term"))])]
     if status:
-        bold = _per_document(docs, markup.bold_spans, "path string, line_no int, term string", (pa.string(), pa.int32(), pa.string()))
+        bold = bold_terms(docs)
         known = spark.createDataFrame([(t,) for t in status], "term string")
         out.append(finding(bold.join(known, "term", "left_anti"), "E0090", "vocabulary", "unregistered term", F.lit("a bold term isn't in the vocabulary"), F.col("path"), F.col("line_no"), [("term", F.col("term"))]))
         reserved = [t for t, s in status.items() if s == "reserved"]
@@ -210,7 +233,7 @@ def vocabulary_findings(docs: DataFrame, v: Vocabulary, all_lines: DataFrame | N
 
 def citation_findings(docs: DataFrame, files: DataFrame) -> DataFrame:
     """Cited files that don't exist (E0100, or E0010 and E0011 where the path leaves the root), and lines that don't (E0101)."""
-    c = _per_document(docs, markup.citations, "path string, line_no int, cited string, first int, last int", (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()))
+    c = citations(docs)
     token = F.concat("cited", F.lit(":"), F.col("first"), F.coalesce(F.concat(F.lit("-"), F.col("last")), F.lit("")))
     c = c.withColumn("token", token).withColumn("problem", X.confinement(F.col("cited"))).withColumn("target", X.normal_path(F.col("cited")))
     sized = files.select(F.col("path").alias("target"), X.line_count(F.col("text")).alias("n_lines"), F.lit(True).alias("there"), _linked(files).alias("link"))
@@ -229,15 +252,14 @@ def citation_findings(docs: DataFrame, files: DataFrame) -> DataFrame:
 def link_findings(docs: DataFrame, files: DataFrame, link_root: Column | bool = False) -> DataFrame:
     """Links to files (E0110) or headings (E0111) that don't exist, out of the root (E0010, E0011), or to symbolic links (E0012); W0048 for a heading in a file that wasn't read."""
     flag = docs.select(F.col("path").alias("p"), (F.lit(link_root) if isinstance(link_root, bool) else link_root).alias("lr"))
-    raw = _per_document(docs, markup.links, "path string, line_no int, target string", (pa.string(), pa.int32(), pa.string()))
-    l = raw.join(flag, F.col("path") == F.col("p")).where(~X.external(F.col("target")) & (F.col("target") != ""))
+    l = links(docs).join(flag, F.col("path") == F.col("p")).where(~X.external(F.col("target")) & (F.col("target") != ""))
     name, frag = X.percent_decoded(X.without_fragment(F.col("target"))), X.fragment(F.col("target"))
     l = l.withColumn("frag", frag).withColumn("r", F.when(name == "", F.struct(F.col("path").alias("path"), F.lit(None).cast("string").alias("problem"))).otherwise(X.resolved(F.col("path"), name, F.col("lr"))))
     l = l.select("path", "line_no", "target", "frag", F.col("r.path").alias("to"), F.col("r.problem").alias("problem"))
     parts = F.split("path", "/")
     folders = files.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("to"))
     exists = files.select(F.col("path").alias("to")).unionByName(folders).distinct()
-    links = files.where(_linked(files)).select(F.col("path").alias("to")).distinct()
+    refused = files.where(_linked(files)).select(F.col("path").alias("to")).distinct()
     quoted = [("link", F.col("target"))]
     inside = l.where("problem is null")
     dead = inside.join(exists, "to", "left_anti")
@@ -245,12 +267,12 @@ def link_findings(docs: DataFrame, files: DataFrame, link_root: Column | bool =
     pages = files.where("text is not null").join(wanted.select(F.col("to").alias("path")).distinct(), "path", "left_semi")
     from ..sources.frontmatter import documents
 
-    slugs = _per_document(documents(pages), lambda t, n: [(s,) for s in markup.heading_slugs(t, n)], "to string, frag string", (pa.string(), pa.string()))
+    slugs = heading_slugs(documents(pages)).toDF("to", "frag")
     read = files.where("text is not null").select(F.col("path").alias("to")).distinct()
     lost = wanted.join(read, "to", "left_semi").join(slugs, ["to", "frag"], "left_anti")
     unread = wanted.join(files.where(F.col("text").isNull() & ~_linked(files)).select(F.col("path").alias("to")).distinct(), "to", "left_semi")
     out = [finding(l.where(F.col("problem") == p), p, "link", "link leaves the root", F.lit("a link isn't inside the root"), F.col("path"), F.col("line_no"), quoted) for p in ("E0010", "E0011")]
-    out.append(finding(inside.join(links, "to", "left_semi"), "E0012", "link", "symbolic link", F.lit("the linked file is a symbolic link"), F.col("path"), F.col("line_no"), quoted))
+    out.append(finding(inside.join(refused, "to", "left_semi"), "E0012", "link", "symbolic link", F.lit("the linked file is a symbolic link"), F.col("path"), F.col("line_no"), quoted))
     out.append(finding(unread, "W0048", "link", "linked file was not read", F.lit("only the file's existence was checked"), F.col("path"), F.col("line_no"), quoted))
     out.append(finding(dead, "E0110", "link", "dead link", F.lit("the linked file doesn't exist"), F.col("path"), F.col("line_no"), quoted))
     out.append(finding(lost, "E0111", "link", "dead anchor", F.lit("the linked heading doesn't exist"), F.col("path"), F.col("line_no"), quoted))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,33 @@ def entries(v, key: Key) -> list[tuple[str, object]]:
     return out
 
 
+def load(path: str, text: str):
+    """The value of a source: YAML or JSON by its name's end, or markdown's front-matter as ``{frontmatter: ...}``."""
+    from ..sources import frontmatter
+
+    if path.endswith((".yaml", ".yml")):
+        v = frontmatter.load_yaml(text)
+    elif path.endswith(".json"):
+        v = json.loads(text)
+    elif path.endswith(".md"):
+        block = frontmatter.split(text)[0]
+        v = {"frontmatter": frontmatter.load_yaml(block) if block is not None else None}
+    else:
+        raise EvalError(f"{path}: an index source is YAML, JSON or markdown")
+    return frontmatter.rules_value(v)
+
+
+def table_entries(sources: DataFrame, key: Key) -> DataFrame:
+    """``(key, value, path, place)`` of an index's entries in sources ``(path, text)`` of any number, parsed where they are; value is JSON."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(k, json.dumps(x, sort_keys=True, ensure_ascii=False), p, i) for p, t in zip(b.column("path").to_pylist(), b.column("text").to_pylist()) for i, (k, x) in enumerate(entries(load(p, t), key))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, (pa.string(), pa.string(), pa.string(), pa.int32()))], ["key", "value", "path", "place"])
+
+    return sources.select("path", "text").mapInArrow(run, "key string, value string, path string, place int")
+
+
 def registry(sources: dict[str, list[tuple[str, object]]], keys: list[Key]) -> dict[str, dict[str, object]]:
     """Indexes by name from (path, value) sources by declared source; paths in component order, later ones win; a name declared again replaces the earlier."""
     out: dict[str, dict[str, object]] = {}

@@ -73,6 +73,11 @@ def lookup(df: DataFrame, index: DataFrame, key: Column, into: str) -> DataFrame
     return df.join(found, key.cast("string") == F.col("lookup_key"), "left").drop("lookup_key")
 
 
+def unresolved(df: DataFrame, index: DataFrame, key: Column) -> DataFrame:
+    """Rows of ``df`` whose ``key`` no entry of the index has: a reference that leads nowhere; for an index of any size."""
+    return df.join(index.select(F.col("key").alias("lookup_key")), key == F.col("lookup_key"), "left_anti")
+
+
 def applies(rule: Rule, schema_class: Column, path: Column) -> Column:
     c = F.lit(True)
     if rule.context.schema_class is not None:

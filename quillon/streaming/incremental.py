@@ -65,6 +65,11 @@ def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     return seen
 
 
+def scoped(files: DataFrame, scope: DataFrame, column: str = "path") -> DataFrame:
+    """The files (or rows) of a scope (column node): what a scoped run checks."""
+    return files.join(scope.select(F.col("node").alias(column)).distinct(), column, "left_semi")
+
+
 def in_scope(findings: DataFrame, scope: DataFrame) -> DataFrame:
     """The findings located in the scope's files (column node)."""
     return findings.join(scope.select(F.col("node").cast("string").alias("file")).distinct(), "file", "left_semi").select(findings.columns)
