@@ -166,3 +166,72 @@ def naive_bayes(train, texts, columns, buckets, alpha):
         best = max(langs, key=lambda k: (s[k], [-ord(c) for c in k]))
         out.append((best, s[best], sum(cols.values()), 1 / sum(math.exp(v - s[best]) for v in s.values())))
     return out
+
+
+class Site:
+    """The style tree of one host's distinct pages that aren't near copies, by nested tuples instead of hashes; after the module's definitions."""
+
+    def __init__(self, roots, grams, sample, gamma, threshold, rare):
+        self.gamma, self.threshold, self.rare = gamma, threshold, rare
+        self.styles: dict = {}  # element -> style -> pages
+        self.features: dict = {}  # text -> feature -> pages
+        self.shown: dict = {}  # text -> pages of the style it stands in
+        for root in roots:
+            self._add(("root",), root, grams, sample)
+
+    def _add(self, element, node, grams, sample):
+        if node.text is not None:
+            for f in {*grams(node.text)[:sample], *([] if node.link is None else [("link", node.link)])}:
+                own = self.features.setdefault(element, Counter())
+                own[f] += 1
+            return
+        style = (element, tuple(c.look for c in node.children))
+        self.styles.setdefault(element, Counter())[style] += 1
+        for i, c in enumerate(node.children):
+            self.shown.setdefault((style, i), 0)
+            self.shown[(style, i)] += 1
+            self._add((style, i), c, grams, sample)
+
+    def scores(self, element):
+        """(composite importance, highest in the branch)"""
+        if element in self.features:
+            k, m = self.features[element], self.shown[element]
+            if m < 2 or all(v < 2 for v in k.values()):
+                return 1.0, 1.0
+            s = 1 - sum(v * math.log(v) for v in k.values()) / sum(k.values()) / math.log(m)
+            return s, s
+        styles = self.styles[element]
+        m, l = sum(styles.values()), len(styles)
+        if m < 2:
+            return 1.0, 1.0
+        own = sum(-v / m * math.log(v / m) for v in styles.values()) / math.log(m)
+        single = sum(v == 1 for v in styles.values())
+        total, top = float(single), 1.0 if single > self.rare * m else 0.0
+        for style, v in styles.items():
+            if v > 1:
+                inner = [self.scores((style, i)) for i in range(len(style[1]))]
+                total += v * (sum(a for a, _ in inner) / len(inner) if inner else own)
+                top = max([top, *(b for _, b in inner)])
+        fade = self.gamma**l
+        score = (1 - fade) * total / m + fade * own
+        return score, max(top, score)
+
+    def text(self, root, block):
+        out: list[str] = []
+
+        def visit(element, node):
+            if (element in self.styles or element in self.features) and self.scores(element)[1] < self.threshold:
+                return
+            if node.text is not None:
+                out.append(node.text)
+                return
+            style = (element, tuple(c.look for c in node.children))
+            edge = "\n" if node.look.split(" ")[0] in block else ""
+            out.append(edge)
+            for i, c in enumerate(node.children):
+                visit((style, i), c)
+            out.append(edge)
+
+        visit(("root",), root)
+        lines = (" ".join(re.split("[ \t\n\r\f]+", x)).strip(" \t\n\r\f") for x in "".join(out).split("\n"))
+        return "\n".join(x for x in lines if x.strip())

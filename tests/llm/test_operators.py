@@ -422,6 +422,56 @@ def test_html_varying_boilerplate_goes_and_near_copies_stay(spark, n):
         assert got[i] == "\n".join(paras), (i, got[i])
 
 
+def random_site(r, host, n):
+    """Pages with menus, adverts and footers that vary as pages' do, and articles, some of them copies or near copies."""
+    words = [f"w{i}" for i in range(3000)]
+    some = lambda k: " ".join(r.choice(words) for _ in range(k))
+    menus = ["".join(f"<li><a href=/m{r.randrange(9)}>{some(1)}</a>" for _ in range(r.randint(2, 5))) for _ in range(r.choice([1, 3, n]))]
+    foots = [some(6) for _ in range(r.choice([1, 2, n]))]
+    bodies: list[str] = []
+    for i in range(n):
+        new = "".join(f"<p>{some(r.choice([3, 20, 40]))}</p>" for _ in range(r.randint(0, 4)))
+        bodies.append(r.choice(bodies) + r.choice(["", "<p>more</p>"]) if bodies and r.random() < 0.2 else new)
+    return [(f"https://{host}/{i}", f"<html><body><div class=top><ul>{r.choice(menus)}</ul></div>{r.choice(['', '<hr>', '<div class=ad>buy ' + some(1) + '</div>'])}<article>{b}</article><footer>{r.choice(foots)}</footer></body></html>") for i, b in enumerate(bodies)]
+
+
+@pytest.mark.parametrize("nodes, branches", [(200_000, 2_000), (0, 2_000), (0, 0), (30, 1)])
+def test_html_against_plain_style_trees(spark, monkeypatch, nodes, branches):
+    """Every page's text, for hosts solved in a task, level by level, and with branches of each page's own."""
+    monkeypatch.setattr(htmltext, "NODES", nodes)
+    monkeypatch.setattr(htmltext, "BRANCHES", branches)
+    r = random.Random(3)
+    sites = [random_site(r, f"h{k}.example", n) for k, n in enumerate((1, 2, 3, 8, 25, 40))]
+    pages = [(i, u, h) for i, (u, h) in enumerate(x for s in sites for x in s)]
+    want, i = {}, 0
+    for s in sites:
+        distinct = sorted({h for _, h in s})
+        keys = {h: set() for h in distinct}
+        for h in distinct:
+            long: set[int] = set()
+            list(htmltext.walk(htmltext.parse(h), long))
+            keys[h] = set(htmltext.bands(long))
+        left_out = set()
+        from collections import Counter
+
+        count = Counter(k for v in keys.values() for k in v)
+        order = lambda h: tuple(row[h])
+        hashed = spark.createDataFrame([(h,) for h in distinct], "html string").select("html", F.xxhash64("html"), F.xxhash64(F.lit(1), "html")).collect()
+        row = {x[0]: (x[1], x[2]) for x in hashed}
+        for k, n in count.items():
+            if n > 1 and 2 * n <= len(distinct):
+                own = [h for h in distinct if k in keys[h]]
+                left_out |= set(own) - {min(own, key=order)}
+        tree = brute.Site([htmltext.parse(h) for h in distinct if h not in left_out], htmltext.grams, htmltext.SAMPLE, htmltext.GAMMA, htmltext.THRESHOLD, htmltext.RARE)
+        for _, h in s:
+            want[i] = tree.text(htmltext.parse(h), htmltext.BLOCK)
+            i += 1
+    got = {x.page_id: x.text for x in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    bad = [k for k in want if got[k] != want[k]]
+    assert not bad, (len(bad), pages[bad[0]], got[bad[0]], want[bad[0]])
+    assert sum(got[i] != htmltext.clean_text(htmltext.parse(h), frozenset()) for i, _, h in pages) > 20  # and something was cut
+
+
 def test_html_importance_by_hand():
     root = htmltext.ROOT_SIGNED
     nodes = [(root, 0.0, 1, 10, 0, False), (1, 0.05, 1, 10, 0, True), (2, 0.9, 10, 10, 10, True), (3, 0.1, 1, 10, 0, False), (4, 0.2, 1, 10, 0, True)]
