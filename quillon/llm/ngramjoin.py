@@ -41,8 +41,8 @@ from .common import remove, small_batches, strings, written
 from .filters import row_hash, split
 
 N, THRESHOLD, KEYS, V, TILE = 3, 0.5, 4, 4, 1024
-#: n-grams in a fragment (about 50 MB in its task), n-grams in a block of the map side, prefix n-grams in a fragment of candidates.
-FRAGMENT, BLOCK, PREFIXES = 6_000_000, 3_000_000, 3_000_000
+#: n-grams in a fragment (a task takes about 50 bytes of memory for each), in a block of the map side, and of prefixes in a fragment of candidates.
+FRAGMENT, BLOCK, PREFIXES = 3_000_000, 1_500_000, 2_000_000
 #: n-grams of a cell in one fragment, beyond which cells get more fragments than V.
 CELL = 1_000_000
 #: An n-gram is counted on the map side if some block has it so many times, and in all more than 1 / HOT of the documents do.
@@ -232,11 +232,10 @@ def shared_ngrams(docs: DataFrame, n: int, threshold: float, hot, grams: int) ->
             sig, size, count = sig[first], size[first], count[first]
         order = np.argsort(g)
         s = g[order]
-        new = np.append(True, s[1:] != s[:-1])
-        start = np.flatnonzero(new)
-        df = np.diff(np.append(start, len(s)))
+        df = np.diff(np.append(np.flatnonzero(np.append(True, s[1:] != s[:-1])), len(s)))
         code = np.zeros(len(g), np.uint8)
-        code[order] = np.repeat(np.where(df > 1, np.maximum(_code(df), 1), 0), df)
+        code[order] = np.repeat(np.where(df > 1, np.maximum(_code(df), 1), 0).astype(np.uint8), df)
+        del order, s, df
         keep = code > 0
         owner = np.repeat(np.arange(len(sig)), count)[keep]
         g, code = g[keep], code[keep]
