@@ -19,7 +19,6 @@ line is taken whole however long it is.
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections import Counter
 
@@ -37,34 +36,71 @@ MISSING, LEVEL = 0.25, 19
 #: Templates of fewer words than SHORT must stand in a block without a gap.
 SHORT = 5
 
-#: (name, wording, naming words)
+#: (name, wording, naming words); the wordings are the licences' own.
 TEMPLATES = (
     ("MIT", "Released under the MIT License.", "mit license"),
     ("MIT", "Licensed under the MIT license.", "mit license"),
     (
         "MIT",
-        "Permission is hereby granted, free of charge, "
-        "to any person obtaining a copy of "
-        "this software and associated documentation files (the "
-        "'Software'), to deal in the Software without "
-        "restriction, including without limitation the rights to "
-        "use, copy, modify, merge, publish, distribute, sublicense, "
-        "and/or sell copies of the Software, and "
-        "to permit persons to whom the Software "
-        "is furnished to do so, subject to "
-        "the following conditions: The above copyright notice "
-        "and this permission notice shall be included "
-        "in all copies or substantial portions of "
-        "the Software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        + (_AS_IS := "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+        "permission granted free of charge software as is",
+    ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "permission granted free of charge software",
     ),
     ("MIT", "MIT License", "mit license"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2 0"),
     (
         "Apache-2.0",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        (_APACHE := "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
         "apache 2 0",
     ),
+    (
+        "Apache-2.0",
+        _APACHE + " Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.",
+        "apache 2 0 unless required as is basis",
+    ),
+    (
+        "BSD-2-Clause",
+        (_BSD := "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. ")
+        + (_BSD_AS_IS := "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+        "redistribution source binary forms redistributions redistributions disclaimed",
+    ),
+    (
+        "BSD-3-Clause",
+        _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_AS_IS,
+        "redistribution source binary forms redistributions redistributions neither name endorse disclaimed",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        "permission with or without fee granted disclaims",
+    ),
+    *(
+        (
+            f"GPL-{v}.0",
+            "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either " + f"version {v} of the License, or (at your option) any later version. "
+            "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+            f"gnu general public license version {v}",
+        )
+        for v in (2, 3)
+    ),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", "gnu general public license 2"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu general public license 3"),
     ("GPL-2.0", "Distributed under GPL version 2.", "gpl version 2"),
@@ -89,7 +125,8 @@ TEMPLATES = (
 )
 
 _WORD = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
-_COPYRIGHT = re.compile(r"^\W*(copyright|\(c\)|©).*$")
+#: A line of a copyright notice has a year, a sign or "by": wrapped wording may begin with "copyright holders".
+_COPYRIGHT = re.compile(r"^\W*(copyright\b(?=.*(?:\d{4}|\(c\)|©|\bby\b))|\(c\)|©).*$")
 _NAMES = re.compile(NAMES)
 _WORDS = [(name, _WORD.findall(wording.lower()), marks.split()) for name, wording, marks in TEMPLATES]
 
@@ -174,9 +211,9 @@ def _found(words: list, first: int, last: int, hit: list[int]) -> list[tuple[int
                 got = [*got, *words[b]]
                 if near.isdisjoint(range(a, b + 1)) or sum((need & Counter(got)).values()) < (1 - MISSING) * n:
                     continue
-                missing, extra = differences(wording, got)
-                if confirmed(wording, marks, got, missing):
-                    fits.append((len(missing) + len(extra), a, b))
+                same = common(wording, got)
+                if confirmed(wording, marks, got, n - same):
+                    fits.append((n + len(got) - 2 * same, a, b))
         for _, a, b in sorted(fits):
             if taken.isdisjoint(range(a, b + 1)):
                 out.append((a, b))
@@ -184,20 +221,48 @@ def _found(words: list, first: int, last: int, hit: list[int]) -> list[tuple[int
     return out
 
 
+def _steps(wording: list[str], words: list[str]) -> list[int]:
+    """Bits of the template's words, after each of the block's: a word's bit is cleared where the longest common subsequence grows."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(wording):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(wording)) - 1
+    v, out = full, []
+    for w in words:
+        u = v & places.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+        out.append(v)
+    return out
+
+
+def common(wording: list[str], words: list[str]) -> int:
+    """Length of the longest common subsequence, a machine word of the template at a time."""
+    steps = _steps(wording, words)
+    return len(wording) - steps[-1].bit_count() if steps else 0
+
+
 def differences(wording: list[str], words: list[str]) -> tuple[list[str], list[str]]:
-    """(words of the template that are missing, words that aren't the template's)."""
+    """(words of the template that are missing, words that aren't the template's), by a longest common subsequence; of several, the one with the latest words."""
+    steps = _steps(wording, words)
+    length = lambda i, j: i - (steps[j - 1] & ((1 << i) - 1)).bit_count() if j else 0
+    i, j = len(wording), len(words)
     missing, extra = [], []
-    for op, a, b, c, d in difflib.SequenceMatcher(None, wording, words, autojunk=False).get_opcodes():
-        if op != "equal":
-            missing += wording[a:b]
-            extra += words[c:d]
-    return missing, extra
+    while i and j:
+        if wording[i - 1] == words[j - 1]:
+            i, j = i - 1, j - 1
+        elif length(i - 1, j) >= length(i, j - 1):
+            i -= 1
+            missing.append(wording[i])
+        else:
+            j -= 1
+            extra.append(words[j])
+    return (missing + wording[:i][::-1])[::-1], (extra + words[:j][::-1])[::-1]
 
 
-def confirmed(wording: list[str], marks: list[str], words: list[str], missing: list[str]) -> bool:
+def confirmed(wording: list[str], marks: list[str], words: list[str], missing: int) -> bool:
     if len(wording) < SHORT:
         return any(words[i : i + len(wording)] == wording for i in range(len(words)))
-    return len(missing) <= MISSING * len(wording) and _in_order(marks, words)
+    return missing <= MISSING * len(wording) and _in_order(marks, words)
 
 
 _tools: list = []
@@ -232,12 +297,12 @@ def judge(block: str) -> tuple[str, float, list[str], list[str], str]:
     for place, i in enumerate(ranking):
         _, wording, marks, _ = made[i]
         if sum((Counter(wording) & have).values()) >= (1 - MISSING) * len(wording):
-            missing, extra = differences(wording, words)
-            if confirmed(wording, marks, words, missing):
-                sure.append((len(missing) + len(extra), place, i, missing, extra))
+            same = common(wording, words)
+            if confirmed(wording, marks, words, len(wording) - same):
+                sure.append((len(wording) + len(words) - 2 * same, place, i))
     if sure:
-        apart, _, best, missing, extra = min(sure)
-        return made[best][0], saved[best], missing, extra, "modified" if apart else "exact"
+        apart, _, best = min(sure)
+        return made[best][0], saved[best], *differences(made[best][1], words), "modified" if apart else "exact"
     best = ranking[0]
     return made[best][0], saved[best], *differences(made[best][1], words), "unconfirmed"
 

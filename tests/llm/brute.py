@@ -235,3 +235,13 @@ class Site:
         visit(("root",), root)
         lines = (" ".join(re.split("[ \t\n\r\f]+", x)).strip(" \t\n\r\f") for x in "".join(out).split("\n"))
         return "\n".join(x for x in lines if x.strip())
+
+
+def lcs(a, b):
+    """Length of the longest common subsequence, by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0] * (len(b) + 1)
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return row[-1]

@@ -300,6 +300,60 @@ def test_license_wording_wrapped_and_named(width):
         assert [licenses.judge(b)[::4] for _, _, b in licenses.blocks(text)] == [(name, "exact")], text
 
 
+def test_license_differences_are_longest_common_subsequences():
+    r = random.Random(4)
+    for _ in range(200):
+        a, b = ([r.choice("abcdef") for _ in range(r.randint(0, 25))] for _ in range(2))
+        missing, extra = licenses.differences(a, b)
+        n = brute.lcs(a, b)
+        assert licenses.common(a, b) == n and len(a) - len(missing) == n == len(b) - len(extra)
+        left, right = list(a), list(b)
+        for w in missing:
+            left.remove(w)
+        for w in extra:
+            right.remove(w)
+        assert sorted(left) == sorted(right)
+
+
+def test_license_scan_finds_planted_texts(spark):
+    """Whole licences, wrapped anyhow, with words changed: found where they stand, and told by plain counting of words; no part of the module is asked."""
+    import re
+    import textwrap
+
+    r = random.Random(12)
+    words = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", t.lower())
+    long = [t for t in licenses.TEMPLATES if len(words(t[1])) > 30]
+    rows, want = [], {}
+    for i in range(60):
+        name, wording, marks = long[i % len(long)]
+        own = wording.split()
+        free = [k for k in range(8, len(own) - 8) if not set(words(own[k])) & set(marks.split())]  # a naming word must stay
+        for k in r.sample(free, [0, 2, 5][i // 20]):
+            own[k] = r.choice(["zork", "zork plugh", own[k] + " zork"])
+        body = textwrap.fill(" ".join(own), r.choice([50, 72, 79, 400]), break_on_hyphens=False)
+        before = [f"line {k} of no meaning" for k in range(r.randint(0, 3))]
+        rows.append((i, "\n".join([*before, "", body, "", "the end of it"])))
+        n = brute.lcs(words(wording), words(body))
+        apart = len(words(wording)) + len(words(body)) - 2 * n
+        want[i] = (len(before) + 1, len(before) + body.count("\n") + 1, name, "modified" if apart else "exact", apart)
+    got = {}
+    for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(x.doc_id, []).append((x.first_line, x.last_line, x.license, x.verdict, len(x.missing) + len(x.extra)))
+    for i, x in want.items():
+        assert got[i] == [x], (i, rows[i], got[i], x)
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_license_ties_and_long_texts(spark):
+    """Equal savings go to the template named first; a text of a million words without a line feed is one line."""
+    rows = [(1, "license " + "word " * 400_000), (2, "license"), (3, "license")]
+    got = {x.doc_id: x for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2][3:] == got[3][3:] and got[1].verdict == "unconfirmed" and (got[1].first_line, got[1].last_line) == (0, 0)
+    first = [n for n, *_ in licenses.TEMPLATES]
+    saved = [1 - len(c.compress(b"license")) / len(licenses._compressors()[0].compress(b"license")) for *_, c in licenses._compressors()[1]]
+    assert got[2].license == first[saved.index(max(saved))]
+
+
 def test_feistel_is_a_permutation():
     for n in (0, 1, 2, 3, 5, 64, 1000, 4097):
         assert sorted(tokenids.permute(np.arange(n), n).tolist()) == list(range(n))
