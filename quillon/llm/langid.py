@@ -16,7 +16,7 @@ the columns does (it is in no language that the model knows).
 Defined results: null and empty texts, and texts without letters, are rejected, with null language and
 posterior 0; equal scores go to the language that sorts first; repeated rows each count; rows
 without a label don't train; without any labelled row everything is rejected. Other columns are
-handed on by :func:`keep_identified`, whatever their names.
+handed on by :func:`keep_identified`, whatever their names.  Texts are scored whole, however long.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ before it.  The driver sees one number per partition.
 Tokens are words as :mod:`textkernel` cuts them, and one end mark per document; or the integer column named
 ``tokens``.  Defined results: null and empty texts are documents of the end mark alone; negative or null lengths count as 0, and a
 document of length 0 has no piece; ties on the key go by id (nulls first), length, and a hash of the text; rows equal in
-all of these are laid side by side; other columns are ignored.
+all of these are laid side by side; texts are read whole, however long; other columns are ignored.
 """
 
 from __future__ import annotations

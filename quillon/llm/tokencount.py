@@ -9,7 +9,7 @@ Which pre-tokens are frequent is found over the whole corpus: each task counts a
 and reports the ``REPORT`` commonest, and these reports are summed.  The table decides speed only; the counts are
 exact whatever it holds (up to a collision of 64-bit hashes).  It has a fixed size, about 1.2 MB.
 
-Defined results: a null text has a null count, an empty one 0; repeated rows each count; columns other than
+Defined results: a null text has a null count, an empty one 0; repeated rows each count; a text, and a pre-token, is taken whole, however long; columns other than
 doc_id and text are ignored.
 """
 

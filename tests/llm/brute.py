@@ -245,3 +245,40 @@ def lcs(a, b):
         for j, y in enumerate(b):
             row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
     return row[-1]
+
+
+def quality(rows, m):
+    """(doc_id, lang, source) that stay of [(doc_id, text, lang, source)], by plain loops; ``m`` gives the constants."""
+
+    def bins(t):
+        w = words(t)
+        part = lambda k, a, b: (a + m.PRIOR[k][0]) * m.BINS[k] // (b + m.PRIOR[k][1])
+        return {
+            "symbols": part("symbols", sum(t.count(c) for c in m.SYMBOLS), sum(c not in " \t\n\r\f\v" for c in t)),
+            "capitals": part("capitals", sum("A" <= c <= "Z" for c in t), sum("A" <= c <= "Z" or "a" <= c <= "z" for c in t)),
+            "repeats": part("repeats", sum(a == b for a, b in zip(w, w[1:])), len(w)),
+            "word_bytes": part("word_bytes", sum(len(x.encode()) for x in w), len(w)),
+        }
+
+    have = [(d, lang, source, bins(t)) for d, t, lang, source in rows if t is not None and words(t)]
+
+    def quartiles(some, k):
+        v = sorted(x[3][k] for x in some)
+        at = lambda q: v[-(-len(v) * q // 4) - 1]
+        return at(1), at(3)
+
+    out = []
+    for d, lang, source, x in have:
+        own = [y for y in have if y[1:3] == (lang, source)]
+        if len(own) < m.MIN_GROUP:
+            own = [y for y in have if y[1] == lang]
+        if len(own) < m.MIN_GROUP:
+            own = have
+        for k in m.MEASURES:
+            a, b = quartiles(own, k)
+            reach = m.FENCE * max(b - a, m.LEAST[k])
+            if x[k] > b + reach or (k == "word_bytes" and x[k] < a - reach):
+                break
+        else:
+            out.append((d, lang, source))
+    return out

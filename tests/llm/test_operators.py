@@ -235,6 +235,50 @@ def test_quality_rules(spark):
     assert quality.kept(df.where("false")).count() == 0
 
 
+def test_quality_of_groups_by_plain_loops(spark):
+    """Groups above and below the least size, with their own habits; what is usual in one is far out in another."""
+    r = random.Random(7)
+    rows = []
+    for k, (lang, source, n) in enumerate([("en", "a", 60), ("en", "b", 45), ("en", "c", 10), ("de", "a", 20), ("de", None, 15), ("xx", "a", 5), (None, None, 40)]):
+        for i in range(n):
+            t = " ".join(r.choice([x + ["", "#", "$$", "***"][min(3, k % 4)] if r.random() < 0.3 else x.upper() if k == 1 and r.random() < 0.6 else x for x in ("house", "tree", "running", "of", "a", "größe")]) for _ in range(r.randint(3, 50)))
+            if r.random() < 0.1:
+                t = r.choice(["SHOUT " * 30, "### $$$ a " * 20, "same " * 40, "x" * 300, "b " * 50])
+            rows.append((100 * k + i, t, lang, source))
+    rows += [(900, None, "en", "a"), (901, "", "en", "a"), (902, "!?", None, None), rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = [tuple(x) for x in quality.kept(df).collect()]
+    want = brute.quality(rows, quality)
+    assert key(got) == key(want) and 20 < len(rows) - len(want)
+
+
+def long_rows():
+    r = random.Random(20)
+    return [(1, "x" * 1_500_000), (2, " ".join(r.choice(["the", "of", "river", "Straße", "日本"]) for _ in range(300_000))), (3, "a short text of words"), (4, "the river of " * 100_000 + "\n" * 1000), (5, " " * 100_000), (None, "z " * 1000)]
+
+
+def test_very_long_texts(spark):
+    """Texts of megabytes, with and without spaces, beyond every block's bound."""
+    rows = long_rows()
+    df = spark.createDataFrame([(d, t, "en", "s") for d, t in rows], "doc_id long, text string, lang string, source string")
+    enc = bpe.encoder(bpe.read_ranks(bpe.VOCABULARY))
+    assert key([tuple(x) for x in tokencount.token_counts(df, table_size=20).collect()]) == key([(d, len(enc.encode_ordinary(t))) for d, t in rows])
+    cols = lambda t: langid.columns([t])[0].tolist()
+    train = [("en", "the river of words"), ("de", "der Fluss und Straße")]
+    plain = brute.naive_bayes(train, [t for _, t in rows], cols, langid.BUCKETS, langid.ALPHA)
+    got = {x.doc_id: x for x in langid.identify(df, spark.createDataFrame(train, "lang string, text string")).collect()}
+    for (d, t), (lang, _, n, _) in zip(rows, plain):
+        assert got[d].language in (lang, None) and (got[d].language is not None or not got[d].accepted)
+    assert key([tuple(x) for x in quality.kept(df).collect()]) == key(brute.quality([(d, t, "en", "s") for d, t in rows], quality))
+    keyed = [tuple(x) for x in packing.keyed(df).select("curve_key", "doc_id", "n_tokens", "tie").collect()]
+    assert sorted((d is None, d or 0, n) for _, d, n, _ in keyed) == sorted((d is None, d or 0, len(brute.words(t)) + 1) for d, t in rows)
+    assert sorted((tuple(x) for x in packing.pack(df).collect()), key=lambda p: p[:2]) == brute.pack(keyed, packing.CAPACITY)
+    items = [(1, "short text of words and more of it"), (2, " ".join(rows[1][1].split()[1000:1030])), (3, " ".join(rows[1][1].split()[:5000]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(x)[:2] for x in decontam.contained(df, bench).collect()}
+    assert {(2, 2), (2, 3)} <= got and not any(d in (1, 5, None) for d, _ in got)
+
+
 def test_packing(spark):
     rows = corpus(3)
     df = table(spark, rows)
