@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import free_name
 
@@ -58,11 +59,11 @@ def row_hash(id_: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(id_, text)
 
 
-def split(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+def split(docs: DataFrame, keys: DataFrame, change=None, schema: StructType | None = None) -> tuple[DataFrame, DataFrame, str]:
     """(rows that have none of ``keys``, rows that may have one, name of the column with their :func:`row_hash`).
 
     ``keys`` has the hashes in ``h``, one row each.  The first part is read, filtered and passed on where it is; only the second, which has a
-    column more, has to be shuffled.
+    column more, has to be shuffled: ``change`` makes each of its batches smaller first, in the same Python worker, with columns of ``schema``.
     """
     bloom = Bloom(keys, keys.count())
     name = free_name(docs, "row_hash")
@@ -74,8 +75,9 @@ def split(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame, str]:
                 m = bloom.holds(b.column(name).to_numpy().view(np.uint64)) == inside
                 if m.any():
                     part = b if m.all() else b.filter(pa.array(m))
-                    yield part if inside else part.drop_columns([name])
+                    yield part.drop_columns([name]) if not inside else part if change is None else change(part)
 
         return run
 
-    return hashed.mapInArrow(take(False), docs.schema), hashed.mapInArrow(take(True), hashed.schema), name
+    moved = StructType([*(docs.schema if schema is None else schema).fields, hashed.schema[name]])
+    return hashed.mapInArrow(take(False), docs.schema), hashed.mapInArrow(take(True), moved), name

@@ -133,15 +133,16 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with every line that occurs before taken out of ``text``."""
     gone, key, mark = free_name(docs, "gone"), free_name(docs, "gone_id"), free_name(docs, "gone_print")
     drop = repeated_lines(docs)
-    rest, suspects, name = split(docs, drop.select(F.col("print").alias("h")))
-    drop = drop.withColumnsRenamed({"lines": gone, "doc_id": key, "print": mark})
     names = docs.columns
 
-    def squeeze(batches):
+    def squeeze(b):
         pack = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
-            texts = pa.array([None if x is None else pack(x.encode("utf-8", "surrogatepass")) for x in b.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([texts if c == "text" else b.column(c) for c in b.schema.names], b.schema.names)
+        texts = pa.array([None if x is None else pack(x.encode("utf-8", "surrogatepass")) for x in b.column("text").to_pylist()], pa.binary())
+        return pa.RecordBatch.from_arrays([texts if c == "text" else b.column(c) for c in b.schema.names], b.schema.names)
+
+    packed = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in docs.schema])
+    rest, moved, name = split(docs, drop.select(F.col("print").alias("h")), squeeze, packed)
+    drop = drop.withColumnsRenamed({"lines": gone, "doc_id": key, "print": mark})
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -158,8 +159,6 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
             done = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names)
             yield done.filter(pa.array(keep)) if drop_emptied else done
 
-    packed = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in suspects.schema])
-    moved = suspects.mapInArrow(squeeze, packed)
     same = (moved[name] == drop[mark]) & moved["doc_id"].eqNullSafe(drop[key])
     changed = moved.join(drop, same, "left").select(*(moved[c] for c in names), gone).mapInArrow(cut, docs.schema)
     return rest.unionByName(changed)
