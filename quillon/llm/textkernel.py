@@ -51,7 +51,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.combine_chunks()
     if texts.null_count:
         texts = texts.fill_null("")
-    wide = pa.types.is_large_string(texts.type)
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     n = len(texts)
     if n == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

@@ -541,14 +541,14 @@ def test_html_against_plain_style_trees(spark, monkeypatch, nodes, branches):
     r = random.Random(3)
     sites = [random_site(r, f"h{k}.example", n) for k, n in enumerate((1, 2, 3, 8, 25, 40))]
     pages = [(i, u, h) for i, (u, h) in enumerate(x for s in sites for x in s)]
+    grams = lambda t: htmltext.features([t])[0].tolist()
     want, i = {}, 0
     for s in sites:
         distinct = sorted({h for _, h in s})
         keys = {h: set() for h in distinct}
         for h in distinct:
-            long: set[int] = set()
-            list(htmltext.walk(htmltext.parse(h), long))
-            keys[h] = set(htmltext.bands(long))
+            long = sorted({x for *_, t, _, _ in htmltext.walk(htmltext.parse(h)) if t is not None and len(grams(t)) >= htmltext.LONG for x in grams(t)})
+            keys[h] = set(htmltext.bands(np.array(long, np.uint64), np.zeros(len(long), np.int64))[0].tolist())
         left_out = set()
         from collections import Counter
 
@@ -560,7 +560,7 @@ def test_html_against_plain_style_trees(spark, monkeypatch, nodes, branches):
             if n > 1 and 2 * n <= len(distinct):
                 own = [h for h in distinct if k in keys[h]]
                 left_out |= set(own) - {min(own, key=order)}
-        tree = brute.Site([htmltext.parse(h) for h in distinct if h not in left_out], htmltext.grams, htmltext.SAMPLE, htmltext.GAMMA, htmltext.THRESHOLD, htmltext.RARE)
+        tree = brute.Site([htmltext.parse(h) for h in distinct if h not in left_out], grams, htmltext.SAMPLE, htmltext.GAMMA, htmltext.THRESHOLD, htmltext.RARE)
         for _, h in s:
             want[i] = tree.text(htmltext.parse(h), htmltext.BLOCK)
             i += 1
