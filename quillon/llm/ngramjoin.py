@@ -45,6 +45,8 @@ N, THRESHOLD, KEYS, V, TILE = 3, 0.5, 4, 4, 1024
 FRAGMENT, BLOCK, PREFIXES = 3_000_000, 1_500_000, 2_000_000
 #: n-grams of a cell in one fragment, beyond which cells get more fragments than V.
 CELL = 1_000_000
+#: Edges that are few enough for the driver: 16 MB.
+EDGES = 1_000_000
 #: An n-gram is counted on the map side if some block has it so many times, and in all more than 1 / HOT of the documents do.
 SEEN, HOT = 16, 1000
 _KEYS = [f"key{q}" for q in range(KEYS)]
@@ -578,9 +580,16 @@ def groups(edges: DataFrame) -> DataFrame:
     """``(node, first)``: the lowest node of its connected component, for every node that has an edge and isn't that one.
 
     Alternating star contraction: each round hangs neighbours on the lowest of their neighbourhood, first the larger ones, then the smaller; the
-    rounds needed grow with the logarithm of the longest path.  Each round is written to the shared folder, and the one before removed.
+    rounds needed grow with the logarithm of the longest path.  Each round is written to the shared folder, and the one before removed.  At most
+    ``EDGES`` edges, counted first, are connected on the driver instead.
     """
     e = written(edges.where("a <> b").distinct(), "edges")
+    if e.count() <= EDGES:
+        t = e.toArrow()
+        nodes, at = np.unique(np.concatenate([t.column(c).to_numpy() for c in ("a", "b")]).astype(np.int64), return_inverse=True)
+        low = _lowest(len(nodes), *at.reshape(2, -1))
+        some = np.flatnonzero(low < np.arange(len(nodes)))
+        return e.sparkSession.createDataFrame(pa.table({"node": nodes[some], "first": nodes[low[some]]}))
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

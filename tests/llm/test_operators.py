@@ -133,7 +133,7 @@ def test_jaccard_join_large_groups_in_tiles_and_fragments(spark, monkeypatch, sm
     rows += [(100 + i, rows[3][1]) for i in range(20)]
     rows += [(200 + i, "a line that every one of these shares " + " ".join(f"u{r.randrange(10**6)}" for _ in range(r.choice([2, 6, 7, 8, 30])))) for i in range(60)]
     if small:
-        for name, v in (("TILE", 4), ("FRAGMENT", 300), ("BLOCK", 500), ("PREFIXES", 200), ("CELL", 100), ("HOT", 20)):
+        for name, v in (("TILE", 4), ("FRAGMENT", 300), ("BLOCK", 500), ("PREFIXES", 200), ("CELL", 100), ("HOT", 20), ("EDGES", 0)):
             monkeypatch.setattr(ngramjoin, name, v)
     assert got_classes(table(spark, rows, False)) == sorted(brute.classes(rows))
 
@@ -179,7 +179,10 @@ def test_overlaps():
         assert c[k] == len(np.intersect1d(g[i[k]], g[j[k]]))
 
 
-def test_groups_of_random_graphs(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_groups_of_random_graphs(spark, monkeypatch, most):
+    monkeypatch.setattr(ngramjoin, "EDGES", most)
+    assert ngramjoin.groups(spark.createDataFrame([], "a long, b long")).count() == 0
     r = random.Random(7)
     edges = [(a, b) for a, b in ((r.randrange(200), r.randrange(200)) for _ in range(150)) if a != b] + [(i, i + 1) for i in range(300, 330)]
     got = {x.node: x.first for x in ngramjoin.groups(spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long")).collect()}
