@@ -14,7 +14,8 @@ large the benchmark is.  Nothing is shuffled but one row per distinct item shing
 Defined results: null and empty texts match nothing; an item or document of fewer than n words
 has one shingle of all its words, so a short item is found only in a document of just these words;
 each row of ``docs`` counts by itself, also when repeated; columns other than ``doc_id`` and
-``text`` are ignored, and :func:`clean` hands them on. Null ids are kept as they are.
+``text`` are ignored, and :func:`clean` hands them on. Null ids are kept as they are. Texts and items are taken whole,
+however long; shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations

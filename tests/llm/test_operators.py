@@ -211,6 +211,31 @@ def test_language_id(spark):
     assert [x.accepted for x in langid.identify(none).collect()] == [False]
 
 
+def test_language_columns_by_plain_loops():
+    """Character 1- to 3-grams of a text in lower case, everything that isn't a letter one space, hashed step by step."""
+    import re
+
+    def columns(t):
+        t = "".join(c if c.isalpha() else " " for c in t.lower())
+        t = re.sub("  +", " ", t)
+        t = t if t.startswith(" ") else " " + t  # every text begins with a space
+        out = []
+        for i in range(len(t)):
+            h = 0
+            for n, k in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+                if i + n >= len(t):
+                    break
+                h = (h * 0x01000193 + ord(t[i + n]) * k) % (1 << 32)
+                x = (h ^ (h >> 15)) * 0x2C1B3C6D % (1 << 32)
+                out.append((x ^ (x >> 16)) & 0xFFFF)
+        return sorted(out)
+
+    r = random.Random(21)
+    for t in ["a", "ab c", "é!!É", " x ", "日本", "x"] + [prose(r, n) for n in (1, 2, 20, 50)]:
+        got = langid.columns([t])[0].tolist()
+        assert sorted(got) == columns(t), t
+
+
 def test_language_columns_do_not_span_texts():
     r = random.Random(2)
     texts = ["", "a", "!", "ab c", "é!!É", " x ", "日本"] + [prose(r, 20) for _ in range(5)]
@@ -294,6 +319,30 @@ def test_packing(spark):
     assert packing.pack(table(spark, [])).count() == 0
 
 
+def test_curve_cells_by_plain_loops():
+    """The projection of a bag of words, word by word and bucket by bucket."""
+    from collections import Counter
+
+    def mix(x):
+        for k in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ (x >> 33)) * k % (1 << 64)
+        return x ^ (x >> 33)
+
+    r = random.Random(14)
+    texts = ["", "one", "the the the of"] + [prose(r, r.randint(1, 300)) for _ in range(30)]
+    h, _, _, per = textkernel.words(*textkernel.buffers(pa.array(texts)))
+    got = packing.cells(h, per).tolist()
+    for i in range(len(texts)):
+        weight = {b: int(math.sqrt(n) * 1024) for b, n in Counter(x % 4096 for x in h[per[i] : per[i + 1]].tolist()).items()}
+        long = math.sqrt(max(1, sum(w * w for w in weight.values())))
+        want = []
+        for d in range(3):
+            z = sum(w * (1 - 2 * ((mix(b + 0x5EED) >> d) & 1)) for b, w in weight.items()) / long
+            z /= 1 + abs(z) / 2
+            want.append(min(1023, max(0, math.floor((z + 2) / 4 * 1024))))
+        assert got[i] == want
+
+
 def test_hilbert_curve():
     pts = np.array([[x, y, z] for x in range(8) for y in range(8) for z in range(8)])
     keys = packing.hilbert(pts, 3)
