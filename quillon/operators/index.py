@@ -82,11 +82,3 @@ def registry(sources: dict[str, list[tuple[str, object]]], keys: list[Key]) -> d
 def last_wins(rows: DataFrame, key: Column, value: Column, order: Column) -> DataFrame:
     """``(key, value)`` with the value that comes last in ``order`` for each key; an aggregation with map-side combine."""
     return rows.select(key.cast("string").alias("key"), value.alias("value"), order.alias("ord")).groupBy("key").agg(F.max_by("value", "ord").alias("value"))
-
-
-def duplicates(rows: DataFrame, key: Column) -> DataFrame:
-    return rows.groupBy(key.cast("string").alias("key")).agg(F.count("*").alias("n")).where("n > 1")
-
-
-def as_json(index: dict[str, object]) -> list[tuple[str, str]]:
-    return [(k, json.dumps(v, sort_keys=True)) for k, v in sorted(index.items())]
