@@ -6,8 +6,8 @@ the element shows on some pages.  A node's importance is low where the site repe
 
 * an inner element on m pages whose styles have shares p_i:  H(p), the entropy to base m;
 * a text on m pages, its features on k_j pages each:  1 - sum k_j log_m k_j / sum k_j (each
-  page's features weigh alike, so that a word that always changes doesn't hide those that don't);  features are the least ``SAMPLE`` hashes of its
-  word ``GRAM``-grams (a min-wise sample, the same on every page) and its link; single words, which the published method
+  page's features weigh alike, so that a word that always changes doesn't hide those that don't);  features are all of its
+  word ``GRAM``-grams and its link; single words, which the published method
   takes, would have articles of few different words taken for boilerplate;
 * composite: (1 - g^l) * sum p_i * C(S_i) + g^l * own importance, l styles, C(S) the mean over
   S's children, g = ``GAMMA``.
@@ -21,9 +21,14 @@ would make an article boilerplate.  A key of more than half of a host's pages is
 whose n-grams have a Jaccard similarity of 0.8 are found with probability 99.7 %, at 0.2 with 6 %; a page too many left
 out of the tree is still cleaned.
 
-Plan: pages are parsed on the map side; their packed nodes move once, to drop copies, and become (host, node, style) and
-(host, node, feature) rows, counted with map-side combine; nodes that one page alone has are important by definition and go no further, so what is
-left of a host is the structure its pages share.  A host of at most ``NODES`` such rows is solved in one task; a larger one level by level, deepest
+Plan: pages are parsed once for the keys of near copies, which with the pages' hashes are all that is shuffled to find copies.  The copies (broadcast
+up to 4 ``BROADCAST_BYTES``; beyond that pages are joined with them, and move) are left out when pages are parsed again; of exact copies one comes back.
+Each task counts styles and features by node and sends one row a node.  A text of which few features come again in the task, as in articles, is sent
+as prints, the first ``BITS`` bits of each feature's hash: features that share a print can only make a text look more alike, so one that
+is important by its prints is important, and as nothing above an important text is ever cut, its exact score isn't needed.  What prints leave
+open is counted by whole features, from the pages of those hosts.  So every decision is by exact counts of all features.  The task that merges a
+node holds an element's different styles, 16 bytes each, and of a text at most a table of prints.
+Nodes that one page alone has are important by definition and go no further, so what is left of a host is the structure its pages share.  A host of at most ``NODES`` such rows is solved in one task; a larger one level by level, deepest
 first, by joins of children with their parents' styles, whatever its size.  The noise branches of a host, up to ``BRANCHES``, are one row, joined to its pages
 (broadcast if all of them are under ``BROADCAST_BYTES``), which are parsed again and cut; of a host with more, each page gets those it has.
 
@@ -50,8 +55,10 @@ from .common import small_batches, written
 
 GAMMA, THRESHOLD, RARE, BROADCAST_BYTES = 0.9, 0.85, 0.05, 8 << 20
 NODES, BRANCHES = 200_000, 2_000
-#: Features of a text: the SAMPLE least hashes of its GRAM-grams.  Near copies: BANDS keys of ROWS minima over texts of LONG n-grams or more.
-GRAM, SAMPLE, LONG, BANDS, ROWS = 3, 4, 6, 8, 3
+#: Features of a text: its GRAM-grams, all of them (SAMPLE: None).  Near copies: BANDS keys of ROWS minima over texts of LONG n-grams or more.
+GRAM, SAMPLE, LONG, BANDS, ROWS = 3, None, 6, 8, 3
+#: A task counts about AT_ONCE features and nodes before it sends them.  A text's features are sent whole if they are FEW there, or at most MANY and come again; else as prints of BITS bits.
+AT_ONCE, FEW, MANY, BITS, HELD = 4_000_000, 32, 4096, 24, 8 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
@@ -183,44 +190,268 @@ def bands(g: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(keys, np.uint64(1)).T.reshape(-1), np.repeat(page[start], BANDS)
 
 
-def packed(pages: list[str]) -> list[bytes]:
-    """Each page's rows of ``_PACKED``: elements with their styles, texts with their features, keys of near copies, and one row for the page."""
-    own, rows, texts, at, links = [], [], [], [], []
+def near_keys(pages: list[str]) -> list[bytes]:
+    """Each page's keys of near copies, from the n-grams of its long texts."""
+    texts, where = [], []
     for i, source in enumerate(pages):
-        for key, style, kids, text, link, depth in walk(parse(source)):
-            if text is None:
-                own.append(i)
-                rows.append((key, style, kids, depth))
-            else:
-                texts.append(text)
-                at.append((i, key, depth))
-                if link is not None:
-                    links.append((i, key, _key("l", link), depth))
+        todo = [parse(source)]
+        while todo:
+            node = todo.pop()
+            if node.text is None:
+                todo.extend(node.children)
+            elif len(node.text) >= 2 * (GRAM + LONG - 1) - 1:  # LONG different n-grams need so many words
+                texts.append(node.text)
+                where.append(i)
     g, doc = features(texts)
-    count = np.bincount(doc, minlength=len(texts))
-    rank = np.arange(len(g)) - np.repeat(np.cumsum(count) - count, count)
-    where = np.array([x[0] for x in at], np.int64)
-    few = rank < SAMPLE
-    long = count[doc] >= LONG
-    key, page = bands(g[long], where[doc[long]])
-    parts = [
-        (np.arange(len(pages)), np.zeros(len(pages), np.uint64), np.zeros(len(pages), np.uint64), -2, 0),
-        (page, np.zeros(len(page), np.uint64), key, -2, 0),
-        (where[doc[few]], np.array([x[1] for x in at], np.uint64)[doc[few]], g[few], -1, np.array([x[2] for x in at], np.int32)[doc[few]]),
-        (*(np.array([x[k] for x in links], t) for k, t in ((0, np.int64), (1, np.uint64), (2, np.uint64))), -1, np.array([x[3] for x in links], np.int32)),
-        (np.array(own, np.int64), *(np.array([x[k] for x in rows], np.uint64) for k in (0, 1)), np.array([x[2] for x in rows], np.int32), np.array([x[3] for x in rows], np.int32)),
-    ]
-    out = np.zeros(sum(len(p[0]) for p in parts), _PACKED)
-    lo = 0
-    for p in parts:
-        hi = lo + len(p[0])
-        for name, v in zip(("node", "value", "kids", "depth"), p[1:]):
-            out[name][lo:hi] = v.view(np.int64) if getattr(v, "dtype", None) == np.uint64 else v
-        lo = hi
-    page = np.concatenate([p[0] for p in parts])
-    out = out[np.argsort(page, kind="stable")]
+    long = np.bincount(doc, minlength=len(texts))[doc] >= LONG
+    key, page = bands(g[long], np.array(where, np.int64)[doc[long]])
     ends = np.cumsum(np.bincount(page, minlength=len(pages)))
-    return [out[a:z].tobytes() for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    return [key[a:z].tobytes() for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal rows of some sorted columns."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(keys[0]), np.bool_)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def _lengths(start: np.ndarray, total: int) -> np.ndarray:
+    return np.diff(np.append(start, total))
+
+
+def _varints(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bytes of each) of integers below 2^28, seven bits a byte, the last one below 128."""
+    size = 1 + (d >= 1 << 7) + (d >= 1 << 14) + (d >= 1 << 21)
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(4):
+        has = size > k
+        out[at[has] + k] = (d[has] >> np.uint64(7 * k)).astype(np.uint8) & np.uint8(127) | (np.uint8(128) * (size[has] > k + 1)).astype(np.uint8)
+    return out, size
+
+
+def _prints(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(prints, which text of ``raw`` each is from) of lists of prints, each the varints of a sorted list's differences."""
+    x = np.frombuffer(b"".join(raw), np.uint8)
+    if not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    end = np.flatnonzero(x < 128)
+    start = np.append(0, end[:-1] + 1)
+    place = np.arange(len(x)) - np.repeat(start, end - start + 1)
+    v = np.cumsum(np.add.reduceat((x & 127).astype(np.int64) << (7 * place), start))
+    stops = np.cumsum([len(r) for r in raw])
+    owner = np.searchsorted(stops, start, "right")
+    first = _runs(owner)
+    before = np.append(0, v[first[1:] - 1])
+    return v - np.repeat(before, _lengths(first, len(v))), owner
+
+
+_STYLE = np.dtype([("style", "<u8"), ("kids", "<i4"), ("n", "<i4")])
+_FEATURE = np.dtype([("value", "<u8"), ("n", "<i4")])
+_COUNTS = "host string, node long, kind int, depth int, pages long, data binary"
+ELEMENT, EXACT, PRINTS = 0, 1, 2
+
+
+class Counts:
+    """Counts of the styles and of all features of many pages, by host and node."""
+
+    def __init__(self):
+        self.hosts: dict[str, int] = {}
+        self.styles, self.texts, self.features, self.size, self.n = [], [], [], 0, 0
+
+    def add(self, hosts: list[str], pages: list[str]) -> None:
+        own, texts, at, links = [], [], [], []
+        for host, source in zip(hosts, pages):
+            h = self.hosts.setdefault(host, len(self.hosts))
+            for key, style, kids, text, link, depth in walk(parse(source)):
+                if text is None:
+                    own.append((h, key, style, kids, depth))
+                else:
+                    if link is not None:
+                        links.append((_key("l", link), len(texts)))
+                    texts.append(text)
+                    at.append((h, key, depth))
+        g, doc = features(texts)
+        column = lambda rows, k, t: np.array([r[k] for r in rows], t)
+        self.styles.append([column(own, k, t) for k, t in enumerate((np.int64, np.uint64, np.uint64, np.int32, np.int32))])
+        self.texts.append([column(at, k, t) for k, t in enumerate((np.int64, np.uint64, np.int32))])
+        self.features.append([np.concatenate((g, column(links, 0, np.uint64))), np.concatenate((doc, column(links, 1, np.int64))) + self.n])
+        self.n += len(texts)
+        self.size += len(self.features[-1][0]) + len(own)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """``_COUNTS`` of what was added since the last call, by host and node."""
+        if not self.styles:
+            return
+        names = pa.array(list(self.hosts), pa.string())
+        h, node, style, kids, depth = (np.concatenate(c) for c in zip(*self.styles))
+        order = np.lexsort((style, node, h))
+        h, node, style, kids, depth = (c[order] for c in (h, node, style, kids, depth))
+        run = _runs(h, node, style)
+        each = np.zeros(len(run), _STYLE)
+        each["style"], each["kids"], each["n"] = style[run], kids[run], _lengths(run, len(h))
+        h, node, depth = h[run], node[run], depth[run]
+        first = _runs(h, node)
+        stop = np.append(first[1:], len(h))
+        parts = [(h[first], node[first], np.full(len(first), ELEMENT), depth[first], np.add.reduceat(each["n"], first), [each[a:z].tobytes() for a, z in zip(first.tolist(), stop.tolist())])]
+
+        h, node, depth = (np.concatenate(c) for c in zip(*self.texts))
+        if len(h):
+            order = np.lexsort((node, h))
+            first = _runs(h[order], node[order])
+            pages = _lengths(first, len(h))
+            which = np.empty(len(h), np.int64)
+            which[order] = np.repeat(np.arange(len(first)), pages)
+            h, node, depth = (c[order][first] for c in (h, node, depth))
+            g, doc = (np.concatenate(c) for c in zip(*self.features))
+            owner = which[doc]
+            prints = np.sort(owner.astype(np.uint64) << np.uint64(BITS) | g >> np.uint64(64 - BITS))
+            total = np.bincount(owner, minlength=len(first))
+            different = np.bincount((prints[_runs(prints)] >> np.uint64(BITS)).astype(np.int64), minlength=len(first))
+            exact = (different <= FEW) | (2 * total >= 3 * different) & (different <= MANY)
+            mine = exact[owner]
+            g, owner = g[mine], owner[mine]
+            order = np.lexsort((g, owner))
+            g, owner = g[order], owner[order]
+            run = _runs(owner, g)
+            each = np.zeros(len(run), _FEATURE)
+            each["value"], each["n"] = g[run], _lengths(run, len(g))
+            stop = np.cumsum(np.bincount(owner[run], minlength=len(first)))
+            start = stop - np.bincount(owner[run], minlength=len(first))
+            parts.append((*(c[exact] for c in (h, node)), np.full(int(exact.sum()), EXACT), depth[exact], pages[exact], [each[a:z].tobytes() for a, z in zip(start[exact].tolist(), stop[exact].tolist())]))
+            owner = (prints >> np.uint64(BITS)).astype(np.int64)
+            prints, owner = prints[~exact[owner]] & np.uint64((1 << BITS) - 1), owner[~exact[owner]]
+            run = _runs(owner)
+            step = prints.copy()
+            step[1:] -= prints[:-1]
+            step[run] = prints[run]
+            raw, size = _varints(step)
+            stop = np.cumsum(np.add.reduceat(size, run)) if len(run) else np.zeros(0, np.int64)
+            start = np.append(0, stop[:-1])
+            raw, rest = raw.tobytes(), owner[run]
+            parts.append((h[rest], node[rest], np.full(len(rest), PRINTS), depth[rest], pages[rest], [raw[a:z] for a, z in zip(start.tolist(), stop.tolist())]))
+        h, node, kind, depth, pages = (np.concatenate([p[k] for p in parts]) for k in range(5))
+        data = [x for p in parts for x in p[5]]
+        order = np.lexsort((node, h))
+        for i in range(0, len(order), 1000):
+            o = order[i : i + 1000]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(h[o])), pa.array(node[o].view(np.int64)), pa.array(kind[o], pa.int32()), pa.array(depth[o], pa.int32()), pa.array(pages[o], pa.int64()), pa.array([data[k] for k in o.tolist()], pa.binary())], [c.split(" ")[0] for c in _COUNTS.split(", ")])
+        self.__init__()
+
+
+_TREE = "host string, kind int, node long, imp double, l long, m long, single long, text boolean, style long, kids int, depth int"
+NODE, STYLE, OPEN = 0, 1, 2
+
+
+def _nlogn(n: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount(group, n * np.log(n), groups).astype(np.float64)  # without rows, bincount gives integers
+
+
+def _merged(rows: list[tuple], dense: np.ndarray | None = None) -> pa.RecordBatch:
+    """``_TREE`` of all rows of ``_COUNTS``, in order, of some nodes; of a text whose prints leave its importance open, one of kind ``OPEN``.  dense: further prints of a single text, by print."""
+    hosts, node, kind, depth, pages, data = (list(c) for c in zip(*rows))
+    node, kind, depth, pages = np.array(node, np.int64), np.array(kind), np.array(depth), np.array(pages, np.int64)
+    new = np.array([True, *(a != b for a, b in zip(hosts[1:], hosts))]) | np.append(True, node[1:] != node[:-1])
+    group = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    groups = len(first)
+    element = kind[first] == ELEMENT
+    m, l, single = (np.zeros(groups, np.int64) for _ in range(3))
+
+    def entries(k, dtype):
+        at = np.flatnonzero(kind == k)
+        e = np.frombuffer(b"".join(data[i] for i in at.tolist()), dtype)
+        return e, np.repeat(group[at], [len(data[i]) // dtype.itemsize for i in at.tolist()])
+
+    def summed(value, n, own):
+        order = np.lexsort((value, own))
+        value, n, own = value[order], n[order], own[order]
+        run = _runs(own, value)
+        return order[run], np.add.reduceat(n, run) if len(run) else n, own[run]
+
+    e, own = entries(ELEMENT, _STYLE)
+    at, n, own = summed(e["style"], e["n"].astype(np.int64), own)
+    rest = _nlogn(n, own, groups)
+    m += np.bincount(own, n, groups).astype(np.int64)
+    l += np.bincount(own, minlength=groups)
+    single += np.bincount(own[n == 1], minlength=groups)
+    shown = n > 1
+    styles = (own[shown], n[shown], e["style"][at][shown].view(np.int64), e["kids"][at][shown])
+
+    rough = np.zeros(groups, np.bool_)
+    rough[group[kind == PRINTS]] = True
+    if dense is not None:
+        rough[:] = True
+    e, own = entries(EXACT, _FEATURE)
+    fine = ~rough[own]
+    _, n, whose = summed(e["value"][fine], e["n"][fine].astype(np.int64), own[fine])
+    rest += _nlogn(n, whose, groups)
+    m += np.bincount(whose, n, groups).astype(np.int64)
+    l += np.bincount(whose, minlength=groups)
+    single += np.bincount(whose[n == 1], minlength=groups)
+    if rough.any():
+        at = np.flatnonzero(kind == PRINTS)
+        v, owner = _prints([data[i] for i in at.tolist()])
+        v = np.concatenate((v, (e["value"][~fine] >> np.uint64(64 - BITS)).astype(np.int64)))
+        n = np.concatenate((np.ones(len(owner), np.int64), e["n"][~fine].astype(np.int64)))
+        if dense is None:
+            _, n, whose = summed(v, n, np.concatenate((group[at][owner], own[~fine])))
+        else:
+            np.add.at(dense, v, n)
+            n = dense[dense > 0]
+            whose = np.zeros(len(n), np.int64)
+        rest += _nlogn(n, whose, groups)
+        m += np.bincount(whose, n, groups).astype(np.int64)
+    total = np.bincount(group, pages, groups)
+    # features that share a print count as one, which can only make rest larger: a text that is important all the same is
+    least = 1 - rest / np.maximum(m, 1) / np.log(np.maximum(total, 2))
+    undecided = rough & (rest > 0) & (least < THRESHOLD + 1e-9)
+    keep = np.flatnonzero(np.where(element, m > 1, ~rough & (rest > 0)) | undecided)
+    k = np.concatenate((np.where(undecided[keep], OPEN, NODE), np.full(len(styles[0]), STYLE)))
+    g = np.concatenate((keep, styles[0]))
+    none = np.zeros(len(styles[0]), np.int64)
+    both = lambda a, b: np.concatenate((a, b))
+    zero = np.zeros(len(keep), np.int64)
+    columns = [
+        pa.array([hosts[i] for i in first[g].tolist()], pa.string()), pa.array(k, pa.int32()), pa.array(node[first][g]), pa.array(both(rest[keep] / m[keep], none.astype(float))), pa.array(both(l[keep], none)),
+        pa.array(both(m[keep], styles[1])), pa.array(both(single[keep], none)), pa.array(both(~element[keep], none > 0)), pa.array(both(zero, styles[2])), pa.array(both(zero, styles[3]), pa.int32()), pa.array(depth[first][g], pa.int32()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in _TREE.split(", ")])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_TREE`` of ``_COUNTS`` sorted by host and node.  A text of more than ``HELD`` bytes is counted by print, in a table of 2^BITS."""
+    rows: list[tuple] = []
+    held, last, dense = 0, 0, None  # bytes in rows; the row where the latest node begins; prints of that node
+    for b in batches:
+        for r in zip(*(c.to_pylist() for c in b.columns)):
+            if rows and (r[0], r[1]) != rows[-1][:2]:
+                if dense is not None or held > HELD:
+                    yield _merged(rows, dense)
+                    rows, held, dense = [], 0, None
+                last = len(rows)
+            rows.append(r)
+            held += len(r[5])
+            if held > HELD and r[2] != ELEMENT:
+                if last:
+                    yield _merged(rows[:last])
+                    rows, last = rows[last:], 0
+                    held = sum(len(x[5]) for x in rows)
+                if held > HELD:
+                    if dense is None:
+                        dense = np.zeros(1 << BITS, np.int64)
+                    v, _ = _prints([x[5] for x in rows if x[2] == PRINTS])
+                    np.add.at(dense, v, 1)
+                    e = np.frombuffer(b"".join(x[5] for x in rows if x[2] == EXACT), _FEATURE)
+                    np.add.at(dense, (e["value"] >> np.uint64(64 - BITS)).astype(np.int64), e["n"].astype(np.int64))
+                    rows = [(*r[:4], sum(x[4] for x in rows), b"")]
+                    rows[0] = (*rows[0][:2], PRINTS, *rows[0][3:])
+                    held = 0
+    if rows:
+        yield _merged(rows, dense)
 
 
 _EDGE = (0, None)
@@ -261,45 +492,107 @@ def host_of(url):
     return F.when(h != "", h)
 
 
-_PACKED = np.dtype([("node", "<i8"), ("value", "<i8"), ("kids", "<i4"), ("depth", "<i4")])
-
+def _copies(known: DataFrame) -> DataFrame:
+    """``(host, h1, h2, again)``: the pages of which not every row counts; again: one row does."""
 
-def _nodes(pages: DataFrame) -> DataFrame:
-    """``(host, node, value, kids, depth)`` rows of all distinct pages of each host but near copies: value is the style and kids its children, or a feature and -1 of a text.
+    def read(batches):
+        for b in batches:
+            sources = b.column("html").to_pylist()
+            done = [x for i in range(0, len(sources), 64) for x in near_keys(sources[i : i + 64])]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("host", "h1", "h2")), pa.array(done, pa.binary())], ["host", "h1", "h2", "keys"])
 
-    Pages are parsed where they are read; what is shuffled to find copies is their packed nodes, not their markup.  The keys of near
-    copies come first in a page's nodes, with -2, so that both uses of the shuffled pages read the same columns: it is done once.
+    def spread(batches):
+        for b in batches:
+            raw = b.column("keys").to_pylist()
+            owner = pa.array(np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw]))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(owner) for c in ("host", "h1", "h2")), pa.array(np.frombuffer(b"".join(raw), np.int64))], ["host", "h1", "h2", "value"])
+
+    parsed = known.mapInArrow(read, "host string, h1 long, h2 long, keys binary")
+    distinct = written(parsed.groupBy("host", "h1", "h2").agg(F.count("*").alias("rows"), F.first("keys").alias("keys")), "pages")
+    keys = distinct.select("host", "h1", "h2", "keys").mapInArrow(spread, "host string, h1 long, h2 long, value long")
+    sites = distinct.groupBy("host").agg(F.count("*").alias("pages"))
+    groups = keys.groupBy("host", "value").agg(F.count("*").alias("n"), F.min(F.struct("h1", "h2")).alias("first")).where("n > 1")
+    copied = groups.join(sites, "host").where("2 * n <= pages").select("host", "value", "first")
+    near = keys.join(copied, ["host", "value"]).where(F.struct("h1", "h2") > F.col("first")).select("host", "h1", "h2", F.lit(False).alias("again"))
+    more = distinct.where("rows > 1").select("host", "h1", "h2", F.lit(True).alias("again"))
+    return written(near.unionByName(more).groupBy("host", "h1", "h2").agg(F.min("again").alias("again")), "copies")
+
+
+def _counted(pages: DataFrame) -> DataFrame:
+    """``(host, html)`` of the pages that count in the tree: each different one of a host once, near copies left out.  Only copies are shuffled."""
+    known = pages.where("host is not null and html is not null").select("host", "html", F.xxhash64("html").alias("h1"), F.xxhash64(F.lit(1), "html").alias("h2"))
+    copies = _copies(known)
+    on = ["host", "h1", "h2"]
+    sums = copies.agg(F.sum(F.length("host") + 17), F.max("again")).first()
+    if sums[0] is None:
+        return known.select("host", "html")
+    small = lambda df: F.broadcast(df) if sums[0] <= 4 * BROADCAST_BYTES else df
+    alone = known.join(small(copies), on, "left_anti").select("host", "html")
+    if not sums[1]:
+        return alone
+    return alone.unionByName(known.join(small(copies.where("again")), on, "left_semi").dropDuplicates(on).select("host", "html"))
+
+
+def _tree(pages: DataFrame) -> DataFrame:
+    """``_TREE`` of all pages: nodes with their importance, and styles that two pages or more show.
+
+    Each task counts what its pages have and sends one row a node.  The counts of texts of which few features come again are sent as
+    prints of ``BITS`` bits; what they leave open is counted by whole features, from the pages of those hosts.
     """
+    counted = _counted(pages)
+
+    def count(batches):
+        counts = Counts()
+        for b in batches:
+            hosts, sources = b.column("host").to_pylist(), b.column("html").to_pylist()
+            for i in range(0, len(hosts), 64):
+                counts.add(hosts[i : i + 64], sources[i : i + 64])
+                if counts.size > AT_ONCE:
+                    yield from counts.rows()
+        yield from counts.rows()
+
+    tree = written(counted.mapInArrow(count, _COUNTS).repartition("host", "node").sortWithinPartitions("host", "node").mapInArrow(_merge, _TREE), "tree")
+    undecided = tree.where(F.col("kind") == OPEN)
+    if undecided.isEmpty():
+        return tree
+    features_of = written(_features(counted, undecided), "features")
+    n = F.col("n")
+    exact = features_of.groupBy("host", "node").agg((F.sum(n * F.log(n.cast("double"))) / F.sum("n")).alias("imp"), F.count("*").alias("l"), F.sum("n").alias("m"), F.sum(F.when(n == 1, 1).otherwise(0)).alias("single")).where("imp > 0")
+    again = exact.join(undecided.select("host", "node", "text", "style", "kids", "depth"), ["host", "node"]).withColumn("kind", F.lit(NODE))
+    return tree.where(F.col("kind") != OPEN).unionByName(written(again.select(*tree.columns), "exact"))
+
+
+def _features(counted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(host, node, value, n)``: the pages that have each feature of some texts."""
 
     def read(batches):
         for b in batches:
-            sources = b.column("html").to_pylist()
-            done = [x for i in range(0, len(sources), 64) for x in packed(sources[i : i + 64])]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("host", "h1", "h2")), pa.array(done, pa.binary())], ["host", "h1", "h2", "nodes"])
-
-    def spread(near):
-        names = ["h1", "h2", "value"] if near else ["node", "value", "kids", "depth"]
-
-        def run(batches):
-            for b in batches:
-                for i in range(0, b.num_rows, 256):
-                    part = b.slice(i, 256)
-                    each = [np.frombuffer(x, _PACKED) for x in part.column("nodes").to_pylist()]
-                    rows = np.concatenate(each)
-                    mine = (rows["kids"] == -2) == near
-                    owner = pa.array(np.repeat(np.arange(len(each)), list(map(len, each)))[mine])
-                    yield pa.RecordBatch.from_arrays([part.column("host").take(owner), *(part.column(c).take(owner) if c in ("h1", "h2") else pa.array(rows[c][mine]) for c in names)], ["host", *names])
-
-        return run
-
-    hashed = pages.withColumn("h1", F.xxhash64("html")).withColumn("h2", F.xxhash64(F.lit(1), "html"))
-    parsed = hashed.mapInArrow(read, "host string, h1 long, h2 long, nodes binary").dropDuplicates(["host", "h1", "h2"])
-    keys = parsed.mapInArrow(spread(True), "host string, h1 long, h2 long, value long")
-    groups = keys.groupBy("host", "value").agg(F.count("*").alias("n"), F.min(F.struct("h1", "h2")).alias("first"))
-    sites = groups.where("value = 0").select("host", F.col("n").alias("pages"))
-    copied = groups.where("value != 0 and n > 1").join(sites, "host").where("2 * n <= pages").select("host", "value", "first")
-    copies = keys.join(copied, ["host", "value"]).where(F.struct("h1", "h2") > F.col("first")).select("host", "h1", "h2").distinct()
-    return parsed.join(copies, ["host", "h1", "h2"], "left_anti").mapInArrow(spread(False), "host string, node long, value long, kids int, depth int")
+            wanted = _sets(b.column("branches"))
+            for i, (source, own) in enumerate(zip(b.column("html").to_pylist(), wanted)):
+                found = [(k, t, link) for k, _, _, t, link, _ in walk(parse(source)) if t is not None and k in own]
+                g, doc = features([t for _, t, _ in found])
+                links = [(k, _key("l", link)) for k, _, link in found if link is not None]
+                at = np.concatenate((np.array([k for k, _, _ in found], np.uint64)[doc], np.array([k for k, _ in links], np.uint64)))
+                value = np.concatenate((g, np.array([v for _, v in links], np.uint64)))
+                yield pa.RecordBatch.from_arrays([b.column("host").take(pa.array([i] * len(at), pa.int64())), pa.array(at.view(np.int64)), pa.array(value.view(np.int64))], ["host", "node", "value"])
+
+    lists = written(nodes.groupBy("host").agg(F.collect_list("node").alias("branches")), "open").withColumnRenamed("host", "site")
+    size = lists.agg(F.sum(F.size("branches") * 8 + F.length("site"))).first()[0]
+    of = counted.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, F.col("host") == F.col("site")).select("host", "html", "branches")
+    return of.mapInArrow(read, "host string, node long, value long").groupBy("host", "node", "value").agg(F.count("*").alias("n"))
+
+
+def _sets(lists: pa.Array) -> list[frozenset[int]]:
+    """Node lists of rows, as sets of unsigned keys; rows of a host have the same list."""
+    v, off = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    known: dict[bytes, frozenset] = {}
+    out = []
+    for i in range(len(lists)):
+        raw = v[off[i] : off[i + 1]].tobytes() if lists[i].is_valid else b""
+        if raw not in known:
+            known[raw] = frozenset(np.frombuffer(raw, np.uint64).tolist())
+        out.append(known[raw])
+    return out
 
 
 def branches(nodes: list, styles: list, gamma: float = GAMMA, threshold: float = THRESHOLD) -> list[int]:
@@ -356,20 +649,7 @@ def _kids(style: int, n: int) -> list[int]:
 
 def noise(pages: DataFrame) -> DataFrame:
     """``(host, node)`` of the topmost noise branches of all hosts; ``pages`` has host and html."""
-    known = pages.where("host is not null and html is not null").select("host", "html")
-    seen = written(_nodes(known).groupBy("host", "node", "value", "kids", "depth").agg(F.count("*").alias("n")), "style")
-    log = lambda c: F.log(c.cast("double"))
-    n = F.col("n")
-    by_node = seen.groupBy("host", "node").agg(
-        F.sum("n").alias("m"), F.count("*").alias("l"), F.sum(n * log(n)).alias("nlogn"), F.sum(F.when(n == 1, 1).otherwise(0)).alias("single"), (F.max("kids") < 0).alias("text"), F.max("depth").alias("depth")
-    ).where("if(text, nlogn > 0, m > 1)")
-    sites = seen.where(F.col("node") == ROOT_SIGNED).groupBy("host").agg(F.sum("n").alias("pages")).where("pages > 1")
-    # 1 - this / log of the node's pages is its importance; of a text, m counts features, and the style that it stands in has its pages
-    imp = F.col("nlogn") / F.col("m")
-    none = F.lit(0).cast("long")
-    node_rows = by_node.join(sites, "host").select("host", F.lit(0).alias("kind"), "node", imp.alias("imp"), "l", "m", "single", "text", none.alias("style"), F.lit(0).alias("kids"), "depth")
-    style_rows = seen.where("n > 1 and kids >= 0").join(sites, "host").select("host", F.lit(1).alias("kind"), "node", F.lit(0.0).alias("imp"), none.alias("l"), F.col("n").alias("m"), none.alias("single"), F.lit(False).alias("text"), F.col("value").alias("style"), "kids", "depth")
-    tree = written(node_rows.unionByName(style_rows), "tree")
+    tree = _tree(pages)
 
     def solve(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, styles = [], []
@@ -446,16 +726,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sets: dict[tuple, frozenset] = {}
-            texts = []
-            for source, bad in zip(b.column("html").to_pylist(), b.column("branches")):
-                if source is None:
-                    texts.append(None)
-                    continue
-                key = tuple(bad.as_py() or ())
-                if key not in sets:
-                    sets[key] = frozenset(x & 0xFFFFFFFFFFFFFFFF for x in key)
-                texts.append(clean_text(parse(source), sets[key]))
+            texts = [None if source is None else clean_text(parse(source), bad) for source, bad in zip(b.column("html").to_pylist(), _sets(b.column("branches")))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(texts, pa.string())], ["page_id", "text"])
 
     return joined.select("page_id", "html", "branches").mapInArrow(run, pages.select("page_id").schema.add("text", "string"))

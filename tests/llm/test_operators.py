@@ -622,6 +622,79 @@ def test_html_against_plain_style_trees(spark, monkeypatch, nodes, branches):
     assert sum(got[i] != htmltext.clean_text(htmltext.parse(h), frozenset()) for i, _, h in pages) > 20  # and something was cut
 
 
+def test_html_importance_takes_every_feature(spark):
+    """A text with one constant phrase, whose n-grams have the least hashes, and many words of its own on each page."""
+    r = random.Random(4)
+    phrase = min((" ".join(f"c{r.randrange(9999)}" for _ in range(6)) for _ in range(20_000)), key=lambda t: htmltext.features([t])[0][-1])  # the largest of its four
+    least = htmltext.features([phrase])[0].tolist()
+    some = (" ".join(f"w{r.randrange(9999)}" for _ in range(30)) for _ in range(20_000))
+    own = [t for t in some if htmltext.features([f"{phrase} {t}"])[0][:4].tolist() == least][:40]
+    assert len(own) == 40 and len(least) == 4
+    pages = [(i, "https://s.example/", f"<body><p>Menu of all pages</p><div>{phrase} {t}</div></body>") for i, t in enumerate(own)]
+    got = {x.page_id: x.text for x in htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"{phrase} {t}" for i, t in enumerate(own)}
+
+
+@pytest.mark.parametrize("limit", [8 << 20, -1])
+def test_html_long_text_that_comes_once_a_task(spark, monkeypatch, limit):
+    """No task sees the footer twice, so its features are sent as prints, and counted whole afterwards; with and without broadcasts."""
+    monkeypatch.setattr(htmltext, "BROADCAST_BYTES", limit)
+    asked = []
+    real = htmltext._features
+    monkeypatch.setattr(htmltext, "_features", lambda pages, nodes: (asked.append(nodes.count()), real(pages, nodes))[1])
+    r = random.Random(5)
+    foot = prose(r, 60)
+    own = [" ".join(f"w{r.randrange(9999)}" for _ in range(50)) for _ in range(4)]
+    pages = [(i, "https://f.example/", f"<body><p>{t}</p><footer>{foot}</footer></body>") for i, t in enumerate(own)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize([*pages, (4, *pages[3][1:])], 5), "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in htmltext.extract(df).collect()}
+    assert got == {i: t for i, t in enumerate([*own, own[3]])} and asked == [1]
+
+
+@pytest.mark.parametrize("few, many, bits, held", [(32, 4096, 24, 8 << 20), (0, 0, 24, 0), (0, 0, 24, 8 << 20), (3, 5, 24, 100), (0, 0, 6, 0), (0, 0, 6, 8 << 20)])
+def test_html_counts_by_task_and_print(monkeypatch, few, many, bits, held):
+    """However counts are sent, what is counted is right, and a text whose prints leave it open is never taken for important."""
+    import math
+    from collections import Counter
+
+    for name, v in (("FEW", few), ("MANY", many), ("BITS", bits), ("HELD", held)):
+        monkeypatch.setattr(htmltext, name, v)
+    r = random.Random(6)
+    tasks = [random_site(r, f"h{k % 2}.example", 20) for k in range(4)]
+    styles, features, shown, sent = {}, {}, Counter(), []
+    for task in tasks:
+        counts = htmltext.Counts()
+        pages = [(u.split("/")[2], h) for u, h in task]
+        for i in range(0, len(pages), 7):
+            counts.add([h for h, _ in pages[i : i + 7]], [x for _, x in pages[i : i + 7]])
+        sent += [x for b in counts.rows() for x in b.to_pylist()]
+        for host, source in pages:
+            for key, style, _, text, link, _ in htmltext.walk(htmltext.parse(source)):
+                at = (host, htmltext._signed(key))
+                if text is None:
+                    styles.setdefault(at, Counter())[htmltext._signed(style)] += 1
+                else:
+                    shown[at] += 1
+                    features.setdefault(at, Counter()).update({*htmltext.features([text])[0].tolist(), *([] if link is None else [htmltext._key("l", link)])})
+    sent.sort(key=lambda x: (x["host"], x["node"]))
+    batches = [htmltext.pa.RecordBatch.from_pylist(sent[i : i + 9]) for i in range(0, len(sent), 9)]
+    got = [x for b in htmltext._merge(iter(batches)) for x in b.to_pylist()]
+    assert {(x["host"], x["node"], x["style"]): x["m"] for x in got if x["kind"] == htmltext.STYLE} == {(*at, s): n for at, c in styles.items() for s, n in c.items() if n > 1}
+    nodes = {(x["host"], x["node"]): x for x in got if x["kind"] == htmltext.NODE}
+    left = {(x["host"], x["node"]) for x in got if x["kind"] == htmltext.OPEN}
+    assert len(nodes) + len(left) == sum(x["kind"] != htmltext.STYLE for x in got) and not left & nodes.keys()
+    for at, c in [*styles.items(), *features.items()]:
+        rest, m = sum(n * math.log(n) for n in c.values()), c.total()
+        if at in nodes:
+            x = nodes[at]
+            assert (x["m"], x["l"], x["single"], x["text"]) == (m, len(c), sum(n == 1 for n in c.values()), at in features) and abs(x["imp"] - rest / m) < 1e-9
+        elif at in styles:
+            assert m == 1
+        elif at not in left:
+            assert rest == 0 or 1 - rest / m / math.log(shown[at]) >= htmltext.THRESHOLD
+    assert few or left  # nothing but prints: the menus are open
+
+
 def test_html_importance_by_hand():
     root = htmltext.ROOT_SIGNED
     nodes = [(root, 0.0, 1, 10, 0, False), (1, 0.05, 1, 10, 0, True), (2, 0.9, 10, 10, 10, True), (3, 0.1, 1, 10, 0, False), (4, 0.2, 1, 10, 0, True)]
