@@ -695,6 +695,19 @@ def test_html_counts_by_task_and_print(monkeypatch, few, many, bits, held):
     assert few or left  # nothing but prints: the menus are open
 
 
+def test_html_sends_less_than_half_its_markup():
+    """What is shuffled of articles, with the keys of near copies: one row a node for structure, under three bytes a feature for texts."""
+    r = random.Random(7)
+    menu = "".join(f"<li><a href=/m{k}>Menu {k}</a></li>" for k in range(12))
+    text = lambda: " ".join(f"w{r.randrange(9999)}" for _ in range(60))
+    pages = [f"<body><nav><ul>{menu}</ul></nav><article>{''.join(f'<p>{text()}</p>' for _ in range(r.randint(2, 6)))}</article></body>" for _ in range(400)]
+    counts = htmltext.Counts()
+    for i in range(0, 400, 64):
+        counts.add(["a.example"] * len(pages[i : i + 64]), pages[i : i + 64])
+    sent = sum(len(x) + 28 for b in counts.rows() for x in b.column("data").to_pylist()) + sum(map(len, htmltext.near_keys(pages)))
+    assert sent < 0.5 * sum(map(len, pages))
+
+
 def test_html_importance_by_hand():
     root = htmltext.ROOT_SIGNED
     nodes = [(root, 0.0, 1, 10, 0, False), (1, 0.05, 1, 10, 0, True), (2, 0.9, 10, 10, 10, True), (3, 0.1, 1, 10, 0, False), (4, 0.2, 1, 10, 0, True)]
