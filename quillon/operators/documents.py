@@ -7,6 +7,7 @@ check joins documents with each other only by path, and keeps matches as rows un
 from __future__ import annotations
 
 from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,8 +18,10 @@ from ..functions import markup
 from ..functions import text as X
 from ..functions.globs import match_regex
 from ..sources.config import Catalog, Pin, Route, Tombstone, Vocabulary
+from ..sources.frontmatter import PIECE
 from .findings import finding
 
+ROWS = 4096
 _LINE = "path string, line_no int, text string, body boolean, fenced boolean, level int, title string, bullet string"
 
 
@@ -26,26 +29,19 @@ def lines(docs: DataFrame) -> DataFrame:
     """One row for each line: ``(path, line_no, text, body, fenced, level, title, bullet)``; what is such a table already is handed on."""
     if "line_no" in docs.columns:
         return docs
-
-    def run(batches):
-        for b in batches:
-            rows = [(p, x.number, x.text, x.body, x.fenced, x.level, x.title, x.bullet) for p, t, n in zip(*(b.column(c).to_pylist() for c in ("path", "text", "body_from"))) for x in markup.lines(t or "", n)]
-            cols = list(zip(*rows)) or [()] * 8
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["path", "line_no", "text", "body", "fenced", "level", "title", "bullet"])
-
-    return docs.select("path", "text", "body_from").mapInArrow(run, _LINE)
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.string())
+    return _per_document(docs, lambda t, n: ((x.number, x.text, x.body, x.fenced, x.level, x.title, x.bullet) for x in markup.each_line(t, n)), _LINE, kinds)
 
 
 def _per_document(docs: DataFrame, f, schema: str, kinds) -> DataFrame:
-    """Rows ``(path, *f(text, body_from))`` of every document."""
+    """Rows ``(path, *f(text, body_from))`` of every document; ``PIECE`` documents and ``ROWS`` rows at a time are Python objects, whatever the batch."""
     names = [c.strip().split()[0] for c in schema.split(",")]
 
     def run(batches):
-        for b in batches:
-            rows = [(p, *x) for p, t, n in zip(*(b.column(c).to_pylist() for c in ("path", "text", "body_from"))) for x in f(t or "", n)]
-            cols = list(zip(*rows)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+        pieces = (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE))
+        rows = ((p, *x) for b in pieces for p, t, n in zip(*(b.column(c).to_pylist() for c in ("path", "text", "body_from"))) for x in f(t or "", n))
+        while part := list(islice(rows, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names)
 
     return docs.select("path", "text", "body_from").mapInArrow(run, schema)
 
@@ -222,9 +218,10 @@ def vocabulary_findings(docs: DataFrame, v: Vocabulary, all_lines: DataFrame | N
     for name in v.numeric:
         actual = F.coalesce(F.json_array_length(F.get_json_object("fm", f"$.{name}")), F.when(F.get_json_object("fm", f"$.{name}").rlike("^[0-9]{1,18}$"), F.get_json_object("fm", f"$.{name}").cast("long"))).cast("long")
         facts = docs.select(F.col("path").alias("p"), actual.alias("actual")).where("actual is not null")
-        j = body.join(facts, F.col("path") == F.col("p"))
         needle = F.when(F.contains("text", F.lit(name)), F.lit(name)).otherwise(F.lit(name.replace("_", " ")))
-        out.append(finding(j.withColumn("claim", X.claimed_number(F.col("text"), needle)).where("claim <> actual"), "E0094", "vocabulary", "numeric claim drifted", F.concat(F.lit("the text says "), F.col("claim"), F.lit(", the field holds "), F.col("actual")), F.col("path"), F.col("line_no"), [("claim", F.trim("text")), ("field", F.lit(name))]))
+        said = body.select("path", "line_no", "text", X.claimed_number(F.col("text"), needle).alias("claim")).where("claim is not null")  # few lines have one
+        j = said.join(facts, F.col("path") == F.col("p"))
+        out.append(finding(j.where("claim <> actual"), "E0094", "vocabulary", "numeric claim drifted", F.concat(F.lit("the text says "), F.col("claim"), F.lit(", the field holds "), F.col("actual")), F.col("path"), F.col("line_no"), [("claim", F.trim("text")), ("field", F.lit(name))]))
     return reduce(DataFrame.unionByName, out)
 
 
