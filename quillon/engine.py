@@ -190,13 +190,11 @@ class Engine:
         everything = frontmatter.documents(files.where("state = 'ok'"))
         docs = everything.where("fm_error is null")
         others = all_files.select("path", "state", "text")  # a file that can't be read exists all the same
-        out = [corpus.unreadable(files), frontmatter.bad_frontmatter(everything)]
+        out = [corpus.unreadable(files), frontmatter.problems(everything, self.required)]
         if scope is None:
             out += [corpus.dead_globs(files, self.globs), self.static_findings()]
             if os.path.exists(os.path.join(self.root, self.folder, project.MANIFEST)):
                 out.append(project.drift(self.spark, self.root, self.folder))
-        if self.required:
-            out.append(frontmatter.missing_frontmatter(docs, self.required))
         marked = self.catalogs is not None or self.vocabulary is not None or any(r.marker_rules or r.section_rules for r in self.routes or ())
         parsed = checkpointed(documents.lines(docs)) if marked else None  # several families read them
         on("routes", self.routes is not None)

@@ -22,7 +22,7 @@ def severity(code: Column) -> Column:
     return F.when(letter == "W", "warning").when(letter == "L", "lint").otherwise("error")
 
 
-def finding(df: DataFrame, code: str, family: str, summary: str, message: Column, file: Column, line: Column | int = 1, quoted: list[tuple[str, Column]] | Column = (), help: str | None = None, level: str | None = None) -> DataFrame:
+def finding(df: DataFrame, code: str | Column, family: str, summary: str | Column, message: Column, file: Column, line: Column | int = 1, quoted: list[tuple[str, Column]] | Column = (), help: str | None = None, level: str | None = None) -> DataFrame:
     """One finding for each row of ``df``."""
     if not isinstance(quoted, Column):
         quoted = F.array(*(F.struct(F.lit(k).alias("label"), F.coalesce(v.cast("string"), F.lit("null")).alias("content")) for k, v in quoted)).cast("array<struct<label:string,content:string>>")
