@@ -33,22 +33,25 @@ def lines(docs: DataFrame) -> DataFrame:
     return _per_document(docs, lambda t, n: ((x.number, x.text, x.body, x.fenced, x.level, x.title, x.bullet) for x in markup.each_line(t, n)), _LINE, kinds)
 
 
-def _per_document(docs: DataFrame, f, schema: str, kinds) -> DataFrame:
-    """Rows ``(path, *f(text, body_from))`` of every document; ``PIECE`` documents and ``ROWS`` rows at a time are Python objects, whatever the batch."""
+def _per_document(docs: DataFrame, f, schema: str, kinds, flag: Column | None = None) -> DataFrame:
+    """Rows ``(path, *f(text, body_from))`` of every document, and its boolean ``flag`` if there is one; ``PIECE`` documents and ``ROWS`` rows at a time are Python objects, whatever the batch."""
+    more = [] if flag is None else [flag.alias("flag")]
+    schema, kinds = schema + ", flag boolean" * len(more), (*kinds, *[pa.bool_()] * len(more))
     names = [c.strip().split()[0] for c in schema.split(",")]
+    read = ["path", "text", "body_from", *["flag"] * len(more)]
 
     def run(batches):
         pieces = (b.slice(at, PIECE) for b in batches for at in range(0, b.num_rows, PIECE))
-        rows = ((p, *x) for b in pieces for p, t, n in zip(*(b.column(c).to_pylist() for c in ("path", "text", "body_from"))) for x in f(t or "", n))
+        rows = ((p, *x, *own) for b in pieces for p, t, n, *own in zip(*(b.column(c).to_pylist() for c in read)) for x in f(t or "", n))
         while part := list(islice(rows, ROWS)):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names)
 
-    return docs.select("path", "text", "body_from").mapInArrow(run, schema)
+    return docs.select("path", "text", "body_from", *more).mapInArrow(run, schema)
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """``(path, line_no, target)`` of every link in a body."""
-    return _per_document(docs, markup.links, "path string, line_no int, target string", (pa.string(), pa.int32(), pa.string()))
+def links(docs: DataFrame, flag: Column | None = None) -> DataFrame:
+    """``(path, line_no, target)`` of every link in a body, and the document's flag."""
+    return _per_document(docs, markup.links, "path string, line_no int, target string", (pa.string(), pa.int32(), pa.string()), flag)
 
 
 def citations(docs: DataFrame) -> DataFrame:
@@ -248,32 +251,32 @@ def citation_findings(docs: DataFrame, files: DataFrame) -> DataFrame:
 
 def link_findings(docs: DataFrame, files: DataFrame, link_root: Column | bool = False) -> DataFrame:
     """Links to files (E0110) or headings (E0111) that don't exist, out of the root (E0010, E0011), or to symbolic links (E0012); W0048 for a heading in a file that wasn't read."""
-    flag = docs.select(F.col("path").alias("p"), (F.lit(link_root) if isinstance(link_root, bool) else link_root).alias("lr"))
-    l = links(docs).join(flag, F.col("path") == F.col("p")).where(~X.external(F.col("target")) & (F.col("target") != ""))
-    name, frag = X.percent_decoded(X.without_fragment(F.col("target"))), X.fragment(F.col("target"))
-    l = l.withColumn("frag", frag).withColumn("r", F.when(name == "", F.struct(F.col("path").alias("path"), F.lit(None).cast("string").alias("problem"))).otherwise(X.resolved(F.col("path"), name, F.col("lr"))))
-    l = l.select("path", "line_no", "target", "frag", F.col("r.path").alias("to"), F.col("r.problem").alias("problem"))
-    parts = F.split("path", "/")
-    folders = files.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("to"))
-    exists = files.select(F.col("path").alias("to")).unionByName(folders).distinct()
-    refused = files.where(_linked(files)).select(F.col("path").alias("to")).distinct()
-    quoted = [("link", F.col("target"))]
-    inside = l.where("problem is null")
-    dead = inside.join(exists, "to", "left_anti")
-    wanted = inside.where("frag is not null and frag <> '' and to like '%.md'")
-    pages = files.where("text is not null").join(wanted.select(F.col("to").alias("path")).distinct(), "path", "left_semi")
     from ..sources.frontmatter import documents
 
-    slugs = heading_slugs(documents(pages)).toDF("to", "frag")
-    read = files.where("text is not null").select(F.col("path").alias("to")).distinct()
-    lost = wanted.join(read, "to", "left_semi").join(slugs, ["to", "frag"], "left_anti")
-    unread = wanted.join(files.where(F.col("text").isNull() & ~_linked(files)).select(F.col("path").alias("to")).distinct(), "to", "left_semi")
-    out = [finding(l.where(F.col("problem") == p), p, "link", "link leaves the root", F.lit("a link isn't inside the root"), F.col("path"), F.col("line_no"), quoted) for p in ("E0010", "E0011")]
-    out.append(finding(inside.join(refused, "to", "left_semi"), "E0012", "link", "symbolic link", F.lit("the linked file is a symbolic link"), F.col("path"), F.col("line_no"), quoted))
-    out.append(finding(unread, "W0048", "link", "linked file was not read", F.lit("only the file's existence was checked"), F.col("path"), F.col("line_no"), quoted))
-    out.append(finding(dead, "E0110", "link", "dead link", F.lit("the linked file doesn't exist"), F.col("path"), F.col("line_no"), quoted))
-    out.append(finding(lost, "E0111", "link", "dead anchor", F.lit("the linked heading doesn't exist"), F.col("path"), F.col("line_no"), quoted))
-    return reduce(DataFrame.unionByName, out)
+    l = links(docs, F.lit(link_root) if isinstance(link_root, bool) else link_root).where(~X.external(F.col("target")) & (F.col("target") != ""))
+    name, frag = X.percent_decoded(X.without_fragment(F.col("target"))), X.fragment(F.col("target"))
+    l = l.withColumn("frag", frag).withColumn("r", F.when(name == "", F.struct(F.col("path").alias("path"), F.lit(None).cast("string").alias("problem"))).otherwise(X.resolved(F.col("path"), name, F.col("flag"))))
+    outside = F.concat(F.lit("\0"), "path")  # no place; keeps these links from meeting in one task
+    l = l.select("path", "line_no", "target", "frag", F.col("r.problem").alias("problem"), F.when(F.col("r.problem").isNull(), F.col("r.path")).otherwise(outside).alias("to"))
+    # each link meets its place once, and its heading once; all findings are made of that row
+    parts = F.split("path", "/")
+    own = F.struct(F.col("path").alias("to"), _linked(files).alias("linked"), F.col("text").isNotNull().alias("read"), (F.col("text").isNull() & ~_linked(files)).alias("unread"))
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("to"), F.lit(False).alias("linked"), F.lit(False).alias("read"), F.lit(False).alias("unread")))
+    places = files.select(F.explode(F.concat(F.array(own), folders)).alias("x")).select("x.*").groupBy("to").agg(*(F.max(c).alias(c) for c in ("linked", "read", "unread")))
+    slugs = heading_slugs(documents(files.where("text is not null and path like '%.md'"))).toDF("to", "frag").distinct().withColumn("met", F.lit(True))
+    j = l.join(places, "to", "left").join(slugs, ["to", "frag"], "left")
+    inside = F.col("problem").isNull()
+    wanted = inside & F.col("frag").isNotNull() & (F.col("frag") != "") & F.col("to").like("%.md")
+    cases = [
+        *((F.col("problem") == p, p, "link leaves the root", "a link isn't inside the root") for p in ("E0010", "E0011")),
+        (inside & F.col("linked"), "E0012", "symbolic link", "the linked file is a symbolic link"),
+        (wanted & F.col("unread"), "W0048", "linked file was not read", "only the file's existence was checked"),
+        (inside & F.col("linked").isNull(), "E0110", "dead link", "the linked file doesn't exist"),
+        (wanted & F.col("read") & F.col("met").isNull(), "E0111", "dead anchor", "the linked heading doesn't exist"),
+    ]
+    made = F.array(*(F.when(c, F.struct(F.lit(code).alias("code"), F.lit(summary).alias("summary"), F.lit(said).alias("said"))) for c, code, summary, said in cases))
+    rows = j.select("path", "line_no", "target", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("x"))
+    return finding(rows, F.col("x.code"), "link", F.col("x.summary"), F.col("x.said"), F.col("path"), F.col("line_no"), [("link", F.col("target"))])
 
 
 # markers, catalogs, sections
