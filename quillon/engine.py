@@ -127,7 +127,7 @@ class Engine:
         docs = frontmatter.documents(self.files.where("state = 'ok'")).select("path", "schema_class")
         out = [self.spark.createDataFrame([], "a string, b string")]
         for r in self.routes or ():
-            out.append(governance_edges(docs.where(F.col("path").rlike(match_regex(r.files))).select("path", F.lit(r.governed_by).alias("governed_by"))))
+            out.append(governance_edges(self.files.where("state = 'ok'").where(F.col("path").rlike(match_regex(r.files))).select("path", F.lit(r.governed_by).alias("governed_by"))))
         sources = self.sources()
         shared = [(f"{k.name}\0{key}", p) for k in self.keys for p, v in sources.get(k.source, ()) for key, _ in index.entries(v, k)]
         if shared:

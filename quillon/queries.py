@@ -646,7 +646,7 @@ def q_governance_edges(spark, d):
     """Edges to governing documents and to the sources of the indexes that rules read."""
     docs = _docs(spark, d).select("path", "schema_class")
     lead = F.concat(F.regexp_extract("path", "^(docs/[^/]+/)", 1), F.lit("d1.md"))
-    governed = incremental.governance_edges(docs.select("path", lead.alias("governed_by")))
+    governed = incremental.governance_edges(_files(spark, d).select("path", lead.alias("governed_by")))
     mine = docs.where(rules.applies(Rule.of("r", "true", context="note"), F.col("schema_class"), F.col("path"))).select(F.lit("r").alias("rule"), "path")
     return governed.unionByName(incremental.rule_edges(mine, spark.createDataFrame([("r", "registry.yaml")], "rule string, source string")))
 
